@@ -58,15 +58,16 @@ def latest_features(
 ) -> DataFrame:
     """For each target the last complete feature row within the loaded days.
 
-    ``targets`` holds the keys and ``target``. Of the ``days`` loaded before a
-    target the first seven have no full history themselves, so a target has
-    ``days - 6`` candidate days: it is joined on equality with each of them, not
-    on a date range, and a target without a complete row disappears.
+    ``targets`` holds the keys and ``target``, and optionally ``loaded_to``, the
+    day the ``days`` are counted back from (by default the target). The first
+    seven loaded days have no full history themselves; a target is joined on
+    equality with each of the days left, not on a date range, and a target
+    without a complete row disappears.
     """
-    reach = days - FEATURE_LOOKBACK
+    loaded_to = "loaded_to" if "loaded_to" in targets.columns else "target"
+    first = F.date_sub(loaded_to, days - FEATURE_LOOKBACK)
     candidates = targets.select(
-        *keys, "target",
-        F.explode(F.sequence(F.date_sub("target", reach), F.col("target"))).alias(date),
+        *keys, "target", F.explode(F.sequence(first, F.col("target"))).alias(date)
     )
     matched = candidates.join(complete, [*keys, date], "inner")
     values = [c for c in complete.columns if c not in keys]
@@ -136,22 +137,20 @@ def score_horizon(
     Both inputs are daily tables. All horizons are scored in one pass; a day
     whose features are incomplete takes the last complete ones before it.
     """
-    past = trailing_window_scan(archive, today, days, ts=date)
-    if reset == "year":
-        # Degree days need the whole year, the other features the loaded days.
-        past = trailing_window_scan(archive, today, max(days, today.timetuple().tm_yday), ts=date)
+    # Degree days since 1 January need the whole year, all else the loaded days.
+    loaded = days if reset is None else max(days, today.timetuple().tm_yday)
+    past = trailing_window_scan(archive, today, loaded, ts=date)
     ahead = horizon_scan(forecast, today, max(horizons), ts=date)
     both = archive_plus_forecast(past, ahead, keys=keys, date=date).drop("origin")
     complete = _complete_features(both, keys, date, reset)
-    ahead_of = F.array(*[
-        F.struct(F.lit(h).alias("horizon"),
-                 F.lit(today + dt.timedelta(days=h)).alias("target"))
+    targets_ahead = F.array(*[
+        F.struct(F.lit(today + dt.timedelta(days=h)).alias("target"),
+                 F.lit(today).alias("loaded_to"))
         for h in horizons
     ])
-    stations = both.select(*keys).distinct()
-    targets = stations.select(*keys, F.inline(ahead_of))
+    targets = both.select(*keys).distinct().select(*keys, F.inline(targets_ahead))
     rows = latest_features(
-        complete, targets.select(*keys, "target"), days=days, keys=keys, date=date
+        complete, targets, days=days, keys=keys, date=date
     ).withColumn("horizon", F.date_diff(F.col("target"), F.lit(today)))
     return _predictions(rows, model_a, model_b, keys, date, SOURCE_FORECAST, threshold)
 

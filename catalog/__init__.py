@@ -6,7 +6,7 @@ from catalog.registry import ORACLES, QUERIES, Query
 
 
 def _load() -> None:
-    from catalog import indicators, sources_profiling, tables_features  # noqa: F401
+    from catalog import indicators, models_scoring, sources_profiling, tables_features  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from bloomtide.fixed_values import FEATURES as FEATURE_LIST, POLLEN, WEATHER_FEATURES
 from bloomtide.functions import calendar, numeric, risk
-from bloomtide.operators import cleaning, daily, features, filters, gaps, lookups, topk, windows
-from bloomtide.operators.profiling import align_profiles
+from bloomtide.operators import (
+    cleaning, daily, features, filters, gaps, profiling, topk, windows,
+)
 from catalog.registry import query, r, rounded, rs
 from catalog.views import (
     FEATURES, FEEDS, HOURLY_DAILY, HOURLY_DAYS, HOURLY_TARGET, LAST_TRAIN_YEAR, LONG_DAYS, PARTS,
@@ -153,20 +154,15 @@ def join_hourly(spark, sf_dir):
 
 
 @query(f"""WITH {FEEDS},
-a AS (SELECT CAST(ts AS DATE) AS date, count(*) AS n_pollen FROM pollen_hourly
-      WHERE station < 2 GROUP BY 1),
-b AS (SELECT CAST(ts AS DATE) AS date, count(*) AS n_weather FROM weather_hourly
-      WHERE station >= 2 GROUP BY 1)
-SELECT coalesce(a.date, b.date) AS date, n_pollen, n_weather
-FROM a FULL JOIN b ON a.date = b.date""")
-def align_profiles_by_day(spark, sf_dir):
-    def per_day(df, name):
-        return df.groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias(name))
-
-    return align_profiles(
-        per_day(pollen(spark, sf_dir).filter("station < 2"), "n_pollen"),
-        per_day(weather(spark, sf_dir).filter("station >= 2"), "n_weather"), "date",
-    )
+a AS (SELECT ts, count(*) AS n_pollen FROM pollen_hourly WHERE pollen_a > 80 GROUP BY 1),
+b AS (SELECT ts, count(*) AS n_wind FROM weather_hourly WHERE wind > 60 GROUP BY 1)
+SELECT coalesce(a.ts, b.ts) AS ts, n_pollen, n_wind FROM a FULL JOIN b ON a.ts = b.ts""")
+def align_profiles(spark, sf_dir):
+    high = pollen(spark, sf_dir).filter("pollen_a > 80").groupBy("ts").agg(
+        F.count("*").alias("n_pollen"))
+    windy = weather(spark, sf_dir).filter("wind > 60").groupBy("ts").agg(
+        F.count("*").alias("n_wind"))
+    return profiling.align_profiles(high, windy, "ts")
 
 
 # --- daily tables ------------------------------------------------------------
