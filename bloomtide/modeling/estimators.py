@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
@@ -14,26 +15,25 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bloomtide.fixed_values import FEATURES, LOGISTIC_MAX_ITER, SEED
-from bloomtide.modeling.prepare import fit_class_weights, weight_column
+from bloomtide.modeling.prepare import balanced_weights, fit_class_counts, weight_column
 from bloomtide.operators.topk import sorted_importance
+from bloomtide.session import ensure_checkpoint_dir, materialise
 
 UNLIMITED_DEPTH = 30  # the deepest tree Spark ML builds
 VECTOR = "features"
 
 
 def fit_preparation(
-    train: DataFrame, features: Sequence[str] = FEATURES
+    train: DataFrame, n: int, features: Sequence[str] = FEATURES
 ) -> PipelineModel:
     """Assemble and standardise by the population standard deviation.
 
-    Spark's scaler divides by the sample standard deviation, so its result is
-    stretched by sqrt(n / (n - 1)).
+    Spark's scaler divides by the sample standard deviation of the ``n`` rows,
+    so its result is stretched by sqrt(n / (n - 1)).
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="_raw")
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="_scaled")
-    assembled = assembler.transform(train)
-    n = train.count()
-    fitted = scaler.fit(assembled)
+    fitted = scaler.fit(assembler.transform(train))
     factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
     stretch = ElementwiseProduct(
         scalingVec=Vectors.dense([factor] * len(features)), inputCol="_scaled", outputCol=VECTOR
@@ -43,10 +43,10 @@ def fit_preparation(
 
 def estimator(
     family: str, params: Mapping[str, float | int | None], *,
-    label: str, n_classes: int, total_weight: float, seed: int = SEED,
+    n_classes: int, total_weight: float, seed: int = SEED,
 ) -> Estimator:
     """A classifier of one family with the grid's parameter names."""
-    columns = {"featuresCol": VECTOR, "labelCol": label}
+    columns = {"featuresCol": VECTOR, "labelCol": "label"}
 
     def depth() -> int:
         given = params.get("max_depth")
@@ -76,13 +76,28 @@ def estimator(
     raise ValueError(f"unknown model family {family!r}")
 
 
-def weigh(train: DataFrame, label: str) -> tuple[DataFrame, int, float]:
-    """Rows with balanced weights, the number of classes and the sum of weights."""
-    weights = fit_class_weights(train, label)
+@dataclass(frozen=True)
+class TrainingRows:
+    """Rows with balanced weights and standardised vectors, ready for any family."""
+
+    rows: DataFrame
+    preparation: PipelineModel
+    n_classes: int
+    total_weight: float
+
+
+def training_rows(
+    train: DataFrame, label: str, features: Sequence[str] = FEATURES
+) -> TrainingRows:
+    """Prepare ``train``, which should be materialised: it is read several times."""
+    counts = fit_class_counts(train, label)
+    n = sum(counts.values())
+    weights = balanced_weights(counts)
+    preparation = fit_preparation(train, n, features)
+    weighted = train.withColumn("weight", weight_column(label, weights))
+    vectors = preparation.transform(weighted).select(F.col(label).alias("label"), "weight", VECTOR)
     # Balanced weights add up to the number of rows.
-    total = train.agg(F.sum(weight_column(label, weights))).first()[0]
-    n_classes = max(weights) + 1
-    return train.withColumn("weight", weight_column(label, weights)), n_classes, total
+    return TrainingRows(vectors, preparation, max(counts) + 1, float(n))
 
 
 def fit(
@@ -90,13 +105,16 @@ def fit(
     label: str = "label", features: Sequence[str] = FEATURES, seed: int = SEED,
 ) -> PipelineModel:
     """Preparation and classifier fitted on ``train``, as one model."""
-    preparation = fit_preparation(train, features)
-    weighted, n_classes, total = weigh(train, label)
+    ensure_checkpoint_dir(train.sparkSession)  # boosted trees cut their lineage there
+    rows = materialise(train.select(F.col(label).cast("int").alias("label"), *features))
+    prepared = training_rows(rows, "label", features)
     classifier = estimator(
-        family, params, label=label, n_classes=n_classes, total_weight=total, seed=seed
+        family, params, n_classes=prepared.n_classes, total_weight=prepared.total_weight,
+        seed=seed,
     )
-    model = classifier.fit(preparation.transform(weighted))
-    return PipelineModel([*preparation.stages, model])
+    model = classifier.fit(prepared.rows)
+    rows.unpersist()
+    return PipelineModel([*prepared.preparation.stages, model])
 
 
 def fit_logistic(train: DataFrame, *, c: float = 1.0, **options) -> PipelineModel:

@@ -34,23 +34,25 @@ def standardize(df: DataFrame, fitted: Mapping[str, tuple[float, float]]) -> Dat
     return df.withColumns({c: scaled(c, *fitted[c]) for c in fitted})
 
 
-def class_weight_table(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weight of each class: n / (number of classes * n of the class)."""
+def fit_class_counts(df: DataFrame, label: str, max_classes: int = 100) -> dict[int, int]:
+    """Rows per class, refused for a label with too many values to be classes."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("class")).agg(
         F.count("*").alias("n")
     )
-    # One row per class from here on.
-    whole = Window.partitionBy(F.lit(0))
-    weight = F.sum("n").over(whole) / (F.count("*").over(whole) * F.col("n"))
-    return counts.withColumn("weight", weight)
-
-
-def fit_class_weights(df: DataFrame, label: str, max_classes: int = 100) -> dict[int, float]:
-    """Balanced weights by class, refused for a label with too many values."""
-    rows = class_weight_table(df, label).limit(max_classes + 1).collect()
+    rows = counts.limit(max_classes + 1).collect()
     if len(rows) > max_classes:
         raise ValueError(f"{label!r} has more than {max_classes} classes")
-    return {int(r["class"]): r["weight"] for r in sorted(rows, key=lambda r: r["class"])}
+    return {int(r["class"]): r["n"] for r in sorted(rows, key=lambda r: r["class"])}
+
+
+def balanced_weights(counts: Mapping[int, int]) -> dict[int, float]:
+    """Weight of each class: n / (number of classes * n of the class)."""
+    n = sum(counts.values())
+    return {cls: n / (len(counts) * count) for cls, count in counts.items()}
+
+
+def fit_class_weights(df: DataFrame, label: str) -> dict[int, float]:
+    return balanced_weights(fit_class_counts(df, label))
 
 
 def weight_column(label: str, weights: Mapping[int, float]) -> Column:

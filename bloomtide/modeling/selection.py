@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from bloomtide.fixed_values import DATE, FEATURES, FOLDS, GRID, SEED
-from bloomtide.modeling.estimators import VECTOR, estimator, fit, fit_preparation, weigh
+from bloomtide.modeling.estimators import VECTOR, estimator, fit, training_rows
 from bloomtide.modeling.metrics import macro_f1
 from bloomtide.modeling.prepare import fit_folds, fold_test, fold_train
 from bloomtide.session import ensure_checkpoint_dir, materialise
@@ -66,18 +66,16 @@ def grid_search(
     combos = candidates(grid)
     scores: list[tuple] = []
     for fold in fit_folds(rows, splits=splits, date=date):
-        part = fold_train(rows, fold, date=date)
-        preparation = fit_preparation(part, features)
-        weighted, n_classes, total = weigh(part, "label")
-        learn = preparation.transform(weighted).select("label", "weight", VECTOR).persist()
-        held_out = preparation.transform(fold_test(rows, fold, date=date)).select(
-            "label", VECTOR
-        ).persist()
+        prepared = training_rows(fold_train(rows, fold, date=date), "label", features)
+        learn = prepared.rows.persist()
+        held_out = prepared.preparation.transform(
+            fold_test(rows, fold, date=date)
+        ).select("label", VECTOR).persist()
 
         def score(c: Candidate) -> tuple:
             classifier = estimator(
-                c.family, c.params, label="label", n_classes=n_classes, total_weight=total,
-                seed=seed,
+                c.family, c.params, n_classes=prepared.n_classes,
+                total_weight=prepared.total_weight, seed=seed,
             )
             predicted = classifier.fit(learn).transform(held_out)
             value = macro_f1(predicted).first()["macro_f1"]
@@ -98,4 +96,5 @@ def grid_search(
     means = {p: sum(v) / len(v) for p, v in by_combo.items()}
     best = max(combos, key=lambda c: (means[c.position], -c.position))
     model = fit(rows, best.family, best.params, label="label", features=features, seed=seed)
+    rows.unpersist()
     return SearchResult(results, best, means[best.position], model)

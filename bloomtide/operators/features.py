@@ -12,7 +12,7 @@ from bloomtide.functions.calendar import calendar_parts, cyclic, season
 from bloomtide.functions.numeric import degree_days
 from bloomtide.functions.risk import binary_from_class3, risk_binary, risk_class3
 from bloomtide.operators.cleaning import drop_incomplete
-from bloomtide.operators.windows import day_window, trailing
+from bloomtide.operators.windows import series_window, trailing, year_window
 
 KEYS = (STATION,)
 
@@ -23,29 +23,25 @@ def feature_table(
     """Daily table plus calendar, weather and pollen history features.
 
     Degree days restart on 1 January with ``reset="year"``; ``reset=None`` lets
-    them run over all rows. The day windows share one partitioning and one
-    sort; the yearly one only sorts again, as its keys start with the same key.
+    them run over all rows. All windows share one partitioning and one sort.
     """
+    if reset not in ("year", None):
+        raise ValueError(f"reset is 'year' or None, not {reset!r}")
     parts = calendar_parts(date)
     month = parts["month"]
-    w = day_window(keys, date)
+    base = daily.withColumns({
+        **parts, "season": season(month), **cyclic(parts["doy"], month),
+        "gdd_daily": degree_days("temperature"),
+    })
+    w = series_window(base, keys, date)
     week, three = w.rowsBetween(-7, -1), w.rowsBetween(-3, -1)
-    if reset == "year":
-        total = Window.partitionBy(*keys, "year").orderBy(date)
-    elif reset is None:
-        total = w
-    else:
-        raise ValueError(f"reset is 'year' or None, not {reset!r}")
-    total = total.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    total = year_window(keys, date) if reset == "year" else so_far
 
     pollen = {}
     for p in POLLEN:
         pollen |= {f"{p}_lag{k}": F.lag(p, k).over(w) for k in (1, 2, 3)}
         pollen[f"{p}_mean3"] = trailing(p, 3, "mean", three)
-    base = daily.withColumns({
-        **parts, "season": season(month), **cyclic(parts["doy"], month),
-        "gdd_daily": degree_days("temperature"),
-    })
     windowed = base.withColumns({
         "temp_lag1": F.lag("temperature", 1).over(w),
         "temp_roll7": trailing("temperature", 7, "mean", week),
@@ -68,7 +64,7 @@ def feature_table_simple(
 
     Rows with any missing value are dropped.
     """
-    w = day_window(keys, date)
+    w = series_window(daily, keys, date)
     out = {"month": F.month(date), "doy": F.dayofyear(date)}
     for c in columns:
         out |= {f"{c}_lag{k}": F.lag(c, k).over(w) for k in (1, 2, 3)}
@@ -92,7 +88,7 @@ def target3(
     The class is taken before shifting: a missing reading counts as the highest
     class, while the last day, which has no next day, has no target and goes.
     """
-    w = day_window(keys, date)
+    w = series_window(df, keys, date)
     out = {f"risk_{c}_next": F.lead(risk_class3(c), 1).over(w) for c in columns}
     return drop_incomplete(df.withColumns(out))
 
@@ -102,7 +98,7 @@ def target_binary(
     keys: Sequence[str] = KEYS, date: str = DATE,
 ) -> DataFrame:
     """Whether the next day is at risk; rows with any missing value are dropped."""
-    w = day_window(keys, date)
+    w = series_window(df, keys, date)
     out = {f"risk_bin_{c}_next": F.lead(risk_binary(c), 1).over(w) for c in columns}
     return drop_incomplete(df.withColumns(out))
 

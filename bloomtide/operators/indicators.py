@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bloomtide.fixed_values import (
     ANOMALY_MESSAGES, ANOMALY_NORMAL, DATE, HEAT_REACHED, HEAT_REMAINING, HEAT_TARGET,
@@ -23,6 +23,7 @@ from bloomtide.functions.numeric import capped, degree_days, percent_change, rou
 from bloomtide.operators.filters import doy_window
 from bloomtide.operators.history import start_doy
 from bloomtide.operators.topk import latest_n
+from bloomtide.operators.windows import series_window, with_year, year_window
 
 KEYS = (STATION,)
 
@@ -44,15 +45,34 @@ def severity(value: str, bounds: Sequence[float]) -> Column:
     return F.when(F.col(value) < low, 0).when(F.col(value) < high, 1).otherwise(2)
 
 
-def year_so_far(
-    keys: Sequence[str] = KEYS, date: str = DATE, max_days: int | None = None
-) -> WindowSpec:
-    """From 1 January to the current row; at most ``max_days`` back if given."""
-    if max_days is None:
-        w = Window.partitionBy(*keys, F.year(date)).orderBy(date)
-        return w.rowsBetween(Window.unboundedPreceding, 0)
-    w = Window.partitionBy(*keys, F.year(date)).orderBy(F.unix_date(F.col(date)))
-    return w.rangeBetween(-max_days, 0)
+def with_running(
+    daily: DataFrame, names: Sequence[str], *, keys: Sequence[str] = KEYS, date: str = DATE,
+    max_days: int | None = None,
+) -> DataFrame:
+    """Add those of the running values in ``names`` the table does not have yet.
+
+    ``rain_recent`` covers the last days, the others the year so far (at most
+    ``max_days`` back if given). Values added together share one sort.
+    """
+    df = with_year(daily, date)
+    recent = series_window(df, keys, date).rowsBetween(1 - WASHOUT_DAYS, 0)
+    so_far = year_window(keys, date)
+    if max_days is not None:
+        by_day = Window.partitionBy(*keys, "year").orderBy(F.unix_date(F.col(date)))
+        so_far = by_day.rangeBetween(-max_days, 0)
+    zero = F.lit(0.0)
+    a, b = (F.coalesce(F.col(p), zero) for p in POLLEN)
+    running = {
+        "rain_recent": F.coalesce(F.sum("precipitation").over(recent), zero),
+        "heat_total": F.coalesce(F.sum(degree_days("temperature")).over(so_far), zero),
+        "pollen_ytd": F.sum(a + b).over(so_far),
+        "peak_ytd": F.max(F.greatest(a, b)).over(so_far),
+        "season_start_doy": start_doy(date=date).over(so_far),
+    }
+    return df.withColumns({n: running[n] for n in names if n not in df.columns})
+
+
+RUNNING = ("rain_recent", "heat_total", "pollen_ytd", "peak_ytd", "season_start_doy")
 
 
 def with_dominant_taxon(daily: DataFrame) -> DataFrame:
@@ -71,52 +91,44 @@ def with_wind_index(daily: DataFrame) -> DataFrame:
     )
 
 
-def with_washout_score(
-    daily: DataFrame, *, keys: Sequence[str] = KEYS, date: str = DATE
-) -> DataFrame:
+def with_washout_score(daily: DataFrame, **running) -> DataFrame:
     """How far the rain of the last three days has cleaned the air, in percent."""
-    w = Window.partitionBy(*keys).orderBy(date).rowsBetween(1 - WASHOUT_DAYS, 0)
-    rain = F.coalesce(F.sum("precipitation").over(w), F.lit(0.0))
-    score = capped(truncate(rain / WASHOUT_REFERENCE * 100), 100)
-    return daily.withColumn("washout_score", score).withColumn(
+    df = with_running(daily, ["rain_recent"], **running)
+    score = capped(truncate(F.col("rain_recent") / WASHOUT_REFERENCE * 100), 100)
+    return df.withColumn("washout_score", score).withColumn(
         "washout_message", banded("washout_score", WASHOUT_MESSAGES)
     )
 
 
-def with_heat_sum(
-    daily: DataFrame, *, keys: Sequence[str] = KEYS, date: str = DATE, max_days: int | None = None
-) -> DataFrame:
+def with_heat_sum(daily: DataFrame, **running) -> DataFrame:
     """Degree days of the year so far against the flowering threshold."""
-    total = F.sum(degree_days("temperature")).over(year_so_far(keys, date, max_days))
-    heat = truncate(F.coalesce(total, F.lit(0.0)))
+    df = with_running(daily, ["heat_total"], **running)
     left = F.lit(HEAT_TARGET) - F.col("heat_sum")
-    return daily.withColumn("heat_sum", heat).withColumns({
-        "heat_reached": F.col("heat_sum") >= HEAT_TARGET,
+    reached = F.col("heat_sum") >= HEAT_TARGET
+    return df.withColumn("heat_sum", truncate("heat_total")).withColumns({
+        "heat_reached": reached,
         "heat_remaining": F.greatest(left, F.lit(0)),
-        "heat_message": F.when(F.col("heat_sum") >= HEAT_TARGET, HEAT_REACHED)
+        "heat_message": F.when(reached, HEAT_REACHED)
         .otherwise(F.format_string(HEAT_REMAINING, left)),
     })
 
 
-def with_season_progress(
-    daily: DataFrame, *, keys: Sequence[str] = KEYS, date: str = DATE, max_days: int | None = None
-) -> DataFrame:
+def with_season_progress(daily: DataFrame, **running) -> DataFrame:
     """Pollen of the year so far as a share of a mean year, in percent.
 
     Needs ``mean_total`` of the station baseline; without history it is 0.
     """
-    w = year_so_far(keys, date, max_days)
-    so_far = F.sum(F.coalesce("pollen_a", F.lit(0.0)) + F.coalesce("pollen_b", F.lit(0.0))).over(w)
+    df = with_running(daily, ["pollen_ytd"], **running)
     share = capped(truncate(F.col("pollen_ytd") / F.col("mean_total") * 100), 100)
-    return daily.withColumn("pollen_ytd", so_far).withColumn(
+    past_peak = F.col("season_progress") > PROGRESS_PAST_PEAK
+    return df.withColumn(
         "season_progress",
         F.when(F.col("mean_total") > 0, share).otherwise(F.lit(0).cast("bigint")),
     ).withColumns({
         "progress_band": severity("season_progress", PROGRESS_BANDS),
-        "past_peak": F.col("season_progress") > PROGRESS_PAST_PEAK,
-        "progress_message": F.when(
-            F.col("season_progress") > PROGRESS_PAST_PEAK, PROGRESS_MESSAGES[1]
-        ).otherwise(PROGRESS_MESSAGES[0]),
+        "past_peak": past_peak,
+        "progress_message": F.when(past_peak, PROGRESS_MESSAGES[1])
+        .otherwise(PROGRESS_MESSAGES[0]),
     })
 
 
@@ -138,16 +150,14 @@ def with_seasonal_anomaly(daily: DataFrame) -> DataFrame:
     return daily.withColumn("anomaly", anomaly).withColumn("anomaly_message", message)
 
 
-def with_phenology_shift(
-    daily: DataFrame, *, keys: Sequence[str] = KEYS, date: str = DATE, max_days: int | None = None
-) -> DataFrame:
+def with_phenology_shift(daily: DataFrame, **running) -> DataFrame:
     """Days by which the season started earlier than usual (later: negative).
 
     Needs ``mean_start`` of the station baseline. Missing until the season of
     the current year has started, or without any historical start.
     """
+    df = with_running(daily, ["season_start_doy"], **running)
     early, late, usual = SHIFT_MESSAGES
-    start = start_doy(date=date).over(year_so_far(keys, date, max_days))
     shift = F.col("phenology_shift")
     message = (
         F.when(shift.isNull(), INSUFFICIENT)
@@ -155,26 +165,21 @@ def with_phenology_shift(
         .when(shift < -SHIFT_USUAL, F.format_string(late, F.abs(shift)))
         .otherwise(usual)
     )
-    return daily.withColumn("season_start_doy", start).withColumn(
+    return df.withColumn(
         "phenology_shift", truncate(F.col("mean_start") - F.col("season_start_doy"))
     ).withColumn("shift_message", message)
 
 
-def with_peak_vs_history(
-    daily: DataFrame, *, keys: Sequence[str] = KEYS, date: str = DATE, max_days: int | None = None
-) -> DataFrame:
+def with_peak_vs_history(daily: DataFrame, **running) -> DataFrame:
     """Highest count of the year so far against the mean yearly peak, in percent.
 
     Needs ``mean_peak`` of the station baseline. Band 2 is far above, 0 far below.
     """
-    w = year_so_far(keys, date, max_days)
-    a, b = (F.coalesce(F.max(p).over(w), F.lit(0.0)) for p in POLLEN)
+    df = with_running(daily, ["peak_ytd"], **running)
     change = F.when(
         F.col("mean_peak") > 0, (F.col("peak_ytd") / F.col("mean_peak") - 1) * 100
     ).otherwise(F.lit(0.0))
-    return daily.withColumn("peak_ytd", F.greatest(a, b)).withColumn(
-        "peak_change", change
-    ).withColumn(
+    return df.withColumn("peak_change", change).withColumn(
         "peak_band",
         F.when(F.col("peak_change") > PEAK_BAND, 2)
         .when(F.col("peak_change") < -PEAK_BAND, 0).otherwise(1),

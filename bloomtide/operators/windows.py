@@ -18,8 +18,25 @@ from bloomtide.functions.numeric import degree_days
 KEYS = (STATION,)
 
 
-def day_window(keys: Sequence[str] = KEYS, date: str = DATE) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(date)
+def series_window(df: DataFrame, keys: Sequence[str] = KEYS, date: str = DATE) -> WindowSpec:
+    """A key's rows in order of date.
+
+    With the ``year`` of the date among the columns the rows are ordered by
+    (year, date), which is the same order: windows per key and windows per key
+    and year then need the same sort, and the table is sorted once for all.
+    """
+    order = ["year", date] if "year" in df.columns else [date]
+    return Window.partitionBy(*keys).orderBy(*order)
+
+
+def with_year(df: DataFrame, date: str = DATE) -> DataFrame:
+    return df if "year" in df.columns else df.withColumn("year", F.year(date))
+
+
+def year_window(keys: Sequence[str] = KEYS, date: str = DATE) -> WindowSpec:
+    """From 1 January to the current row, for tables with a ``year``."""
+    w = Window.partitionBy(*keys, "year").orderBy(date)
+    return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def lags(
@@ -27,7 +44,7 @@ def lags(
     keys: Sequence[str] = KEYS, date: str = DATE,
 ) -> DataFrame:
     """Earlier values: ``{output: (column, days back)}``."""
-    w = day_window(keys, date)
+    w = series_window(df, keys, date)
     return df.withColumns({out: F.lag(c, k).over(w) for out, (c, k) in spec.items()})
 
 
@@ -35,7 +52,7 @@ def lead_target(
     df: DataFrame, spec: Mapping[str, str], *, keys: Sequence[str] = KEYS, date: str = DATE
 ) -> DataFrame:
     """The next day's value: ``{output: column}``; missing on the last day."""
-    w = day_window(keys, date)
+    w = series_window(df, keys, date)
     return df.withColumns({out: F.lead(c, 1).over(w) for out, c in spec.items()})
 
 
@@ -57,7 +74,7 @@ def rolling_prev(
 
     ``{output: (column, n, "mean" | "sum")}``; missing unless all n are there.
     """
-    w = day_window(keys, date)
+    w = series_window(df, keys, date)
     return df.withColumns({
         out: trailing(c, n, how, w.rowsBetween(-n, -1)) for out, (c, n, how) in spec.items()
     })
@@ -68,7 +85,7 @@ def rolling_incl(
     keys: Sequence[str] = KEYS, date: str = DATE,
 ) -> DataFrame:
     """Like :func:`rolling_prev`, over ``n`` days ending with the current one."""
-    w = day_window(keys, date)
+    w = series_window(df, keys, date)
     return df.withColumns({
         out: trailing(c, n, how, w.rowsBetween(1 - n, 0)) for out, (c, n, how) in spec.items()
     })
@@ -84,12 +101,8 @@ def gdd_by_year(
     temperature: str = "temperature",
 ) -> DataFrame:
     """Degree days and their total since 1 January."""
-    w = (
-        Window.partitionBy(*keys, F.year(date)).orderBy(date)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    df = df.withColumn("gdd_daily", degree_days(temperature))
-    return df.withColumn("gdd_cumul", _running(F.col("gdd_daily"), w))
+    df = with_year(df, date).withColumn("gdd_daily", degree_days(temperature))
+    return df.withColumn("gdd_cumul", _running(F.col("gdd_daily"), year_window(keys, date)))
 
 
 def gdd_running(
@@ -97,6 +110,6 @@ def gdd_running(
     temperature: str = "temperature",
 ) -> DataFrame:
     """Degree days and their total since the first row of the key."""
-    w = day_window(keys, date).rowsBetween(Window.unboundedPreceding, 0)
+    w = series_window(df, keys, date).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("gdd_daily", degree_days(temperature))
     return df.withColumn("gdd_cumul", _running(F.col("gdd_daily"), w))

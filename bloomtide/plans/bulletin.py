@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from bloomtide.fixed_values import DATE, STATION
 from bloomtide.operators.history import keep_years, station_baseline, windowed_mean
 from bloomtide.operators.indicators import (
-    with_dominant_taxon, with_heat_sum, with_peak_vs_history, with_phenology_shift,
-    with_season_progress, with_seasonal_anomaly, with_washout_score, with_wind_index,
+    RUNNING, with_dominant_taxon, with_heat_sum, with_peak_vs_history, with_phenology_shift,
+    with_running, with_season_progress, with_seasonal_anomaly, with_washout_score,
+    with_wind_index,
 )
 from bloomtide.operators.lookups import attach_baseline
 from bloomtide.operators.topk import row_at_or_last
@@ -56,15 +57,18 @@ def bulletin(
 ) -> DataFrame:
     """Every indicator for every row of a gap-free daily table.
 
-    ``history`` defaults to the table itself. ``max_days`` limits how far back
+    ``history`` defaults to the table itself, which is then read three times, so
+    hand in a stored table rather than a long plan. ``max_days`` limits how far back
     the year-to-date values look, ``history_years`` which years are compared.
     """
     past = keep_years(daily if history is None else history, history_years, date=date)
     df = with_baselines(daily, past, keys=keys, date=date, wrap=wrap)
-    df = with_washout_score(with_wind_index(with_dominant_taxon(df)), keys=keys, date=date)
-    df = with_seasonal_anomaly(df)
-    for add in (with_heat_sum, with_season_progress, with_phenology_shift, with_peak_vs_history):
-        df = add(df, keys=keys, date=date, max_days=max_days)
+    df = with_running(df, RUNNING, keys=keys, date=date, max_days=max_days)
+    for add in (
+        with_dominant_taxon, with_wind_index, with_washout_score, with_heat_sum,
+        with_season_progress, with_seasonal_anomaly, with_phenology_shift, with_peak_vs_history,
+    ):
+        df = add(df)
     return df.select(*keys, date, *BULLETIN_COLUMNS)
 
 
@@ -74,7 +78,8 @@ def bulletin_at(
 ) -> DataFrame:
     """The bulletin of one date; a station without it gets that of its last day before.
 
-    Only the target's year and the days the rain score looks back are read.
+    Of the daily table only the target's year and the month before it are read;
+    a station without any row in that time has no bulletin.
     """
     first = dt.date(target.year, 1, 1) - dt.timedelta(days=31)
     recent = daily.filter(F.col(date).between(F.lit(first), F.lit(target)))

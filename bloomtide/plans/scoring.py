@@ -11,7 +11,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bloomtide.fixed_values import (
     DATE, DEFAULT_THRESHOLD, FEATURE_LOOKBACK, HORIZON_DAYS, SCORE_DAYS, SOURCE_API,
@@ -60,19 +60,31 @@ def latest_features(
 
     ``targets`` holds the keys and ``target``, and optionally ``loaded_to``, the
     day the ``days`` are counted back from (by default the target). The first
-    seven loaded days have no full history themselves; a target is joined on
-    equality with each of the days left, not on a date range, and a target
-    without a complete row disappears.
+    seven loaded days have no full history themselves, so they do not count; a
+    target without a complete row disappears.
+
+    Features and targets of a key are laid on one time line and each target
+    takes the last feature row up to it: one shuffle, no join on a date range,
+    no copies of targets. Both are at most one row per key and day.
     """
+    values = [c for c in complete.columns if c not in keys]
     loaded_to = "loaded_to" if "loaded_to" in targets.columns else "target"
-    first = F.date_sub(loaded_to, days - FEATURE_LOOKBACK)
-    candidates = targets.select(
-        *keys, "target", F.explode(F.sequence(first, F.col("target"))).alias(date)
+    known = complete.select(
+        *keys, F.col(date).alias("_on"), F.lit(None).cast("date").alias("target"),
+        F.lit(None).cast("date").alias("_first"), F.struct(*values).alias("_row"),
     )
-    matched = candidates.join(complete, [*keys, date], "inner")
-    values = [c for c in complete.columns if c not in keys]
-    latest = F.max_by(F.struct(*values), F.col(date)).alias("_row")
-    return matched.groupBy(*keys, "target").agg(latest).select(*keys, "target", "_row.*")
+    asked = targets.select(
+        *keys, F.col("target").alias("_on"), "target",
+        F.date_sub(loaded_to, days - FEATURE_LOOKBACK).alias("_first"),
+    )
+    line = known.unionByName(asked, allowMissingColumns=True)
+    upto = Window.partitionBy(*keys).orderBy("_on").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow  # rows of the same day included
+    )
+    placed = line.withColumn("_row", F.last("_row", ignorenulls=True).over(upto))
+    return placed.filter(
+        F.col("target").isNotNull() & (F.col("_row").getField(date) >= F.col("_first"))
+    ).select(*keys, "target", "_row.*")
 
 
 def _predictions(

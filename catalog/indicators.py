@@ -9,7 +9,7 @@ from bloomtide.functions import risk
 from bloomtide.operators import history, indicators, lookups
 from bloomtide.plans.bulletin import bulletin as all_indicators, bulletin_at, with_baselines
 from catalog.registry import query, r, rounded, rs
-from catalog.views import LONG_DAYS, PARTS, TARGET, days
+from catalog.views import LONG_DAYS, PARTS, TARGET, days, stored_days
 
 YEARLY = LONG_DAYS + PARTS + """,
 yearly AS (
@@ -114,7 +114,7 @@ def _result(df, *groups: str):
 
 
 def _with_history(spark, sf_dir):
-    table = days(spark, sf_dir)
+    table = stored_days(spark, sf_dir)
     return with_baselines(table, table)
 
 
@@ -156,7 +156,7 @@ def year_to_date_totals(spark, sf_dir):
 {r('b.mean_total', 'mean_total')}, {r('b.mean_peak', 'mean_peak')},
 {r('b.mean_start', 'mean_start')} FROM parts p LEFT JOIN baseline b ON p.station = b.station""")
 def attach_baseline(spark, sf_dir):
-    table = days(spark, sf_dir)
+    table = stored_days(spark, sf_dir)
     return rounded(lookups.attach_baseline(
         table.select("station", "date", "pollen_a"), history.station_baseline(table)
     ))
@@ -261,12 +261,12 @@ def peak_vs_history(spark, sf_dir):
 
 @query(_oracle(*SQL))
 def bulletin(spark, sf_dir):
-    return rounded(all_indicators(days(spark, sf_dir)))
+    return rounded(all_indicators(stored_days(spark, sf_dir)))
 
 
 @query(_oracle(*SQL) + " WHERE date = DATE '2001-04-15'")
 def bulletin_of_one_date(spark, sf_dir):
-    return rounded(bulletin_at(days(spark, sf_dir), TARGET))
+    return rounded(bulletin_at(stored_days(spark, sf_dir), TARGET))
 
 
 @query(f"""WITH {LONG_DAYS} SELECT station, date, {rs(*POLLEN)}, pollen_a > 30 AS pollen_a_above,

@@ -21,7 +21,7 @@ from bloomtide.session import scratch_path
 from bloomtide.streaming import daily_stream
 from catalog.registry import query, r, rounded, rs
 from catalog.views import (
-    FEATURES, FEEDS, LAST_TRAIN_YEAR, TARGET, TARGETS, class3, days, pollen, weather,
+    FEATURES, FEEDS, LAST_TRAIN_YEAR, TARGET, TARGETS, class3, days, pollen, stored_days, weather,
 )
 
 
@@ -174,7 +174,8 @@ def best_per_group(spark, sf_dir):
 # --- fitted models (rows only) -----------------------------------------------
 
 def _split(spark, sf_dir, taxon: str = "pollen_b", binary: bool = True):
-    table = features.target_binary_from3(_labelled(spark, sf_dir))
+    labelled = features.target3(features.feature_table(stored_days(spark, sf_dir)))
+    table = features.target_binary_from3(labelled)
     label = f"risk_bin_{taxon}_next" if binary else f"risk_{taxon}_next"
     rows = table.select("station", "date", *FEATURE_LIST, F.col(label).alias("label"))
     return features.year_split(rows, LAST_TRAIN_YEAR)
@@ -283,7 +284,7 @@ _DATES = """station, asked AS date, date AS feature_date,
 CASE WHEN pollen_a_lag1 > 30 THEN 'À risque' ELSE 'Faible' END AS label_a,
 CASE WHEN pollen_b_lag1 > 30 THEN 'À risque' ELSE 'Faible' END AS label_b FROM picked""")
 def score_date(spark, sf_dir):
-    table = days(spark, sf_dir)
+    table = stored_days(spark, sf_dir)
     return scoring.score_date(table, _targets(table), *_rules())
 
 
@@ -292,7 +293,7 @@ CASE WHEN {_probability('a')} >= 0.7 THEN 'À risque' ELSE 'Faible' END AS label
 CASE WHEN {_probability('b')} >= 0.7 THEN 'À risque' ELSE 'Faible' END AS label_b,
 {r(_probability('a'), 'proba_a')}, {r(_probability('b'), 'proba_b')}, 'api' AS source FROM picked""")
 def score_with_threshold(spark, sf_dir):
-    table = days(spark, sf_dir)
+    table = stored_days(spark, sf_dir)
     return rounded(scoring.score_with_threshold(
         table, _targets(table), *_rules(), threshold=0.7
     ))
@@ -313,7 +314,7 @@ CASE WHEN {_probability('b')} >= 0.5 THEN 'À risque' ELSE 'Faible' END AS label
 {r(_probability('a'), 'proba_a')}, {r(_probability('b'), 'proba_b')}, 'forecast' AS source
 FROM picked""")
 def score_horizon(spark, sf_dir):
-    table = days(spark, sf_dir)
+    table = stored_days(spark, sf_dir)
     archive = table.filter(F.col("date") <= F.lit(TARGET))
     forecast = table.filter(F.col("date") > F.lit(TARGET))
     return rounded(scoring.score_horizon(archive, forecast, TARGET, *_rules()))
@@ -332,11 +333,10 @@ def score_precomputed(spark, sf_dir):
 
 @query()
 def score_with_fitted_models(spark, sf_dir):
-    table = days(spark, sf_dir)
-    models = []
-    for taxon in POLLEN:
-        train, _ = _split(spark, sf_dir, taxon)
-        models.append(estimators.fit_logistic(train))
+    table = stored_days(spark, sf_dir)
+    labelled = features.target_binary_from3(features.target3(features.feature_table(table)))
+    train, _ = features.year_split(labelled, LAST_TRAIN_YEAR)
+    models = [estimators.fit_logistic(train, label=f"risk_bin_{p}_next") for p in POLLEN]
     return scoring.score_with_threshold(table, _targets(table), *models)
 
 

@@ -7,7 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from bloomtide.operators.daily import daily_calendar, daily_table
+from bloomtide.schemas import DAILY
+from bloomtide.session import scratch_path
 from bloomtide.sources import fixtures
+from bloomtide.sources.files import write_table
 
 TARGET = dt.date(2001, 4, 15)
 HOURLY_TARGET = dt.date(2024, 1, 28)
@@ -27,6 +30,13 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_calendar(fixtures.daily(spark, sf_dir))
 
 
+def stored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table written once and read back, for queries that read it repeatedly."""
+    path = scratch_path(spark, "days")
+    write_table(days(spark, sf_dir), path)
+    return spark.read.schema(DAILY).parquet(path)
+
+
 FEEDS = """
 pollen_hourly AS (
   SELECT user_id % 4 AS station, date_trunc('hour', ts) AS ts,
