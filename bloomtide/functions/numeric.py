@@ -27,9 +27,16 @@ def round1(value: str | Column) -> Column:
     return F.round(_col(value), 1)
 
 
+SUM_DIGITS = 9
+
+
 def truncate(value: str | Column) -> Column:
-    """Towards zero, as BIGINT."""
-    return _col(value).cast("bigint")
+    """Towards zero, as BIGINT.
+
+    A sum over many tasks depends in its last bits on the order of addition;
+    rounding it first keeps 757 from becoming 756 in some runs.
+    """
+    return F.round(_col(value), SUM_DIGITS).cast("bigint")
 
 
 def capped(value: Column, limit: float | int) -> Column:

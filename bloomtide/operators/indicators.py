@@ -142,10 +142,11 @@ def with_seasonal_anomaly(daily: DataFrame) -> DataFrame:
     a, b = (F.coalesce(F.col(p), F.lit(0.0)) for p in POLLEN)
     anomaly = (percent_change(a, F.col("mean_a")) + percent_change(b, F.col("mean_b"))) / 2
     value = F.col("anomaly")
+    shown = F.bround(value, 0)  # a half goes to the even number
     message = (
         F.when(F.abs(value) < ANOMALY_NORMAL, normal)
-        .when(value > 0, F.format_string(above, value))
-        .otherwise(F.format_string(below, value))
+        .when(value > 0, F.format_string(above, shown))
+        .otherwise(F.format_string(below, shown))
     )
     return daily.withColumn("anomaly", anomaly).withColumn("anomaly_message", message)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,6 +18,15 @@ class NoSourceError(RuntimeError):
     """Every source of a chain failed; the message names each failure."""
 
 
+def _replace(spark: SparkSession, staged: str, target: str) -> None:
+    """Put a completely written folder in the place of another."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(target), True)
+    if not fs.rename(path(staged), path(target)):
+        raise OSError(f"could not put {staged} in the place of {target}")
+
+
 def read_first_available(
     spark: SparkSession,
     sources: Sequence[tuple[str, Reader]],
@@ -25,10 +36,11 @@ def read_first_available(
 ) -> DataFrame:
     """The cached copy if there is one, else the first source that can be read.
 
-    Spark reads lazily, so a source counts as readable once its rows have been
-    written to the cache: a file that breaks halfway makes the next source take
-    over. The result is always read back from the cache and carries the origin
-    in ``source``: ``cache`` for a copy that was already there.
+    Spark reads lazily, so a source counts as readable once all its rows have
+    been written next to the cache: a file that breaks halfway makes the next
+    source take over, and an older copy stays until a new one is complete. The
+    result is always read from the cache and carries its origin in ``source``:
+    ``cache`` for a copy that was already there.
     """
     if not force_reload:
         try:
@@ -38,10 +50,12 @@ def read_first_available(
             pass  # no copy yet
     failures = []
     for name, reader in sources:
+        staged = f"{cache_path.rstrip('/')}.{uuid.uuid4().hex}"
         try:
-            reader(spark).write.mode("overwrite").parquet(cache_path)
-        except (PySparkException, OSError) as error:
+            reader(spark).write.parquet(staged)
+        except (PySparkException, Py4JJavaError, OSError) as error:
             failures.append(f"{name}: {type(error).__name__}: {str(error).splitlines()[0]}")
             continue
+        _replace(spark, staged, cache_path)
         return spark.read.parquet(cache_path).withColumn("source", F.lit(name))
     raise NoSourceError("; ".join(failures) or "no sources given")

@@ -425,7 +425,7 @@ def label_class(spark, sf_dir):
 
 @query(f"""WITH {LONG_DAYS} SELECT station, date,
 {r("round(wind / 50 * 10 + 1e-9, 1)", "rounded")},
-CAST(trunc(wind * 7) AS BIGINT) AS truncated,
+CAST(trunc(round(wind * 7, 9)) AS BIGINT) AS truncated,
 {r("CASE WHEN wind > 30 THEN 30 ELSE wind END", "capped")}, {r("abs(wind - 26)", "distance")} FROM days""")
 def round_trunc_cap(spark, sf_dir):
     return rounded(days(spark, sf_dir).select(
