@@ -34,15 +34,23 @@ def with_baselines(
 ) -> DataFrame:
     """Daily rows with their station's yearly means and day-of-year means.
 
-    Both baselines are far smaller than the daily table (one row per station;
-    at most 366 per station), and both joins use the station in their key.
+    The day-of-year means come as one map per station, of at most 366 entries.
+    So both joins are on the station alone, with one row per station on the
+    other side, and the daily table needs no second partitioning by station and
+    day of year: where nothing can be broadcast it is shuffled once, for the
+    joins and all windows together.
     """
     yearly = station_baseline(history, keys=keys, date=date)
     around = windowed_mean(history, wrap=wrap, keys=keys, date=date)
-    placed = daily.withColumn("doy", F.dayofyear(date))
-    return attach_baseline(
-        attach_baseline(placed, yearly, keys=keys), around, keys=(*keys, "doy")
+    entry = F.struct("doy", F.struct("mean_a", "mean_b"))
+    by_station = around.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_around")
     )
+    joined = attach_baseline(attach_baseline(daily, yearly, keys=keys), by_station, keys=keys)
+    usual = F.col("_around")[F.dayofyear(date)]
+    return joined.withColumns({
+        "mean_a": usual.getField("mean_a"), "mean_b": usual.getField("mean_b")
+    }).drop("_around")
 
 
 def bulletin(
