@@ -86,7 +86,7 @@ WASHOUT_MESSAGES = (
 )
 HEAT_TARGET = 300
 HEAT_REACHED = "Seuil bouleau (300°C·j) atteint — floraison active"
-HEAT_REMAINING = "%d°C·j avant le seuil de floraison"
+HEAT_REMAINING = "°C·j avant le seuil de floraison"  # after the number of degree days
 PROGRESS_BANDS = (60, 85)
 PROGRESS_PAST_PEAK = 65
 PROGRESS_MESSAGES = ("Saison en cours", "Le plus dur est passé 🎉")
@@ -94,14 +94,14 @@ ANOMALY_WINDOW = 7
 ANOMALY_NORMAL = 15
 ANOMALY_MESSAGES = (
     "Dans la normale saisonnière",
-    "Saison %+.0f%% au-dessus de la normale",
-    "Saison %+.0f%% en dessous de la normale",
+    ("Saison +", "% au-dessus de la normale"),  # around the number, which has its own minus
+    ("Saison ", "% en dessous de la normale"),
 )
 SEASON_START_LEVEL = 10.0
 SHIFT_USUAL = 3
 SHIFT_MESSAGES = (
-    "%d jours d'avance sur la moyenne",
-    "%d jours de retard sur la moyenne",
+    " jours d'avance sur la moyenne",  # after the number of days
+    " jours de retard sur la moyenne",
     "Démarrage dans les temps habituels",
 )
 INSUFFICIENT = "Données insuffisantes"

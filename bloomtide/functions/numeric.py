@@ -27,16 +27,22 @@ def round1(value: str | Column) -> Column:
     return F.round(_col(value), 1)
 
 
-SUM_DIGITS = 9
+SUM_ERROR = 1e-9
 
 
 def truncate(value: str | Column) -> Column:
     """Towards zero, as BIGINT.
 
     A sum over many tasks depends in its last bits on the order of addition;
-    rounding it first keeps 757 from becoming 756 in some runs.
+    the allowance keeps 757 from becoming 756 in some runs.
     """
-    return F.round(_col(value), SUM_DIGITS).cast("bigint")
+    v = _col(value)
+    return (v + F.signum(v) * SUM_ERROR).cast("bigint")
+
+
+def whole(value: Column) -> Column:
+    """Nearest whole number as text; a half goes to the even one."""
+    return F.rint(value).cast("bigint").cast("string")
 
 
 def capped(value: Column, limit: float | int) -> Column:

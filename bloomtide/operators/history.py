@@ -92,18 +92,20 @@ def windowed_mean(
         F.sum("pollen_a").alias("_sa"), F.count("pollen_a").alias("_na"),
         F.sum("pollen_b").alias("_sb"), F.count("pollen_b").alias("_nb"),
     )
-    near = F.sequence(F.col("_d") - half_width, F.col("_d") + half_width)
+    day, last = F.col("_d"), F.lit(LEAP_YEAR_LENGTH)
     if wrap:
-        near = F.transform(
-            near, lambda d: F.pmod(d - 1, F.lit(LEAP_YEAR_LENGTH)) + 1
+        near = F.explode(F.sequence(day - half_width, day + half_width))
+        near_days = per_day.withColumn("_n", near).withColumn(
+            "doy", F.pmod(F.col("_n") - 1, last) + 1
         )
     else:
-        near = F.filter(near, lambda d: (d >= 1) & (d <= LEAP_YEAR_LENGTH))
+        near = F.sequence(F.greatest(day - half_width, F.lit(1)), F.least(day + half_width, last))
+        near_days = per_day.withColumn("doy", F.explode(near))
 
     def mean(total: str, n: str) -> Column:
         return F.when(F.sum(n) > 0, F.sum(total) / F.sum(n))
 
-    return per_day.withColumn("doy", F.explode(near)).groupBy(*keys, "doy").agg(
+    return near_days.groupBy(*keys, "doy").agg(
         mean("_sa", "_na").alias("mean_a"), mean("_sb", "_nb").alias("mean_b")
     )
 

@@ -19,7 +19,9 @@ from bloomtide.fixed_values import (
     TIE_NAME, TREND_DAYS, WASHOUT_DAYS, WASHOUT_MESSAGES, WASHOUT_REFERENCE, WIND_MESSAGES,
     WIND_REFERENCE,
 )
-from bloomtide.functions.numeric import capped, degree_days, percent_change, round1, truncate
+from bloomtide.functions.numeric import (
+    capped, degree_days, percent_change, round1, truncate, whole,
+)
 from bloomtide.operators.filters import doy_window
 from bloomtide.operators.history import start_doy
 from bloomtide.operators.topk import latest_n
@@ -109,7 +111,7 @@ def with_heat_sum(daily: DataFrame, **running) -> DataFrame:
         "heat_reached": reached,
         "heat_remaining": F.greatest(left, F.lit(0)),
         "heat_message": F.when(reached, HEAT_REACHED)
-        .otherwise(F.format_string(HEAT_REMAINING, left)),
+        .otherwise(F.concat(left.cast("string"), F.lit(HEAT_REMAINING))),
     })
 
 
@@ -142,11 +144,13 @@ def with_seasonal_anomaly(daily: DataFrame) -> DataFrame:
     a, b = (F.coalesce(F.col(p), F.lit(0.0)) for p in POLLEN)
     anomaly = (percent_change(a, F.col("mean_a")) + percent_change(b, F.col("mean_b"))) / 2
     value = F.col("anomaly")
-    shown = F.bround(value, 0)  # a half goes to the even number
+
+    def around(text: tuple[str, str]) -> Column:
+        return F.concat(F.lit(text[0]), whole(value), F.lit(text[1]))
+
     message = (
         F.when(F.abs(value) < ANOMALY_NORMAL, normal)
-        .when(value > 0, F.format_string(above, shown))
-        .otherwise(F.format_string(below, shown))
+        .when(value > 0, around(above)).otherwise(around(below))
     )
     return daily.withColumn("anomaly", anomaly).withColumn("anomaly_message", message)
 
@@ -160,10 +164,11 @@ def with_phenology_shift(daily: DataFrame, **running) -> DataFrame:
     df = with_running(daily, ["season_start_doy"], **running)
     early, late, usual = SHIFT_MESSAGES
     shift = F.col("phenology_shift")
+    days = F.abs(shift).cast("string")
     message = (
         F.when(shift.isNull(), INSUFFICIENT)
-        .when(shift > SHIFT_USUAL, F.format_string(early, F.abs(shift)))
-        .when(shift < -SHIFT_USUAL, F.format_string(late, F.abs(shift)))
+        .when(shift > SHIFT_USUAL, F.concat(days, F.lit(early)))
+        .when(shift < -SHIFT_USUAL, F.concat(days, F.lit(late)))
         .otherwise(usual)
     )
     return df.withColumn(

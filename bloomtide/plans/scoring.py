@@ -178,3 +178,28 @@ def score_precomputed(
     return scored.withColumns({
         "proba_a": F.lit(None).cast("double"), "proba_b": F.lit(None).cast("double"),
     })
+
+
+def score_with_fallback(
+    daily: DataFrame, targets: DataFrame, stored: DataFrame, model_a, model_b, *,
+    threshold: float = DEFAULT_THRESHOLD, days: int = SCORE_DAYS,
+    keys: Sequence[str] = KEYS, date: str = DATE, reset: str | None = "year",
+) -> DataFrame:
+    """Like :func:`score_with_threshold`, falling back to stored features.
+
+    A target without complete recent features is labelled from ``stored``, by
+    the row of exactly its date and without probabilities; a target that is in
+    neither is missing from the result. ``source`` says where a row comes from.
+    """
+    recent = score_with_threshold(
+        daily, targets, model_a, model_b, threshold=threshold, days=days, keys=keys, date=date,
+        reset=reset,
+    )
+    exact = stored.join(
+        targets.select(*keys, F.col("target").alias(date)).distinct(), [*keys, date], "left_semi"
+    )
+    left = exact.join(recent.select(*keys, F.col("date").alias(date)), [*keys, date], "left_anti")
+    cached = _predictions(
+        left.withColumn("target", F.col(date)), model_a, model_b, keys, date, SOURCE_CACHE, None
+    ).withColumns({c: F.lit(None).cast("double") for c in ("proba_a", "proba_b")})
+    return recent.unionByName(cached)

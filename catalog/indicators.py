@@ -50,13 +50,13 @@ k AS (
          ELSE 'Égalité' END AS dominant,
     CASE WHEN pollen_a > pollen_b THEN pollen_a ELSE pollen_b END AS dominant_value,
     least(round(coalesce(wind, 0) / 50 * 10, 1), 10.0) AS wind_index,
-    least(CAST(trunc(round(rain3 / 15 * 100, 9)) AS BIGINT), 100) AS washout_score,
-    CAST(trunc(round(heat, 9)) AS BIGINT) AS heat_sum,
-    CASE WHEN mean_total > 0 THEN least(CAST(trunc(round(pollen_ytd / mean_total * 100, 9)) AS BIGINT), 100)
+    least(CAST(trunc(rain3 / 15 * 100 + sign(rain3 / 15 * 100) * 1e-9) AS BIGINT), 100) AS washout_score,
+    CAST(trunc(heat + sign(heat) * 1e-9) AS BIGINT) AS heat_sum,
+    CASE WHEN mean_total > 0 THEN least(CAST(trunc(pollen_ytd / mean_total * 100 + sign(pollen_ytd / mean_total * 100) * 1e-9) AS BIGINT), 100)
          ELSE 0 END AS season_progress,
     (CASE WHEN mean_a > 0 THEN (pollen_a - mean_a) / mean_a * 100 ELSE 0 END
      + CASE WHEN mean_b > 0 THEN (pollen_b - mean_b) / mean_b * 100 ELSE 0 END) / 2 AS anomaly,
-    CAST(trunc(round(mean_start - season_start_doy, 9)) AS BIGINT) AS phenology_shift,
+    CAST(trunc(mean_start - season_start_doy + sign(mean_start - season_start_doy) * 1e-9) AS BIGINT) AS phenology_shift,
     CASE WHEN mean_peak > 0 THEN (peak_ytd / mean_peak - 1) * 100 ELSE 0 END AS peak_change
   FROM run)
 """

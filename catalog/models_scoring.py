@@ -6,6 +6,8 @@ today); fitted models have no SQL counterpart and are checked by rows only.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from bloomtide.functions import risk
 from bloomtide.modeling import estimators, metrics, prepare, selection, store
 from bloomtide.operators import features, topk
 from bloomtide.operators.daily import join_hourly
-from bloomtide.plans import scoring
+from bloomtide.plans import scoring, training
 from bloomtide.schemas import JOINED_HOURLY
 from bloomtide.session import scratch_path
 from bloomtide.streaming import daily_stream
@@ -331,6 +333,42 @@ def score_precomputed(spark, sf_dir):
     return scoring.score_precomputed(stored, TARGET, *_rules())
 
 
+@query(f"""WITH {FEATURES},
+live AS (
+  SELECT * FROM (
+    SELECT t.date AS asked, c.*, row_number() OVER (
+      PARTITION BY t.station, t.date ORDER BY c.date DESC) AS k
+    FROM days t JOIN complete c ON c.station = t.station AND c.date <= t.date
+      AND c.date >= t.date - INTERVAL 13 DAY AND c.date >= DATE '1998-01-01' + INTERVAL 7 DAY) q
+  WHERE k = 1),
+stored AS (
+  SELECT c.* FROM complete c WHERE NOT EXISTS (
+    SELECT 1 FROM live l WHERE l.station = c.station AND l.asked = c.date))
+SELECT {_DATES},
+CASE WHEN {_probability('a')} >= 0.5 THEN 'À risque' ELSE 'Faible' END AS label_a,
+CASE WHEN {_probability('b')} >= 0.5 THEN 'À risque' ELSE 'Faible' END AS label_b,
+{r(_probability('a'), 'proba_a')}, {r(_probability('b'), 'proba_b')}, 'api' AS source FROM live
+UNION ALL SELECT station, date, date, CAST(date + INTERVAL 1 DAY AS DATE),
+CASE WHEN pollen_a_lag1 > 30 THEN 'À risque' ELSE 'Faible' END,
+CASE WHEN pollen_b_lag1 > 30 THEN 'À risque' ELSE 'Faible' END, NULL, NULL, 'cache' FROM stored""")
+def score_with_fallback(spark, sf_dir):
+    """Recent days start in 1998, all older dates have stored features only."""
+    table = stored_days(spark, sf_dir)
+    recent = table.filter(F.col("date") >= F.lit(dt.date(1998, 1, 1)))
+    stored = features.feature_table(table).dropna()
+    return rounded(scoring.score_with_fallback(recent, _targets(table), stored, *_rules()))
+
+
+@query()
+def training_run(spark, sf_dir):
+    labelled = training.labelled_features(stored_days(spark, sf_dir))
+    grid = {"logistic": {"c": (1.0,)}, "tree": {"max_depth": (3, 5)}}
+    done = training.train_and_evaluate(
+        labelled, "pollen_b", last_train_year=LAST_TRAIN_YEAR, grid=grid, splits=2
+    )
+    return done.gap
+
+
 @query()
 def score_with_fitted_models(spark, sf_dir):
     table = stored_days(spark, sf_dir)

@@ -11,9 +11,11 @@ from bloomtide.functions import calendar, numeric, risk
 from bloomtide.operators import (
     cleaning, daily, features, filters, gaps, profiling, topk, windows,
 )
+from bloomtide.plans import loading
+from bloomtide.session import scratch_path
 from catalog.registry import query, r, rounded, rs
 from catalog.views import (
-    FEATURES, FEEDS, HOURLY_DAILY, HOURLY_DAYS, HOURLY_TARGET, LAST_TRAIN_YEAR, LONG_DAYS, PARTS,
+    CALENDAR, FEATURES, FEEDS, HOURLY_DAILY, HOURLY_DAYS, HOURLY_TARGET, LAST_TRAIN_YEAR, LONG_DAYS, PARTS,
     TARGET, TARGETS, class3, days, hourly_days, pollen, weather,
 )
 
@@ -207,6 +209,32 @@ def archive_plus_forecast(spark, sf_dir):
     return rounded(daily.archive_plus_forecast(archive, forecast))
 
 
+@query(f"""WITH {FEEDS},
+daily AS (
+  SELECT station, CAST(ts AS DATE) AS date, max(pollen_a) AS pollen_a, max(pollen_b) AS pollen_b,
+         avg(temperature) AS temperature, coalesce(sum(precipitation), 0) AS precipitation,
+         avg(wind) AS wind
+  FROM joined WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-28'
+  GROUP BY 1, 2){CALENDAR} SELECT station, date, {FIVE_R} FROM days""")
+def daily_for_date(spark, sf_dir):
+    table = loading.daily_for_date(
+        pollen(spark, sf_dir), weather(spark, sf_dir), HOURLY_TARGET, days=20
+    )
+    return rounded(table)
+
+
+@query(f"""WITH {FEEDS},
+daily AS (SELECT station, CAST(ts AS DATE) AS date, max(pollen_a) AS pollen_a,
+  max(pollen_b) AS pollen_b, 0.0 AS temperature, 0.0 AS precipitation, 0.0 AS wind
+  FROM pollen_hourly GROUP BY 1, 2){CALENDAR}
+SELECT station, date, pollen_a, pollen_b, CAST(year(date) AS INTEGER) AS year,
+       CAST(dayofyear(date) AS INTEGER) AS doy, 'api' AS source FROM days""")
+def pollen_history(spark, sf_dir):
+    return loading.pollen_history(
+        spark, [("api", lambda s: pollen(s, sf_dir))], cache_path=scratch_path(spark, "history")
+    )
+
+
 # --- windows -----------------------------------------------------------------
 
 @query(f"""WITH {LONG_DAYS} SELECT station, date,
@@ -425,7 +453,7 @@ def label_class(spark, sf_dir):
 
 @query(f"""WITH {LONG_DAYS} SELECT station, date,
 {r("round(wind / 50 * 10 + 1e-9, 1)", "rounded")},
-CAST(trunc(round(wind * 7, 9)) AS BIGINT) AS truncated,
+CAST(trunc(wind * 7 + 1e-9) AS BIGINT) AS truncated,
 {r("CASE WHEN wind > 30 THEN 30 ELSE wind END", "capped")}, {r("abs(wind - 26)", "distance")} FROM days""")
 def round_trunc_cap(spark, sf_dir):
     return rounded(days(spark, sf_dir).select(
