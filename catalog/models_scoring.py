@@ -23,7 +23,7 @@ from bloomtide.session import scratch_path
 from bloomtide.streaming import daily_stream
 from catalog.registry import query, r, rounded, rs
 from catalog.views import (
-    FEATURES, FEEDS, LAST_TRAIN_YEAR, TARGET, TARGETS, class3, days, pollen, stored_days, weather,
+    FEATURES, FEEDS, LAST_TRAIN_YEAR, TARGET, TARGETS, class3, days, pollen, seasonal_days, stored_days, weather,
 )
 
 
@@ -176,8 +176,7 @@ def best_per_group(spark, sf_dir):
 # --- fitted models (rows only) -----------------------------------------------
 
 def _split(spark, sf_dir, taxon: str = "pollen_b", binary: bool = True):
-    labelled = features.target3(features.feature_table(stored_days(spark, sf_dir)))
-    table = features.target_binary_from3(labelled)
+    table = training.labelled_features(seasonal_days(spark, sf_dir))
     label = f"risk_bin_{taxon}_next" if binary else f"risk_{taxon}_next"
     rows = table.select("station", "date", *FEATURE_LIST, F.col(label).alias("label"))
     return features.year_split(rows, LAST_TRAIN_YEAR)
@@ -361,7 +360,7 @@ def score_with_fallback(spark, sf_dir):
 
 @query()
 def training_run(spark, sf_dir):
-    labelled = training.labelled_features(stored_days(spark, sf_dir))
+    labelled = training.labelled_features(seasonal_days(spark, sf_dir))
     grid = {"logistic": {"c": (1.0,)}, "tree": {"max_depth": (3, 5)}}
     done = training.train_and_evaluate(
         labelled, "pollen_b", last_train_year=LAST_TRAIN_YEAR, grid=grid, splits=2
@@ -371,8 +370,8 @@ def training_run(spark, sf_dir):
 
 @query()
 def score_with_fitted_models(spark, sf_dir):
-    table = stored_days(spark, sf_dir)
-    labelled = features.target_binary_from3(features.target3(features.feature_table(table)))
+    table = seasonal_days(spark, sf_dir)
+    labelled = training.labelled_features(table)
     train, _ = features.year_split(labelled, LAST_TRAIN_YEAR)
     models = [estimators.fit_logistic(train, label=f"risk_bin_{p}_next") for p in POLLEN]
     return scoring.score_with_threshold(table, _targets(table), *models)

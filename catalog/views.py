@@ -30,13 +30,22 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_calendar(fixtures.daily(spark, sf_dir))
 
 
-def stored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table written once and read back, for queries that read it repeatedly."""
+def _stored(spark: SparkSession, table: DataFrame) -> DataFrame:
     path = scratch_path(spark, "days")
-    write_table(days(spark, sf_dir), path)
+    write_table(table, path)
     return spark.read.schema(DAILY).parquet(path)
 
 
+def stored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table written once and read back, for queries that read it repeatedly."""
+    return _stored(spark, days(spark, sf_dir))
+
+
+def seasonal_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored daily table with learnable seasons, for fitted models."""
+    return _stored(spark, daily_calendar(fixtures.daily_seasonal(spark, sf_dir)))
+
+
 FEEDS = """
 pollen_hourly AS (
   SELECT user_id % 4 AS station, date_trunc('hour', ts) AS ts,
