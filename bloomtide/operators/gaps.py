@@ -1,8 +1,11 @@
 """Runs of missing values and regularity of the time step.
 
-An hourly series is long, so nothing here sorts a whole series in one task
-first. It is cut into calendar months, each month is reduced to its few runs
-(or step lengths), and only those meet in a window per key.
+An hourly series is long, so :func:`missing_runs` and :func:`step_counts` do not
+sort a whole series in one task. It is cut into calendar months, each month is
+reduced to its few runs (or step lengths), and only those meet in a window per
+key. :func:`change_blocks`, :func:`running_total` and :func:`step_diff` return
+every row with a value and order one key at a time: their input is a feed with
+one row per key and hour, whose length the calendar bounds.
 """
 
 from __future__ import annotations

@@ -25,7 +25,6 @@ from bloomtide.operators.topk import row_exact_or_fail
 from bloomtide.sources.scans import horizon_scan, trailing_window_scan
 
 KEYS = (STATION,)
-OUTPUT = ("label_a", "label_b", "proba_a", "proba_b", "source")
 
 
 def _risk_probability(df: DataFrame) -> Column:
@@ -88,23 +87,27 @@ def latest_features(
 
 
 def _predictions(
-    rows: DataFrame, model_a, model_b, keys: Sequence[str], date: str, source: str,
+    rows: DataFrame, model_a, model_b, keys: Sequence[str], date: str, source: Column,
     threshold: float | None,
 ) -> DataFrame:
-    """Labels per target; by threshold where given and a probability exists."""
+    """Labels per target; by threshold where given and a probability exists.
+
+    Rows from stored features keep the model's own label, without probabilities.
+    """
     scored = apply_models(rows, model_a, model_b)
     out = {}
     for side in ("a", "b"):
+        out[f"proba_{side}"] = F.when(source != SOURCE_CACHE, F.col(f"proba_{side}"))
         label = label_of_class(f"class_{side}")
         if threshold is not None:
-            label = F.coalesce(label_of_probability(f"proba_{side}", threshold), label)
+            label = F.coalesce(label_of_probability(out[f"proba_{side}"], threshold), label)
         out[f"label_{side}"] = label
     extra = [c for c in ("horizon",) if c in rows.columns]
     return scored.select(
         *keys, F.col("target").alias("date"), F.col(date).alias("feature_date"),
         F.date_add(date, 1).alias("predicted_date"), *extra,
-        *[c.alias(n) for n, c in out.items()], "proba_a", "proba_b",
-        F.lit(source).alias("source"),
+        *[out[n].alias(n) for n in ("label_a", "label_b", "proba_a", "proba_b")],
+        source.alias("source"),
     )
 
 
@@ -120,7 +123,7 @@ def score_date(
     """
     complete = _complete_features(daily, keys, date, reset)
     rows = latest_features(complete, targets, days=days, keys=keys, date=date)
-    scored = _predictions(rows, model_a, model_b, keys, date, SOURCE_API, None)
+    scored = _predictions(rows, model_a, model_b, keys, date, F.lit(SOURCE_API), None)
     return scored.drop("proba_a", "proba_b", "source")
 
 
@@ -135,7 +138,7 @@ def score_with_threshold(
     """
     complete = _complete_features(daily, keys, date, reset)
     rows = latest_features(complete, targets, days=days, keys=keys, date=date)
-    return _predictions(rows, model_a, model_b, keys, date, SOURCE_API, threshold)
+    return _predictions(rows, model_a, model_b, keys, date, F.lit(SOURCE_API), threshold)
 
 
 def score_horizon(
@@ -164,7 +167,7 @@ def score_horizon(
     rows = latest_features(
         complete, targets, days=days, keys=keys, date=date
     ).withColumn("horizon", F.date_diff(F.col("target"), F.lit(today)))
-    return _predictions(rows, model_a, model_b, keys, date, SOURCE_FORECAST, threshold)
+    return _predictions(rows, model_a, model_b, keys, date, F.lit(SOURCE_FORECAST), threshold)
 
 
 def score_precomputed(
@@ -174,10 +177,7 @@ def score_precomputed(
     """Labels from stored features of exactly one date; fails without that date."""
     rows = row_exact_or_fail(features, target, keys=keys, date=date)
     rows = rows.withColumn("target", F.lit(target))
-    scored = _predictions(rows, model_a, model_b, keys, date, SOURCE_CACHE, None)
-    return scored.withColumns({
-        "proba_a": F.lit(None).cast("double"), "proba_b": F.lit(None).cast("double"),
-    })
+    return _predictions(rows, model_a, model_b, keys, date, F.lit(SOURCE_CACHE), None)
 
 
 def score_with_fallback(
@@ -191,15 +191,14 @@ def score_with_fallback(
     the row of exactly its date and without probabilities; a target that is in
     neither is missing from the result. ``source`` says where a row comes from.
     """
-    recent = score_with_threshold(
-        daily, targets, model_a, model_b, threshold=threshold, days=days, keys=keys, date=date,
-        reset=reset,
-    )
-    exact = stored.join(
-        targets.select(*keys, F.col("target").alias(date)).distinct(), [*keys, date], "left_semi"
+    complete = _complete_features(daily, keys, date, reset)
+    recent = latest_features(complete, targets, days=days, keys=keys, date=date)
+    asked = targets.select(*keys, "target", F.col("target").alias(date)).distinct()
+    exact = stored.join(asked, [*keys, date], "inner").select(recent.columns)
+    both = recent.withColumn("source", F.lit(SOURCE_API)).unionByName(
+        exact.withColumn("source", F.lit(SOURCE_CACHE))
     )
-    left = exact.join(recent.select(*keys, F.col("date").alias(date)), [*keys, date], "left_anti")
-    cached = _predictions(
-        left.withColumn("target", F.col(date)), model_a, model_b, keys, date, SOURCE_CACHE, None
-    ).withColumns({c: F.lit(None).cast("double") for c in ("proba_a", "proba_b")})
-    return recent.unionByName(cached)
+    # At most two rows per target; "api" sorts before "cache".
+    rank = F.row_number().over(Window.partitionBy(*keys, "target").orderBy("source"))
+    rows = both.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return _predictions(rows, model_a, model_b, keys, date, F.col("source"), threshold)

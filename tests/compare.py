@@ -1,12 +1,13 @@
 """Runs registered queries next to their SQL oracles and reports differences.
 
-    python -m tests.compare [scale] [query ...]
+    [SESSION_ZONE=Europe/Paris] python -m tests.compare [scale] [query ...]
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -70,6 +71,7 @@ def main(argv: list[str]) -> int:
     scale = argv[0] if argv else "0.01"
     sf_dir = f"{DATA}/sf{scale}"
     spark, db = make_session(), connect(sf_dir)
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("SESSION_ZONE", "UTC"))
     queries, oracles = entry.queries(), entry.oracle_sql()
     failed = 0
     for name in argv[1:] or queries:
@@ -80,7 +82,7 @@ def main(argv: list[str]) -> int:
                 problems = differences(df, db, oracles[name])
             else:
                 problems = [] if df.collect() else ["no rows"]
-        except Exception as error:  # report every query, also after a failing one
+        except Exception as error:  # go on with the other queries
             problems = [f"{type(error).__name__}: {str(error)[:1500]}"]
         failed += bool(problems)
         mark = "FAIL" if problems else ("ok" if name in oracles else "rows")

@@ -93,3 +93,17 @@ def test_precomputed_features(spark, days, models):
     assert got[0]["source"] == "cache"
     with pytest.raises(Exception, match="no row dated"):
         scoring.score_precomputed(stored, D(2030, 1, 1), *models).collect()
+
+
+def test_fallback_to_stored_features(spark, days, models):
+    stored = feature_table(days).dropna()
+    recent = days.filter(F.col("date") >= FIRST + dt.timedelta(days=30))
+    got = by_offset(scoring.score_with_fallback(
+        recent, targets(spark, 3, 20, 32, 39, 59), stored, *models, threshold=0.3
+    ))
+    assert {o: r["source"] for o, r in got.items()} == {
+        20: "cache", 32: "cache", 39: "api", 59: "api"
+    }
+    # Stored rows: the model's own label (above 30), no probability.
+    assert (got[32]["label_a"], got[32]["proba_a"]) == ("À risque", None)
+    assert (got[39]["label_a"], got[39]["proba_a"]) == ("À risque", 0.38)
