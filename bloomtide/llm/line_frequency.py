@@ -13,29 +13,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bloomtide.llm.common import SPACE, text_of, words_of
+from bloomtide.llm.common import BLANKS, number_of, replaced, text_of, words_of
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
 
 
 def host_key(host: str) -> Column:
     return F.when(F.col(host).isNull(), F.lit("n")).otherwise(F.concat(F.lit("h"), F.col(host).cast("string")))
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
-
-
-def line_hashes(text: Column) -> Column:
-    """The hash of each ``\\n``-split line, normalised, in order."""
-    return F.transform(F.split(text, "\n"), lambda line: F.xxhash64(normalised(line)))
+def normalised_lines(text: Column) -> Column:
+    """The ``\\n``-split lines in order: lower case, runs of blanks as one space, trimmed."""
+    plain = F.regexp_replace(replaced(F.lower(text), "\t\x0b\x0c\r", " "), " {2,}", " ")
+    plain = F.replace(F.replace(plain, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return F.split(F.trim(plain), "\n")
 
 
 def distinct_lines(documents: DataFrame, text: str, host: str) -> DataFrame:
     """(host_key, text_hash, line, words), once for each distinct line of each distinct text."""
-    lines = F.array_distinct(F.transform(F.split(text_of(text), "\n"), normalised))
+    lines = F.array_distinct(normalised_lines(text_of(text)))
     return (
         documents.select(host_key(host).alias("host_key"), F.xxhash64(text_of(text)).alias("text_hash"),
                          F.explode(lines).alias("line_text"))
@@ -67,15 +64,23 @@ def removals(documents: DataFrame, text: str = "text", host: str = "source", min
         F.collect_set("line").alias("removed_lines"), F.sum("words").alias("n_removed_words"))
 
 
-def sorted_windows(words: Column) -> Column:
-    """The 3-word windows as (hash, place), sorted: equal windows are neighbours."""
+def window_hashes(words: Column) -> Column:
+    """The hash of each 3-word window, in order."""
     n = F.size(words)
-    m = F.greatest(n - 2, F.lit(0))
-    return F.when(n >= 3, F.array_sort(F.zip_with(
-        F.zip_with(F.slice(words, 1, m), F.slice(words, 2, m), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        F.transform(F.slice(words, 3, m), lambda c, i: F.struct(c.alias("c"), i.alias("i"))),
-        lambda ab, ci: F.struct(F.xxhash64(ab["a"], ab["b"], ci["c"]).alias("h"), ci["i"].alias("i")),
-    )))
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 2, F.lit(0))), F.slice(words, 2, F.greatest(n - 2, F.lit(0))),
+                       lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(pairs, F.slice(words, 3, F.greatest(n - 2, F.lit(0))), lambda ab, c: F.xxhash64(ab, c))
+
+
+def repeated_places(windows: Column) -> Column:
+    """The sorted places of windows that occur twice or more.
+
+    Equal windows become neighbours by sorting (hash, place); a text without a
+    repeat, found by its number of distinct windows, is not sorted.
+    """
+    n = F.size(windows)
+    ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < n, ordered)
 
 
 def cover(places: Column) -> Column:
@@ -92,31 +97,32 @@ def with_base_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     removed words are held.
     """
     body = text_of(text)
-    own = {"_words", "_windows", "_lines", "_next", "_places"}
+    own = {"_words", "_windows", "_lines", "_plain", "_ordered", "_places"}
     keep = [c for c in documents.columns if c not in own]
-    solid = F.translate(body, BLANKS, "")
-    marks = F.translate(body, SYMBOLS, "")
-    lines = F.filter(F.split(body, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
-    plain = F.array_distinct(F.transform(F.split(body, "\n"), normalised))
     staged = (
         documents.select(
-            *keep, words_of(body).alias("_words"), lines.alias("_lines"),
-            F.length(solid).cast("long").alias("word_chars"),
-            (F.length(body) - F.length(marks)).cast("long").alias("n_symbols"),
-            F.size(F.split(F.trim(F.array_join(F.filter(plain, lambda x: x != ""), " ")), " ")).cast("long").alias("n_line_words"),
+            *keep, words_of(body).alias("_words"),
+            F.filter(F.split(body, "\n"), lambda line: F.length(replaced(line, BLANKS)) > 0).alias("_lines"),
+            F.length(replaced(body, BLANKS)).cast("long").alias("word_chars"),
+            number_of(body, SYMBOLS).cast("long").alias("n_symbols"),
+            F.array_remove(F.array_distinct(normalised_lines(body)), "").alias("_plain"),
         )
         .withColumn("n_words", F.size("_words").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("_windows", sorted_windows(F.col("_words")))
+        .withColumn("_plain", F.array_join("_plain", " "))
+        .withColumn("n_line_words", F.when(F.col("_plain") == "", F.lit(0)).otherwise(number_of(F.col("_plain"), " ") + 1).cast("long"))
+        .withColumn("_windows", window_hashes(F.col("_words")))
+        .withColumn("_ordered", repeated_places(F.col("_windows")))
     )
-    sorted_ = F.col("_windows")
-    following = F.zip_with(F.slice(sorted_, 1, F.greatest(F.size(sorted_) - 1, F.lit(0))), F.slice(sorted_, 2, F.greatest(F.size(sorted_) - 1, F.lit(0))),
-                           lambda a, b: F.struct(a["i"].alias("a"), b["i"].alias("b"), (a["h"] == b["h"]).alias("same")))
+    ordered = F.col("_ordered")
+    shorter = F.greatest(F.size(ordered) - 1, F.lit(0))
+    neighbours = F.zip_with(F.slice(ordered, 1, shorter), F.slice(ordered, 2, shorter),
+                            lambda a, b: F.struct(a["i"].alias("a"), b["i"].alias("b"), (a["h"] == b["h"]).alias("same")))
     places = F.array_sort(F.array_distinct(F.flatten(F.transform(
-        F.filter(following, lambda x: x["same"]), lambda x: F.array(x["a"], x["b"])))))
+        F.filter(neighbours, lambda x: x["same"]), lambda x: F.array(x["a"], x["b"])))))
     return (
-        staged.withColumn("_places", F.coalesce(places, F.array().cast("array<int>")))
-        .withColumn("n_repeat_words", cover(F.col("_places")).cast("long"))
+        staged.withColumn("_places", places)
+        .withColumn("n_repeat_words", F.coalesce(cover(F.col("_places")), F.lit(0)).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_line_words", "base_failed")
     )
@@ -143,6 +149,7 @@ def quality_rules(documents: DataFrame, text: str = "text", host: str = "source"
 
 def without_lines(text: Column, removed: Column) -> Column:
     """The text without the lines whose hash is removed, other lines unchanged."""
-    pairs = F.arrays_zip(F.split(text, "\n").alias("line"), line_hashes(text).alias("hash"))
+    pairs = F.zip_with(F.split(text, "\n"), normalised_lines(text),
+                       lambda line, plain: F.struct(line.alias("line"), F.xxhash64(plain).alias("hash")))
     left = F.filter(pairs, lambda x: ~F.array_contains(removed, x["hash"]))
     return F.when(removed.isNull(), text).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))

@@ -29,7 +29,7 @@ def op1_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held_out)
-    model = pairwise_quality.fit_pairwise(documents.join(labels, "doc_id"))
+    model = pairwise_quality.fit_pairwise(documents, labels)
     return (
         pairwise_quality.with_features(documents)
         .select("doc_id", held_out.alias("held_out"), model.score(0.3).alias("score"))
