@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bloomtide.session import ensure_checkpoint_dir
+from bloomtide.session import scratch_path
 
 #: Word separators of every operator here: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,10 +47,35 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(replaced(text, BLANKS[1:], " "), " "), "")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files that all executors can read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the table has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+class Scratch:
+    """Tables written to the shared folder, which cut lineage and survive lost executors."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, self.name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_but_last(self, keep: int = 1) -> None:
+        """Delete all tables but the last ``keep``."""
+        while len(self.paths) > keep:
+            delete_path(self.spark, self.paths.pop(0))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

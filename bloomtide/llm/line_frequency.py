@@ -136,9 +136,7 @@ def quality_rules(documents: DataFrame, text: str = "text", host: str = "source"
     limits hold more than ``1 - min_left`` of the words of its distinct lines.
     Added columns replace columns of the same name.
     """
-    added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_line_words", "base_failed",
-             "host_key", "text_hash", "removed_lines", "n_removed_words", "kept"}
-    rows = documents.select(*[c for c in documents.columns if c not in added - {text, host}])
+    rows = documents.select(*[c for c in documents.columns if c not in ADDED])
     gone = removals(documents, text, host, min_documents, max_share)
     counted = with_base_counts(
         rows.withColumns({"host_key": host_key(host), "text_hash": F.xxhash64(text_of(text))}), text)
@@ -147,6 +145,10 @@ def quality_rules(documents: DataFrame, text: str = "text", host: str = "source"
         "kept", ~F.col("base_failed") & (left >= min_left * F.col("n_line_words")))
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_line_words", "base_failed",
+         "host_key", "text_hash", "removed_lines", "n_removed_words", "kept")
+
+
 def without_lines(text: Column, removed: Column) -> Column:
     """The text without the lines whose hash is removed, other lines unchanged."""
     pairs = F.zip_with(F.split(text, "\n"), normalised_lines(text),

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bloomtide.llm import interleaving, line_frequency, pairwise_quality
-from bloomtide.llm.common import read, text_of
+from bloomtide.llm import (
+    byte_repeats, decontamination, interleaving, line_frequency, ngram_join, pairwise_quality, secrets_scan, segmentations,
+    site_templates, word_repeats,
+)
+from bloomtide.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,3 +99,68 @@ FROM counted c LEFT JOIN gone g ON g.host = c.host AND g.text = c.text
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality_rules(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The vocabulary of the token query and of the pipeline; a parameter of the operator.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query()
+def op4_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    sampled = segmentations.with_segmentations(documents, MODEL_FILE).select("doc_id", F.explode("segmentations").alias("s"))
+    return sampled.select(
+        "doc_id", "s.rank", F.size("s.ids").cast("long").alias("n_pieces"), "s.log_prob", "s.perturbed", "s.inclusion", "s.ids")
+
+
+@query()
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def span_list(spans: Column, kinds: tuple[str, ...]) -> Column:
+    """kind:start:end of the spans of these kinds, joined by commas."""
+    wanted = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(wanted, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query()
+def op7_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets_scan.with_secrets(documents).select("doc_id", "secrets")
+    kinds = F.transform("secrets", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in secrets_scan.KINDS]
+    base = secrets_scan.KINDS[:3]
+    return found.select(
+        "doc_id", *counts, F.sha2(span_list(F.col("secrets"), base), 256).alias("base_sha256"),
+        span_list(F.col("secrets"), secrets_scan.KINDS).alias("spans"))
+
+
+@query()
+def op8_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontamination.with_benchmark_hits(documents, read(spark, sf_dir, "benchmark"))
+    return hits.select(
+        "doc_id", (F.size("benchmark_hits") > 0).alias("contaminated"),
+        F.transform("benchmark_hits", lambda h: h["item_id"]).alias("item_ids"),
+        F.transform("benchmark_hits", lambda h: h["distance"]).alias("distances"))
+
+
+@query()
+def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = site_templates.with_main_text(read(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op5_suffix_tree_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_repeats.repeated_passages(read(spark, sf_dir, "documents"))
+    return word_repeats.without_passages(found).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op9_two_stage_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_repeats.repeated_strings(read(spark, sf_dir, "documents"))
+    return byte_repeats.without_strings(found).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
