@@ -46,6 +46,8 @@ def positions(rows: DataFrame, keys: list[str], bucket: str, order: list[str], n
     ``bucket`` must not decrease in the wanted order; ``order`` sorts within one.
     """
     counts = rows.groupBy(*keys, bucket).agg(F.count("*").alias("n"))
+    # dealt by key and bucket; a partitioning by the key alone, left by a join, would do for the window too
+    rows = rows.repartition(*keys, bucket)
     rank = F.row_number().over(W.partitionBy(*keys, bucket).orderBy(*order))
     return rows.withColumn("_rank", rank).join(offsets_of(counts, keys, bucket), [*keys, bucket]).withColumn(
         name, F.col("before") + F.col("_rank") - 1).drop("_rank", "before", bucket)

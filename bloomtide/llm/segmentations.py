@@ -63,7 +63,7 @@ class Vocabulary:
     byte_log: float
     hashes: list[np.ndarray]
     ids: list[np.ndarray]
-    logs: list[np.ndarray]
+    weights: list[np.ndarray]
     alive: list[np.ndarray]
 
     @property
@@ -117,7 +117,7 @@ def load_vocabulary(path: str) -> Vocabulary:
         pieces, byte_ids, float(np.log(byte_weight / total)),
         [np.array(keys, np.uint64) for keys in tables],
         [np.array([v[0] for v in values], np.int32) for values in found],
-        [np.array([v[1] for v in values]) for values in found],
+        [np.exp(np.array([v[1] for v in values])) for values in found],
         [np.array([h in p for h in keys], bool) for keys, p in zip(tables, prefixes, strict=True)])
 
 
@@ -146,8 +146,12 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Lattice:
     """The lattice of the distinct chunks of a slice, a row for each position of each chunk.
 
-    ``p[row, l]`` is the probability, given the position, that the next piece has
-    l + 1 characters; ``cum`` its sums.
+    Rows are laid out by the number of characters left, and within one number by
+    falling size of the chunk: whatever lies ``l`` characters further on is the
+    same stretch of rows in another place, and no lookup is needed to sum over it.
+
+    ``p[l, row]`` is the probability, given the position, that the next piece has
+    l + 1 characters; ``best`` its most likely length.
     """
 
     def __init__(self, chars: np.ndarray, text_starts: np.ndarray, words: Vocabulary):
@@ -161,96 +165,106 @@ class Lattice:
         place = np.arange(n) - np.repeat(first, length)
         terms = mix(chars.astype(np.uint64) | (place.astype(np.uint64) << np.uint64(24)))
         names = np.add.reduceat(terms, first) if n else np.empty(0, np.uint64)
-        _, sample, self.kind = np.unique(names, return_index=True, return_inverse=True)
+        _, sample, kind = np.unique(names, return_index=True, return_inverse=True)
+        order = np.argsort(-length[sample], kind="stable")
+        sample = sample[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         sizes = length[sample]
-        #: of each chunk of the slice, the row where its kind begins
-        bases = np.cumsum(sizes + 1) - (sizes + 1)
+        counts = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes.max(initial=0) + 1))
+        #: rows with so many characters left begin here
+        self.base = np.concatenate([[0], np.cumsum(counts)])
+        self.left = np.repeat(np.arange(len(counts)), counts)
+        #: of each chunk of the slice the row where it begins, and its first character
+        self.chunk_row = self.base[length] + rank[kind]
+        self.chunk_at = first
         self.first_chunk = np.searchsorted(first, text_starts)
-        self.base = bases[self.kind]
-        rows = int((sizes + 1).sum())
         kind_of = np.repeat(np.arange(len(sizes)), sizes)
         inner = np.arange(len(kind_of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = bases[kind_of] + inner
-        self.chars = np.zeros(rows, np.uint32)
-        self.chars[at] = chars[first[sample][kind_of] + inner]
-        left = np.zeros(rows, np.int64)
-        left[at] = sizes[kind_of] - inner
-        self.last = left == 0
-        size = np.zeros(rows, np.int64)
-        size[at] = sizes[kind_of]
-        self.edges(words, left)
-        self.backward(left, size)
-
-    def edges(self, words: Vocabulary, left: np.ndarray) -> None:
+        self.chars = np.zeros(len(self.left), np.uint32)
+        self.chars[self.base[sizes[kind_of] - inner] + kind_of] = chars[first[sample][kind_of] + inner]
+        self.edges(words)
+        self.backward(counts)
+
+    def onward(self, row: np.ndarray, steps) -> np.ndarray:
+        """The rows so many characters further on."""
+        left = self.left[row]
+        return row - self.base[left] + self.base[left - steps]
+
+    def edges(self, words: Vocabulary) -> None:
         """Weights and ids of the pieces that begin at each row, by length."""
-        rows, k = len(self.chars), words.longest
-        weights, ids = [], []
-        active = np.flatnonzero(left > 0)
-        value = np.zeros(len(active), np.uint64)
-        for l in range(k):
-            fits = left[active] > l
-            active, value = active[fits], value[fits]
+        self.p = np.zeros((words.longest, len(self.chars)))
+        self.ids = np.full((words.longest, len(self.chars)), -1, np.int32)
+        active = np.flatnonzero(self.left > 0)
+        value, at, left, used = np.zeros(len(active), np.uint64), active, self.left[active], 1
+        for l in range(words.longest):
             if not len(active):
                 break
-            value = value * POINT + self.chars[active + l].astype(np.uint64) + np.uint64(1)
+            value = value * POINT + self.chars[at].astype(np.uint64) + np.uint64(1)
             where, there = find(words.hashes[l], value)
-            weight, own = np.zeros(rows), np.full(rows, -1, np.int32)
-            own[active] = np.where(there, words.ids[l][where], -1)
-            weight[active] = np.where(there, np.exp(words.logs[l][where]), 0.0)
+            whole = there & (words.ids[l][where] >= 0)
+            self.ids[l, active[whole]] = words.ids[l][where[whole]]
+            self.p[l, active[whole]] = words.weights[l][where[whole]]
+            if whole.any():
+                used = l + 1
             if l == 0:
-                plain = active[own[active] < 0]
+                plain = active[~whole]
                 n_bytes = 1 + (self.chars[plain] > 0x7F) + (self.chars[plain] > 0x7FF) + (
                     (self.chars[plain] > 0xFFFF) & (self.chars[plain] != LITERAL))
-                weight[plain] = np.exp(n_bytes * words.byte_log)
-            weights.append(weight)
-            ids.append(own)
-            go = there & words.alive[l][where]
-            active, value = active[go], value[go]
-        while len(weights) > 1 and not weights[-1].any():
-            weights.pop()
-            ids.pop()
-        self.p = np.stack(weights, axis=1) if weights else np.zeros((rows, 1))
-        self.ids = np.stack(ids, axis=1) if ids else np.full((rows, 1), -1, np.int32)
-
-    def backward(self, left: np.ndarray, size: np.ndarray) -> None:
+                self.p[0, plain] = np.exp(n_bytes * words.byte_log)
+            go = np.flatnonzero(there & words.alive[l][where] & (left > 1))
+            active, value, at, left = active[go], value[go], at[go], left[go]
+            at = at - self.base[left] + self.base[left - 1]
+            left = left - 1
+        self.p, self.ids = self.p[:used], self.ids[:used]
+
+    def backward(self, counts: np.ndarray) -> None:
         """Turn weights into probabilities of the next piece given the position.
 
-        From the ends of the chunks the weight of all that follows is summed up;
-        for chunks long enough to underflow, as logarithms.
+        From the ends of the chunks the weight of all that follows is summed up,
+        as logarithms where it could underflow.
         """
-        k = self.p.shape[1]
-        rest = np.zeros(len(left) + k)
-        rest[:len(left)][left == 0] = 1.0
-        long_ = size > LONG
-        order = np.argsort(np.where(long_, 0, left), kind="stable")
-        cuts = np.searchsorted(np.where(long_, 0, left)[order], np.arange(LONG + 2))
-        for d in range(1, LONG + 1):
-            rows = order[cuts[d]:cuts[d + 1]]
-            if len(rows):
-                reach = min(d, k)
-                terms = self.p[rows, :reach] * rest[rows[:, None] + np.arange(1, reach + 1)]
-                total = terms.sum(axis=1)
-                rest[rows] = total
-                self.p[rows, :reach] = terms / total[:, None]
-        if long_.any():
-            self.backward_logs(left, np.flatnonzero(long_ & (left > 0)))
-        self.cum = np.cumsum(self.p, axis=1, dtype=np.float64).astype(np.float32)
-
-    def backward_logs(self, left: np.ndarray, rows: np.ndarray) -> None:
-        k = self.p.shape[1]
-        rest = np.full(len(left) + k, -np.inf)
-        rest[:len(left)][left == 0] = 0.0
-        order = rows[np.argsort(left[rows], kind="stable")]
-        depths, cuts = np.unique(left[order], return_index=True)
-        for d, rows_d in zip(depths.tolist(), np.split(order, cuts[1:]), strict=True):
-            reach = min(d, k)
-            with np.errstate(divide="ignore"):
-                terms = np.log(self.p[rows_d, :reach]) + rest[rows_d[:, None] + np.arange(1, reach + 1)]
-            top = terms.max(axis=1)
-            terms = np.exp(terms - top[:, None])
-            total = terms.sum(axis=1)
-            rest[rows_d] = top + np.log(total)
-            self.p[rows_d, :reach] = terms / total[:, None]
+        base, k = self.base, len(self.p)
+        rest = np.zeros(len(self.left))
+        rest[:counts[0] if len(counts) else 0] = 1.0
+        for d in range(1, min(len(counts), LONG + 1)):
+            here = slice(base[d], base[d + 1])
+            n = counts[d]
+            terms = self.p[:min(d, k), here]
+            for l in range(len(terms)):
+                terms[l] *= rest[base[d - l - 1]:base[d - l - 1] + n]
+            total = terms.sum(axis=0)
+            rest[here] = total
+            terms /= total
+        with np.errstate(divide="ignore"):
+            if len(counts) > LONG + 1:
+                rest = np.log(rest)
+            for d in range(LONG + 1, len(counts)):
+                here, n = slice(base[d], base[d + 1]), counts[d]
+                terms = self.p[:k, here]
+                logs = np.log(terms) + np.stack([rest[base[d - l - 1]:base[d - l - 1] + n] for l in range(k)])
+                top = logs.max(axis=0)
+                np.exp(logs - top, out=logs)
+                total = logs.sum(axis=0)
+                rest[here] = top + np.log(total)
+                terms[:] = logs / total
+        self.best = self.p.argmax(axis=0)
+        self.best_p = self.p[self.best, np.arange(len(self.left))]
+
+    def draw(self, row: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The length index of the next piece: the most likely one first, else the others in order."""
+        l = self.best[row]
+        rest = np.flatnonzero(u >= self.best_p[row])
+        if len(rest):
+            rows, best, left = row[rest], l[rest], u[rest] - self.best_p[row[rest]]
+            choice = best.copy()
+            for i in range(len(self.p)):
+                p = np.where(best == i, 0.0, self.p[i, rows])
+                choice[(p > 0) & (left >= 0)] = i  # rounding may leave a remainder: the last one then
+                left = left - p
+                left[left < 0] = -1.0
+            l[rest] = choice
+        return l
 
 
 class Noise:
@@ -273,14 +287,10 @@ def walk(lattice: Lattice, row: np.ndarray, text: np.ndarray, place: np.ndarray,
     """
     out = []
     while len(row):
-        u = noise(text, rank, place, 1).astype(np.float32)
-        l = np.minimum((lattice.cum[row] <= u[:, None]).sum(axis=1), lattice.cum.shape[1] - 1)
-        bad = lattice.p[row, l] <= 0  # the last sum may round below 1
-        if bad.any():
-            l[bad] = np.argmax(lattice.p[row[bad]], axis=1)
+        l = lattice.draw(row, noise(text, rank, place, 1))
         out.append((text, place, row, l))
-        row, place = row + l + 1, place + l + 1
-        go = ~lattice.last[row]
+        row, place = lattice.onward(row, l + 1), place + l + 1
+        go = lattice.left[row] > 0
         row, place, text = row[go], place[go], text[go]
     if not out:
         return tuple(np.empty(0, np.int64) for _ in range(4))
@@ -295,7 +305,7 @@ class Path:
     def __init__(self, steps, lattice: Lattice, n_texts: int):
         self.text, self.place, self.row, self.l = steps
         self.starts = np.searchsorted(self.text, np.arange(n_texts + 1))
-        self.p = lattice.p[self.row, self.l]
+        self.p = lattice.p[self.l, self.row]
         sums = np.concatenate([[0.0], np.cumsum(np.log(self.p))])
         self.before = sums[:-1] - sums[self.starts[:-1]][self.text]
         self.log_prob = sums[self.starts[1:]] - sums[self.starts[:-1]]
@@ -304,13 +314,13 @@ class Path:
 
     def open(self, steps: np.ndarray, lattice: Lattice) -> np.ndarray:
         """The lengths not taken at the steps."""
-        return (self.taken[steps][:, None] >> np.arange(lattice.p.shape[1])) & 1 == 0
+        return (self.taken[steps] >> np.arange(len(lattice.p))[:, None]) & 1 == 0
 
     def draw(self, steps: np.ndarray, limit: np.ndarray, lattice: Lattice, noise: Noise, rank: int) -> None:
         """Noise of the best path that leaves at each of the steps by a length not taken, below ``limit``."""
         mass = 1 - self.p[steps]
         exact = np.flatnonzero((mass < 1e-6) | (self.taken[steps] != np.left_shift(1, self.l[steps])))
-        mass[exact] = np.where(self.open(steps[exact], lattice), lattice.p[self.row[steps[exact]]], 0.0).sum(axis=1)
+        mass[exact] = np.where(self.open(steps[exact], lattice), lattice.p[:, self.row[steps[exact]]], 0.0).sum(axis=0)
         with np.errstate(divide="ignore"):
             location = self.before[steps] + np.log(mass)
             u = noise(self.text[steps], rank, self.place[steps], 2)
@@ -335,11 +345,10 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, words: Vocabulary) -> li
     chars, text_starts = code_points(texts)
     lattice, noise = Lattice(chars, text_starts, words), Noise(seeds)
     chunk_text = np.repeat(np.arange(n), np.diff(lattice.first_chunk))
-    chunk_at = chunk_starts(lattice, chars)
-    chunk_place = chunk_at - text_starts[chunk_text]
+    chunk_place = lattice.chunk_at - text_starts[chunk_text]
     whole = np.arange(n)
     top = -np.log(-np.log(noise(whole, 0, np.zeros(n), 0)))
-    path = Path(walk(lattice, lattice.base, chunk_text, chunk_place, noise, 0), lattice, n)
+    path = Path(walk(lattice, lattice.chunk_row, chunk_text, chunk_place, noise, 0), lattice, n)
     path.draw(np.arange(len(path.row)), top[path.text], lattice, noise, 0)
     paths, perturbed, has = [path], [top], [np.ones(n, bool)]
     while True:
@@ -359,13 +368,13 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, words: Vocabulary) -> li
             at = found[i][1][mine]
             # another length at the step, among those not taken, by its probability
             rows = p.row[at]
-            open_ = np.where(p.open(at, lattice), lattice.p[rows], 0.0)
-            cum = np.cumsum(open_, axis=1)
-            u = noise(mine, rank, p.place[at], 3) * cum[:, -1]
-            l = np.minimum((cum <= u[:, None]).sum(axis=1), cum.shape[1] - 1)
-            bad = open_[np.arange(len(l)), l] <= 0
+            open_ = np.where(p.open(at, lattice), lattice.p[:, rows], 0.0)
+            cum = np.cumsum(open_, axis=0)
+            u = noise(mine, rank, p.place[at], 3) * cum[-1]
+            l = np.minimum((cum <= u).sum(axis=0), len(cum) - 1)
+            bad = open_[l, np.arange(len(l))] <= 0
             if bad.any():
-                l[bad] = np.argmax(open_[bad], axis=1)
+                l[bad] = np.argmax(open_[:, bad], axis=0)
             p.taken[at] |= np.left_shift(1, l)
             p.draw(at, bound[mine], lattice, noise, rank)
             # pieces up to the step stay, the step's is new, the rest is sampled afresh
@@ -375,13 +384,13 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, words: Vocabulary) -> li
             keep = depth < cut_of[p.text]
             steps.append(tuple(x[keep] for x in (p.text, p.place, p.row, p.l)))
             steps.append((mine, p.place[at], rows, l))
-            on, on_place = rows + l + 1, p.place[at] + l + 1
-            go = ~lattice.last[on]
+            on, on_place = lattice.onward(rows, l + 1), p.place[at] + l + 1
+            go = lattice.left[on] > 0
             steps.append(walk(lattice, on[go], mine[go], on_place[go], noise, rank))
             limit_place = np.full(n, np.iinfo(np.int64).max)
             limit_place[mine] = p.place[at]
             later = chunk_place > limit_place[chunk_text]
-            steps.append(walk(lattice, lattice.base[later], chunk_text[later], chunk_place[later], noise, rank))
+            steps.append(walk(lattice, lattice.chunk_row[later], chunk_text[later], chunk_place[later], noise, rank))
         merged = [np.concatenate(x) for x in zip(*steps, strict=True)] if steps else [np.empty(0, np.int64)] * 4
         order = np.lexsort((merged[1], merged[0]))
         new = Path(tuple(x[order] for x in merged), lattice, n)
@@ -397,17 +406,9 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, words: Vocabulary) -> li
     return [collect(i, p, lattice, words, perturbed[i], has[i], bound) for i, p in enumerate(paths)]
 
 
-def chunk_starts(lattice: Lattice, chars: np.ndarray) -> np.ndarray:
-    """The character where each chunk begins."""
-    sizes = np.zeros(len(lattice.base), np.int64)
-    ends = np.flatnonzero(lattice.last)
-    sizes = ends[np.searchsorted(ends, lattice.base)] - lattice.base
-    return np.cumsum(sizes) - sizes
-
-
 def piece_ids(path: Path, lattice: Lattice, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all pieces, characters without one spelled in bytes, and where each text's begin."""
-    ids = lattice.ids[path.row, path.l]
+    ids = lattice.ids[path.l, path.row]
     spelled = np.flatnonzero(ids < 0)
     if not len(spelled):
         return ids, path.starts
