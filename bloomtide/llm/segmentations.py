@@ -47,6 +47,8 @@ SAMPLE_TYPE = pa.list_(pa.struct([("rank", pa.int32()), ("ids", pa.list_(pa.int3
 POINT = np.uint64(0xD1342543DE82EF95)
 #: Bytes of text in a slice: its lattice takes some hundred times as much.
 SLICE = 800_000
+#: Steps of a logarithm in sums.
+FIXED = 2.0**32
 #: Characters of a chunk whose weights cannot underflow.
 LONG = 40
 
@@ -306,9 +308,10 @@ class Path:
         self.text, self.place, self.row, self.l = steps
         self.starts = np.searchsorted(self.text, np.arange(n_texts + 1))
         self.p = lattice.p[self.l, self.row]
-        sums = np.concatenate([[0.0], np.cumsum(np.log(self.p))])
-        self.before = sums[:-1] - sums[self.starts[:-1]][self.text]
-        self.log_prob = sums[self.starts[1:]] - sums[self.starts[:-1]]
+        # summed as whole numbers, so a text's sums do not depend on its neighbours in the slice
+        sums = np.concatenate([[0], np.cumsum(np.rint(np.log(self.p) * FIXED).astype(np.int64))])
+        self.before = (sums[:-1] - sums[self.starts[:-1]][self.text]) / FIXED
+        self.log_prob = (sums[self.starts[1:]] - sums[self.starts[:-1]]) / FIXED
         self.taken = np.left_shift(1, self.l).astype(np.int64)
         self.bound = np.full(len(self.row), -np.inf)
 

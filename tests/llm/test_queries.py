@@ -1,0 +1,30 @@
+"""Queries against their SQL, registration, and the pipeline as a whole."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from bloomtide.llm.queries import ORACLES, QUERIES
+from tests.compare import DATA, connect, differences
+
+SF = f"{DATA}/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_rows_as_sql(spark, name):
+    assert differences(QUERIES[name](spark, SF), connect(SF), ORACLES[name]) == []
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    got = corpus_pipeline.run(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert got.columns == [*docs.columns, "segmentations"]
+    assert 0.7 * docs.count() < got.count() < docs.count()
+    assert got.groupBy("doc_id").count().filter("count > 1").isEmpty()
