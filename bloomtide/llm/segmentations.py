@@ -285,26 +285,31 @@ def walk(lattice: Lattice, row: np.ndarray, text: np.ndarray, place: np.ndarray,
     """Sample pieces from positions to the end of their chunks.
 
     ``place`` is the position's character in its text, which numbers the noise.
-    Returns text, place, row and length index of each piece, by text and place.
+    Returns text, place, row and length index of each piece, in the order given.
     """
-    out = []
+    out, who = [], np.arange(len(row))
+    counts = np.zeros(len(row), np.int64)
     while len(row):
         l = lattice.draw(row, noise(text, rank, place, 1))
-        out.append((text, place, row, l))
+        out.append((who, text, place, row, l))
+        counts[who] += 1
         row, place = lattice.onward(row, l + 1), place + l + 1
-        go = lattice.left[row] > 0
-        row, place, text = row[go], place[go], text[go]
-    if not out:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
-    text, place, row, l = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((place, text))
-    return text[order], place[order], row[order], l[order]
+        go = np.flatnonzero(lattice.left[row] > 0)
+        row, place, text, who = row[go], place[go], text[go], who[go]
+    # the pieces of a chunk stand together, in the order of the steps
+    first = np.cumsum(counts) - counts
+    found = tuple(np.empty(counts.sum(), np.int64) for _ in range(4))
+    for step, (who, *values) in enumerate(out):
+        at = first[who] + step
+        for column, value in zip(found, values, strict=True):
+            column[at] = value
+    return found
 
 
 class Path:
     """One sampled path of every text: its pieces, and what branches off each of them."""
 
-    def __init__(self, steps, lattice: Lattice, n_texts: int):
+    def __init__(self, steps, lattice: Lattice, n_texts: int, limit: np.ndarray):
         self.text, self.place, self.row, self.l = steps
         self.starts = np.searchsorted(self.text, np.arange(n_texts + 1))
         self.p = lattice.p[self.l, self.row]
@@ -313,33 +318,43 @@ class Path:
         self.before = (sums[:-1] - sums[self.starts[:-1]][self.text]) / FIXED
         self.log_prob = (sums[self.starts[1:]] - sums[self.starts[:-1]]) / FIXED
         self.taken = np.left_shift(1, self.l).astype(np.int64)
-        self.bound = np.full(len(self.row), -np.inf)
+        #: of the best path that branches off at each step: the larger, the smaller its noise
+        self.cost = np.full(len(self.row), np.inf)
+        self.limit = limit
 
     def open(self, steps: np.ndarray, lattice: Lattice) -> np.ndarray:
         """The lengths not taken at the steps."""
         return (self.taken[steps] >> np.arange(len(lattice.p))[:, None]) & 1 == 0
 
-    def draw(self, steps: np.ndarray, limit: np.ndarray, lattice: Lattice, noise: Noise, rank: int) -> None:
-        """Noise of the best path that leaves at each of the steps by a length not taken, below ``limit``."""
+    def draw(self, steps: np.ndarray, lattice: Lattice, noise: Noise, rank: int, limit: np.ndarray | None = None) -> None:
+        """Noise of the best path that leaves at each of the steps by a length not taken.
+
+        A Gumbel variable below a limit G is -log(exp(-G) + exp(cost)); costs are
+        kept with the limit of the whole path, or turned into it from another.
+        """
         mass = 1 - self.p[steps]
         exact = np.flatnonzero((mass < 1e-6) | (self.taken[steps] != np.left_shift(1, self.l[steps])))
         mass[exact] = np.where(self.open(steps[exact], lattice), lattice.p[:, self.row[steps[exact]]], 0.0).sum(axis=0)
+        u = noise(self.text[steps], rank, self.place[steps], 2)
         with np.errstate(divide="ignore"):
-            location = self.before[steps] + np.log(mass)
-            u = noise(self.text[steps], rank, self.place[steps], 2)
-            self.bound[steps] = -np.logaddexp(-limit, -location + np.log(-np.log(u)))
-        self.bound[steps[mass <= 0]] = -np.inf
-
-
-def best_steps(path: Path, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the largest bound along the path and its step (-inf, 0 without one)."""
-    value, step = np.full(n_texts, -np.inf), np.zeros(n_texts, np.int64)
-    some = np.flatnonzero(np.diff(path.starts) > 0)
-    if len(some):
-        value[some] = np.maximum.reduceat(path.bound, path.starts[some])
-        hit = np.flatnonzero(path.bound == value[path.text])
-        step[path.text[hit][::-1]] = hit[::-1]
-    return value, step
+            cost = np.log(-np.log(u) / mass) - self.before[steps]
+            if limit is not None:
+                most = -self.limit[self.text[steps]]
+                higher = np.logaddexp(-limit, cost)
+                cost = higher + np.log(-np.expm1(np.minimum(most - higher, -1e-300)))
+        cost[mass <= 0] = np.inf
+        self.cost[steps] = cost
+
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the largest bound along the path and its step (-inf, 0 without one)."""
+        n = len(self.starts) - 1
+        least, step = np.full(n, np.inf), np.zeros(n, np.int64)
+        some = np.flatnonzero(np.diff(self.starts) > 0)
+        if len(some):
+            least[some] = np.minimum.reduceat(self.cost, self.starts[some])
+            hit = np.flatnonzero(self.cost == least[self.text])
+            step[self.text[hit][::-1]] = hit[::-1]
+        return np.where(np.isfinite(least), -np.logaddexp(-self.limit, least), -np.inf), step
 
 
 def sample(texts: list[str], seeds: np.ndarray, k: int, words: Vocabulary) -> list[list[tuple]]:
@@ -351,11 +366,11 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, words: Vocabulary) -> li
     chunk_place = lattice.chunk_at - text_starts[chunk_text]
     whole = np.arange(n)
     top = -np.log(-np.log(noise(whole, 0, np.zeros(n), 0)))
-    path = Path(walk(lattice, lattice.chunk_row, chunk_text, chunk_place, noise, 0), lattice, n)
-    path.draw(np.arange(len(path.row)), top[path.text], lattice, noise, 0)
+    path = Path(walk(lattice, lattice.chunk_row, chunk_text, chunk_place, noise, 0), lattice, n, top)
+    path.draw(np.arange(len(path.row)), lattice, noise, 0)
     paths, perturbed, has = [path], [top], [np.ones(n, bool)]
     while True:
-        found = [best_steps(p, n) for p in paths]
+        found = [p.best() for p in paths]
         values = np.stack([v for v, _ in found])
         parent = values.argmax(axis=0)
         bound = values.max(axis=0)
@@ -379,7 +394,7 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, words: Vocabulary) -> li
             if bad.any():
                 l[bad] = np.argmax(open_[:, bad], axis=0)
             p.taken[at] |= np.left_shift(1, l)
-            p.draw(at, bound[mine], lattice, noise, rank)
+            p.draw(at, lattice, noise, rank, bound[mine])
             # pieces up to the step stay, the step's is new, the rest is sampled afresh
             depth = np.arange(len(p.row)) - p.starts[:-1][p.text]
             cut_of = np.full(n, -1)
@@ -395,14 +410,14 @@ def sample(texts: list[str], seeds: np.ndarray, k: int, words: Vocabulary) -> li
             later = chunk_place > limit_place[chunk_text]
             steps.append(walk(lattice, lattice.chunk_row[later], chunk_text[later], chunk_place[later], noise, rank))
         merged = [np.concatenate(x) for x in zip(*steps, strict=True)] if steps else [np.empty(0, np.int64)] * 4
-        order = np.lexsort((merged[1], merged[0]))
-        new = Path(tuple(x[order] for x in merged), lattice, n)
+        order = np.argsort(merged[0], kind="stable")  # within a text the parts are in order already
+        new = Path(tuple(x[order] for x in merged), lattice, n, bound)
         branch = np.full(n, np.iinfo(np.int64).max)
         for i, p in enumerate(paths):
             mine = np.flatnonzero(live & (parent == i))
             branch[mine] = p.place[found[i][1][mine]]
         fresh = np.flatnonzero(new.place > branch[new.text])
-        new.draw(fresh, bound[new.text[fresh]], lattice, noise, rank)
+        new.draw(fresh, lattice, noise, rank)
         paths.append(new)
         perturbed.append(bound)
         has.append(live)
