@@ -15,7 +15,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bloomtide.fixed_values import FEATURES, LOGISTIC_MAX_ITER, SEED
-from bloomtide.modeling.prepare import balanced_weights, fit_class_counts, weight_column
+from bloomtide.modeling.prepare import class_totals, with_class_weights
 from bloomtide.operators.topk import sorted_importance
 from bloomtide.session import ensure_checkpoint_dir, materialise
 
@@ -90,14 +90,12 @@ def training_rows(
     train: DataFrame, label: str, features: Sequence[str] = FEATURES
 ) -> TrainingRows:
     """Prepare ``train``, which should be materialised: it is read several times."""
-    counts = fit_class_counts(train, label)
-    n = sum(counts.values())
-    weights = balanced_weights(counts)
-    preparation = fit_preparation(train, n, features)
-    weighted = train.withColumn("weight", weight_column(label, weights))
+    totals = class_totals(train, label)
+    preparation = fit_preparation(train, totals.rows, features)
+    weighted = with_class_weights(train, label)
     vectors = preparation.transform(weighted).select(F.col(label).alias("label"), "weight", VECTOR)
     # Balanced weights add up to the number of rows.
-    return TrainingRows(vectors, preparation, max(counts) + 1, float(n))
+    return TrainingRows(vectors, preparation, totals.largest + 1, float(totals.rows))
 
 
 def fit(
@@ -112,8 +110,10 @@ def fit(
         family, params, n_classes=prepared.n_classes, total_weight=prepared.total_weight,
         seed=seed,
     )
-    model = classifier.fit(prepared.rows)
-    rows.unpersist()
+    try:
+        model = classifier.fit(prepared.rows)
+    finally:
+        rows.unpersist()
     return PipelineModel([*prepared.preparation.stages, model])
 
 

@@ -34,40 +34,51 @@ def standardize(df: DataFrame, fitted: Mapping[str, tuple[float, float]]) -> Dat
     return df.withColumns({c: scaled(c, *fitted[c]) for c in fitted})
 
 
-def fit_class_counts(df: DataFrame, label: str, max_classes: int = 100) -> dict[int, int]:
-    """Rows per class, refused for a label with too many values to be classes."""
-    counts = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("class")).agg(
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    """``class`` and its number of rows ``n``; rows without a label do not count."""
+    return df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("class")).agg(
         F.count("*").alias("n")
     )
-    rows = counts.limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"{label!r} has more than {max_classes} classes")
-    return {int(r["class"]): r["n"] for r in sorted(rows, key=lambda r: r["class"])}
 
 
-def balanced_weights(counts: Mapping[int, int]) -> dict[int, float]:
-    """Weight of each class: n / (number of classes * n of the class)."""
-    n = sum(counts.values())
-    return {cls: n / (len(counts) * count) for cls, count in counts.items()}
+@dataclass(frozen=True)
+class ClassTotals:
+    """What fitting needs of the classes: three numbers, however many there are."""
+
+    rows: int
+    classes: int
+    largest: int
 
 
-def fit_class_weights(df: DataFrame, label: str) -> dict[int, float]:
-    return balanced_weights(fit_class_counts(df, label))
+def class_totals(df: DataFrame, label: str) -> ClassTotals:
+    row = class_counts(df, label).agg(F.sum("n"), F.count("*"), F.max("class")).first()
+    if not row[1]:
+        raise ValueError(f"{label!r} has no values")
+    return ClassTotals(row[0], row[1], int(row[2]))
 
 
-def weight_column(label: str, weights: Mapping[int, float]) -> Column:
-    out = F
-    for cls, weight in weights.items():
-        out = out.when(F.col(label) == cls, F.lit(weight))
-    return out if isinstance(out, Column) else F.lit(1.0)
+def class_weights(df: DataFrame, label: str) -> DataFrame:
+    """``class`` and its balanced weight: rows / (number of classes * rows of the class)."""
+    totals = class_totals(df, label)
+    return class_counts(df, label).select(
+        "class", (F.lit(totals.rows) / (F.lit(totals.classes) * F.col("n"))).alias("weight")
+    )
 
 
 def with_class_weights(
-    df: DataFrame, label: str, weights: Mapping[int, float] | None = None, *, out: str = "weight"
+    df: DataFrame, label: str, weights: DataFrame | None = None, *, out: str = "weight"
 ) -> DataFrame:
-    """Weight of each row by its class; fitted on ``df`` itself unless given."""
-    weights = fit_class_weights(df, label) if weights is None else weights
-    return df.withColumn(out, weight_column(label, weights))
+    """Weight of each row by its class, missing for others; fitted on ``df`` itself unless given.
+
+    ``weights`` has ``class`` and ``weight``. It is joined: Spark sends it to all
+    tasks when it is small and splits a hot class when it is not.
+    """
+    weights = class_weights(df, label) if weights is None else weights
+    by_class = weights.select(F.col("class").alias(label), F.col("weight").alias("_weight"))
+    columns = [c for c in df.columns if c != out]
+    return df.join(by_class, label, "left").select(
+        *columns, F.col("_weight").alias(out)
+    )
 
 
 @dataclass(frozen=True)

@@ -1,11 +1,9 @@
 """Runs of missing values and regularity of the time step.
 
-An hourly series is long, so :func:`missing_runs` and :func:`step_counts` do not
-sort a whole series in one task. It is cut into calendar months, each month is
-reduced to its few runs (or step lengths), and only those meet in a window per
-key. :func:`change_blocks`, :func:`running_total` and :func:`step_diff` return
-every row with a value and order one key at a time: their input is a feed with
-one row per key and hour, whose length the calendar bounds.
+An hourly series is long, so none of these sorts a whole series in one task. It
+is cut into calendar months, and each month is reduced to one row or a few (its
+runs, its step lengths, its total, its last row). Only those meet in a window per
+key; where every row gets a value, what came before its month is joined back.
 """
 
 from __future__ import annotations
@@ -29,6 +27,22 @@ def change_blocks(
     df: DataFrame, flag: str, *, keys: tuple[str, ...] = KEYS, ts: str = TS, out: str = "block"
 ) -> DataFrame:
     """Number the blocks of consecutive rows with the same flag, from 1."""
+    rows = _blocks(df.withColumn("_month", month_bucket(ts)), flag, (*keys, "_month"), ts, "_in_month")
+    state = F.struct(ts, F.col(flag).alias("flag"))
+    months = rows.groupBy(*keys, "_month").agg(
+        F.max("_in_month").alias("_blocks"), F.min(state).alias("_first"), F.max(state).alias("_last")
+    )
+    by_month = Window.partitionBy(*keys).orderBy("_month")
+    # a month whose first flag is the last one of the month before goes on in that block
+    goes_on = F.coalesce(F.col("_first.flag") == F.lag("_last").over(by_month)["flag"], F.lit(False)).cast("int")
+    before = months.withColumn("_own", F.col("_blocks") - goes_on).select(
+        *keys, "_month", (F.sum("_own").over(by_month) - F.col("_blocks")).alias("_before")
+    )
+    return _from_month(rows, before, keys).withColumn(out, F.col("_before") + F.col("_in_month")).select(*df.columns, out)
+
+
+def _blocks(df: DataFrame, flag: str, keys: tuple[str, ...], ts: str, out: str) -> DataFrame:
+    """Block numbers within the keys, each sorted by one task."""
     changed, running = _block_id(keys, ts, flag)
     return (
         df.withColumn("_changed", changed)
@@ -37,11 +51,33 @@ def change_blocks(
     )
 
 
+def _from_month(rows: DataFrame, months: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with what is known of their month; missing keys and times meet as equals."""
+    names = (*keys, "_month")
+    renamed = months.withColumnsRenamed({name: f"_of_{name}" for name in names})
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(name).eqNullSafe(F.col(f"_of_{name}"))
+    return rows.join(renamed, same, "left").drop(*[f"_of_{name}" for name in names])
+
+
 def running_total(
-    df: DataFrame, value: str, *, keys: tuple[str, ...] = KEYS, order: str, out: str
+    df: DataFrame, value: str, *, keys: tuple[str, ...] = KEYS, order: str, out: str,
+    monthly: bool = False,
 ) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(value).over(w))
+    """Sum so far along ``order``; with ``monthly``, a time, a key's months are summed apart."""
+    if not monthly:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(w))
+    rows = df.withColumn("_month", month_bucket(order))
+    so_far = Window.partitionBy(*keys, "_month").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*keys, "_month").agg(F.sum(value).alias("_sum")).select(
+        *keys, "_month", F.sum("_sum").over(earlier).alias("_before"))
+    total = F.when(F.col("_before").isNull(), F.col("_in_month")).otherwise(
+        F.col("_before") + F.coalesce(F.col("_in_month"), F.col("_before") * 0))
+    return _from_month(rows.withColumn("_in_month", F.sum(value).over(so_far)), before, keys).withColumn(
+        out, total).select(*df.columns, out)
 
 
 def missing_runs(
@@ -55,14 +91,14 @@ def missing_runs(
     rows = df.filter(F.col(ts).isNotNull()).select(
         *keys, ts, F.col(column).isNull().alias("_missing"), month_bucket(ts).alias("_month")
     )
-    pieces = change_blocks(rows, "_missing", keys=(*keys, "_month"), ts=ts, out="_piece")
+    pieces = _blocks(rows, "_missing", (*keys, "_month"), ts, "_piece")
     # Grouping inside the window's own partitioning: no further shuffle.
     short = pieces.groupBy(*keys, "_month", "_piece").agg(
         F.first("_missing").alias("_missing"), F.min(ts).alias("run_start"),
         F.max(ts).alias("run_end"), F.count("*").alias("n_missing"),
     )
     # Runs that continue over a month boundary become one again.
-    runs = change_blocks(short, "_missing", keys=keys, ts="run_start", out="_run")
+    runs = _blocks(short, "_missing", keys, "run_start", "_run")
     merged = runs.filter("_missing").groupBy(*keys, "_run").agg(
         F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"),
         F.sum("n_missing").alias("n_missing"),
@@ -88,8 +124,15 @@ def missing_runs_reconcile(
 
 def step_diff(df: DataFrame, *, keys: tuple[str, ...] = KEYS, ts: str = TS) -> DataFrame:
     """Seconds since the previous row of the key; missing on the first."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    return df.withColumn("step_seconds", naive_seconds(ts) - naive_seconds(F.lag(ts).over(w)))
+    rows = df.withColumn("_month", month_bucket(ts))
+    inside = Window.partitionBy(*keys, "_month").orderBy(ts)
+    earlier = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*keys, "_month").agg(F.max(ts).alias("_latest")).select(
+        *keys, "_month", F.max("_latest").over(earlier).alias("_before"))
+    own = rows.withColumn("_previous", F.lag(ts).over(inside))
+    previous = F.coalesce("_previous", "_before")
+    return _from_month(own, before, keys).withColumn(
+        "step_seconds", naive_seconds(ts) - naive_seconds(previous)).select(*df.columns, "step_seconds")
 
 
 def step_counts(df: DataFrame, *, keys: tuple[str, ...] = KEYS, ts: str = TS) -> DataFrame:

@@ -138,7 +138,8 @@ def with_seasonal_anomaly(daily: DataFrame) -> DataFrame:
     """Deviation from the usual level of this time of year, in percent.
 
     Needs ``mean_a`` and ``mean_b`` around the day of year. Both taxa count
-    equally; one without a usual level counts as no deviation.
+    equally; one whose usual level is 0 counts as no deviation. Without any
+    history around the day the deviation is 0 and the message says so.
     """
     normal, above, below = ANOMALY_MESSAGES
     a, b = (F.coalesce(F.col(p), F.lit(0.0)) for p in POLLEN)
@@ -149,7 +150,8 @@ def with_seasonal_anomaly(daily: DataFrame) -> DataFrame:
         return F.concat(F.lit(text[0]), whole(value), F.lit(text[1]))
 
     message = (
-        F.when(F.abs(value) < ANOMALY_NORMAL, normal)
+        F.when(F.col("mean_a").isNull() & F.col("mean_b").isNull(), INSUFFICIENT)
+        .when(F.abs(value) < ANOMALY_NORMAL, normal)
         .when(value > 0, around(above)).otherwise(around(below))
     )
     return daily.withColumn("anomaly", anomaly).withColumn("anomaly_message", message)

@@ -2,8 +2,8 @@
 
 Row frames are day frames because the calendar has no gaps. A daily table has
 one row per key and day, so one key's window partition is bounded by the length
-of its calendar (a century is 36,525 rows) however much raw data went in. For
-series without that bound use :mod:`bloomtide.operators.series`.
+of its calendar (a century is 36,525 rows) however much raw data went in. Series
+without that bound are cut into months (:mod:`bloomtide.operators.gaps`).
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from bloomtide.fixed_values import DATE, STATION
+from bloomtide.fixed_values import DATE, STATION, WASHOUT_DAYS
 from bloomtide.operators.history import keep_years, station_baseline, windowed_mean
 from bloomtide.operators.indicators import (
     RUNNING, with_dominant_taxon, with_heat_sum, with_peak_vs_history, with_phenology_shift,
@@ -84,13 +84,19 @@ def bulletin_at(
     daily: DataFrame, target: dt.date, history: DataFrame | None = None, *,
     keys: Sequence[str] = KEYS, date: str = DATE, **options,
 ) -> DataFrame:
-    """The bulletin of one date; a station without it gets that of its last day before.
+    """The bulletin of one date; a station without it gets that of its last day.
 
-    Of the daily table only the target's year and the month before it are read;
-    a station without any row in that time has no bulletin.
+    Each station's day is found first, from the keys and dates alone. Of the daily
+    table only what these days need is read on: their year so far (a day's values
+    count within its own year, also where that is not the target's) and the days
+    before it that the recent rain takes.
     """
-    first = dt.date(target.year, 1, 1) - dt.timedelta(days=31)
-    recent = daily.filter(F.col(date).between(F.lit(first), F.lit(target)))
+    exact = F.max(F.when(F.col(date) == F.lit(target), F.col(date)))
+    chosen = daily.groupBy(*keys).agg(F.coalesce(exact, F.max(date)).alias("_chosen"))
+    start = F.date_sub(F.trunc("_chosen", "year"), WASHOUT_DAYS - 1)
+    first, last = chosen.agg(F.min(start), F.max("_chosen")).first()
     past = daily if history is None else history
-    rows = bulletin(recent, past, keys=keys, date=date, **options)
+    in_reach = daily.filter(F.col(date).between(F.lit(first), F.lit(last)))
+    needed = in_reach.join(chosen, list(keys)).filter(F.col(date).between(start, F.col("_chosen"))).drop("_chosen")
+    rows = bulletin(needed, past, keys=keys, date=date, **options)
     return row_at_or_last(rows, target, keys=keys, date=date)

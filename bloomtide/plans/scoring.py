@@ -76,7 +76,8 @@ def latest_features(
         *keys, F.col("target").alias("_on"), "target",
         F.date_sub(loaded_to, days - FEATURE_LOOKBACK).alias("_first"),
     )
-    line = known.unionByName(asked, allowMissingColumns=True)
+    # a day asked for many times is one row of the line
+    line = known.unionByName(asked.distinct(), allowMissingColumns=True)
     upto = Window.partitionBy(*keys).orderBy("_on").rangeBetween(
         Window.unboundedPreceding, Window.currentRow  # rows of the same day included
     )

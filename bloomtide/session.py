@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -47,7 +48,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = shared_dir(spark)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # not local-cluster
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="bloomtide-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,9 +8,20 @@ from bloomtide.fixed_values import PAYLOAD_TIME_FORMAT, STATION, TS
 from bloomtide.functions.numeric import nan_to_null
 
 
-def read_payloads(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Payload files, one JSON object per line, with the given schema."""
-    return spark.read.schema(schema).json(path)
+def read_payloads(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, *,
+    station: int | None = None, multi_line: bool = False,
+) -> DataFrame:
+    """Payload files with the given schema: one JSON object per line, or one per file.
+
+    A service's payload does not say which station it is about. It is taken from
+    ``station``, else from a folder ``station=...``, else from the payload.
+    """
+    payloads = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    if station is None:
+        return payloads
+    kind = schema[STATION].dataType if STATION in schema.fieldNames() else T.LongType()
+    return payloads.withColumn(STATION, F.lit(station).cast(kind))
 
 
 def hourly_payload_rows(
@@ -22,7 +33,8 @@ def hourly_payload_rows(
 ) -> DataFrame:
     """One row per hour from ``hourly: {time: [...], variable: [...], ...}``.
 
-    Arrays of unequal length are an error (zipping would pad them). With
+    Arrays of unequal length are an error (zipping would pad them), and so are a
+    payload without station, one that could not be read, and an hour without time. With
     ``source_tz`` the local times become UTC; by default they stay as they are.
     """
     names = payloads.schema[hourly].dataType.fieldNames()
@@ -31,8 +43,19 @@ def hourly_payload_rows(
     same = F.lit(True)
     for v in variables:
         same = same & (F.size(f"{hourly}.{v}") == size)
-    checked = F.when(same, F.col(hourly)).otherwise(
-        F.raise_error(F.lit("payload arrays differ in length"))
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | F.col(key).isNull()
+
+    def refused(why: str):
+        return F.raise_error(F.lit(why))
+
+    checked = (
+        F.when(F.col(hourly).isNull() | F.col(f"{hourly}.time").isNull(),
+               refused("payload is malformed, or spreads over lines and needs multi_line"))
+        .when(no_key, refused("payload without station: give it, or land it below station=..."))
+        .when(same, F.col(hourly))
+        .otherwise(refused("payload arrays differ in length"))
     )
     zipped = F.arrays_zip(*[F.col("_p").getField(n).alias(n) for n in names])
     rows = (
@@ -40,6 +63,7 @@ def hourly_payload_rows(
         .select(*keys, zipped.alias("_z"))
         .select(*keys, F.inline("_z").alias(*names))
     )
+    rows = rows.filter(F.when(F.col("time").isNull(), refused("an hour has no time").cast("boolean")).otherwise(F.lit(True)))
     ts = F.to_timestamp_ntz(F.col("time"), F.lit(PAYLOAD_TIME_FORMAT))
     if source_tz is not None:
         ts = F.convert_timezone(F.lit(source_tz), F.lit("UTC"), ts)

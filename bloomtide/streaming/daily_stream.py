@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from bloomtide.fixed_values import DATE, STATION, TS
 from bloomtide.functions.calendar import naive_seconds
+from bloomtide.sources.files import accepted
 
 LATENESS = "2 days"
 
@@ -13,11 +14,11 @@ LATENESS = "2 days"
 def read_hourly_stream(
     spark: SparkSession, path: str, schema: T.StructType, *, max_files: int | None = None
 ) -> DataFrame:
-    """Parquet files of joined hourly rows appearing below ``path``."""
+    """Parquet files of joined hourly rows appearing below ``path``; NaN becomes missing."""
     reader = spark.readStream.schema(schema)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return accepted(reader.parquet(path))
 
 
 def daily_aggregate_stream(

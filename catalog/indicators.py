@@ -82,7 +82,8 @@ SQL = {
     CASE WHEN season_progress > 65 THEN 'Le plus dur est passé 🎉' ELSE 'Saison en cours' END
       AS progress_message""",
     "anomaly": f"""{r('anomaly')},
-    CASE WHEN abs(anomaly) < 15 THEN 'Dans la normale saisonnière'
+    CASE WHEN mean_a IS NULL AND mean_b IS NULL THEN 'Données insuffisantes'
+         WHEN abs(anomaly) < 15 THEN 'Dans la normale saisonnière'
          WHEN anomaly > 0 THEN printf('Saison %+.0f%% au-dessus de la normale', anomaly)
          ELSE printf('Saison %+.0f%% en dessous de la normale', anomaly) END AS anomaly_message""",
     "shift": """season_start_doy, phenology_shift,

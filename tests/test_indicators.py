@@ -78,7 +78,7 @@ def test_seasonal_anomaly(spark):
     none = last(k.with_seasonal_anomaly(df.withColumns({
         "mean_a": F.lit(None).cast("double"), "mean_b": F.lit(None).cast("double")
     })))
-    assert (none["anomaly"], none["anomaly_message"]) == (0.0, "Dans la normale saisonnière")
+    assert (none["anomaly"], none["anomaly_message"]) == (0.0, "Données insuffisantes")
 
 
 @pytest.mark.parametrize("mean, shift, message", [

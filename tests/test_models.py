@@ -77,13 +77,15 @@ def test_constant_column_becomes_zero(spark):
 
 def test_balanced_weights(spark):
     df = pairs(spark, [(0, 0)] * 6 + [(1, 0)] * 2 + [(None, 0)])
-    weights = prepare.fit_class_weights(df, "label")
-    assert weights == {0: 8 / 12, 1: 2.0}
+    weights = prepare.class_weights(df, "label")
+    assert dict(weights.collect()) == {0: 8 / 12, 1: 2.0}
     total = prepare.with_class_weights(df, "label", weights).agg(F.sum("weight")).first()[0]
     assert total == pytest.approx(8.0)
-    many = spark.range(500).withColumn("label", F.col("id"))
-    with pytest.raises(ValueError, match="more than"):
-        prepare.fit_class_weights(many, "label")
+    many = spark.range(450).withColumn("label", F.col("id") % 150)
+    weighted = prepare.with_class_weights(many, "label")
+    assert weighted.count() == 450 and weighted.agg(F.sum("weight")).first()[0] == pytest.approx(450)
+    with pytest.raises(ValueError, match="no values"):
+        prepare.class_weights(many.filter("id < 0"), "label")
 
 
 def test_report_of_unpredicted_and_unseen_classes(spark):
