@@ -194,7 +194,7 @@ def host_of(url: str = "url") -> Column:
 
 
 def subtrees(pages: DataFrame, html: str, url: str) -> DataFrame:
-    """(host, row, subtree): each distinct subtree of each page that holds text."""
+    """(site, row, subtree): each distinct subtree of each page that holds text; a site is a hashed host."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found = [], []
@@ -206,12 +206,12 @@ def subtrees(pages: DataFrame, html: str, url: str) -> DataFrame:
                 found += own
             index = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host").take(index), batch.column("row").take(index), pa.array(found, pa.int64())],
-                names=["host", "row", "subtree"])
+                [batch.column("site").take(index), batch.column("row").take(index), pa.array(found, pa.int64())],
+                names=["site", "row", "subtree"])
 
-    rows = pages.select(host_of(url).alias("host"), F.xxhash64(F.col(url), F.col(html)).alias("row"),
+    rows = pages.select(F.xxhash64(host_of(url)).alias("site"), F.xxhash64(F.col(url), F.col(html)).alias("row"),
                         F.coalesce(F.col(html), F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "host string, row long, subtree long")
+    return rows.mapInArrow(run, "site long, row long, subtree long")
 
 
 def with_main_text(pages: DataFrame, html: str = "html", url: str = "url", name: str = "text", min_pages: int = 10,
@@ -222,10 +222,10 @@ def with_main_text(pages: DataFrame, html: str = "html", url: str = "url", name:
     on ``min_share`` of them.
     """
     found = subtrees(pages, html, url)
-    sizes = pages.groupBy(host_of(url).alias("host")).agg(F.count("*").alias("n_pages"))
-    often = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).join(
-        sizes, "host").filter(F.col("n") >= min_share * F.col("n_pages")).select("host", "subtree")
-    hits = found.join(often, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("_template"))
+    sizes = pages.groupBy(F.xxhash64(host_of(url)).alias("site")).agg(F.count("*").alias("n_pages"))
+    often = found.groupBy("site", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).join(
+        sizes, "site").filter(F.col("n") >= min_share * F.col("n_pages")).select("site", "subtree")
+    hits = found.join(often, ["site", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("_template"))
     row = F.xxhash64(F.col(url), F.col(html))
 
     @F.arrow_udf("string")
