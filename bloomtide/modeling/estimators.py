@@ -101,10 +101,16 @@ def training_rows(
 def fit(
     train: DataFrame, family: str, params: Mapping[str, float | int | None], *,
     label: str = "label", features: Sequence[str] = FEATURES, seed: int = SEED,
+    stored: bool = False,
 ) -> PipelineModel:
-    """Preparation and classifier fitted on ``train``, as one model."""
+    """Preparation and classifier fitted on ``train``, as one model.
+
+    ``train`` is read several times and so materialised first, unless it is ``stored``.
+    """
     ensure_checkpoint_dir(train.sparkSession)  # boosted trees cut their lineage there
-    rows = materialise(train.select(F.col(label).cast("int").alias("label"), *features))
+    rows = train.select(F.col(label).cast("int").alias("label"), *features)
+    if not stored:
+        rows = materialise(rows)
     prepared = training_rows(rows, "label", features)
     classifier = estimator(
         family, params, n_classes=prepared.n_classes, total_weight=prepared.total_weight,

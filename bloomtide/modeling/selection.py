@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bloomtide.fixed_values import DATE, FEATURES, FOLDS, GRID, SEED
 from bloomtide.modeling.estimators import VECTOR, estimator, fit, training_rows
@@ -64,15 +64,20 @@ def grid_search(
     ensure_checkpoint_dir(spark)  # boosted trees cut their lineage there
     rows = materialise(train.select(date, F.col(label).cast("int").alias("label"), *features))
     combos = candidates(grid)
-    scores: list[tuple] = []
-    for fold in fit_folds(rows, splits=splits, date=date):
-        prepared = training_rows(fold_train(rows, fold, date=date), "label", features)
-        learn = prepared.rows.persist()
-        held_out = prepared.preparation.transform(
-            fold_test(rows, fold, date=date)
-        ).select("label", VECTOR).persist()
-
-        def score(c: Candidate) -> tuple:
+    folds, kept = [], [rows]
+    try:
+        for fold in fit_folds(rows, splits=splits, date=date):
+            prepared = training_rows(fold_train(rows, fold, date=date), "label", features)
+            learn = prepared.rows.persist()
+            held_out = prepared.preparation.transform(
+                fold_test(rows, fold, date=date)
+            ).select("label", VECTOR).persist()
+            kept += [learn, held_out]
+            learn.count(), held_out.count()  # once, before many fits ask for them together
+            folds.append((fold, prepared, learn, held_out))
+
+        def score(job: tuple) -> tuple:
+            (fold, prepared, learn, held_out), c = job
             classifier = estimator(
                 c.family, c.params, n_classes=prepared.n_classes,
                 total_weight=prepared.total_weight, seed=seed,
@@ -82,10 +87,20 @@ def grid_search(
             return (c.position, c.family, {k: str(v) for k, v in c.params.items()},
                     fold.number, value)
 
+        # one queue over folds and combinations: it runs dry only once
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            scores += pool.map(inheritable_thread_target(spark)(score), combos)
-        learn.unpersist()
-        held_out.unpersist()
+            scores = list(pool.map(inheritable_thread_target(spark)(score), itertools.product(folds, combos)))
+        return _best(spark, rows, combos, scores, features, seed)
+    finally:
+        for table in kept:
+            table.unpersist()
+
+
+def _best(
+    spark: SparkSession, rows: DataFrame, combos: Sequence[Candidate], scores: list[tuple],
+    features: Sequence[str], seed: int,
+) -> SearchResult:
+    """The results as a table, and the best combination refitted on all rows."""
 
     results = spark.createDataFrame(
         scores, "position int, model string, params map<string,string>, fold int, score double"
@@ -95,6 +110,7 @@ def grid_search(
         by_combo.setdefault(position, []).append(value)
     means = {p: sum(v) / len(v) for p, v in by_combo.items()}
     best = max(combos, key=lambda c: (means[c.position], -c.position))
-    model = fit(rows, best.family, best.params, label="label", features=features, seed=seed)
-    rows.unpersist()
+    model = fit(
+        rows, best.family, best.params, label="label", features=features, seed=seed, stored=True
+    )
     return SearchResult(results, best, means[best.position], model)

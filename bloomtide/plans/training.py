@@ -15,6 +15,7 @@ from bloomtide.operators.features import (
     feature_table, target3, target_binary_from3, year_split,
 )
 from bloomtide.operators.topk import best_per_group
+from bloomtide.session import materialise
 
 
 @dataclass(frozen=True)
@@ -51,8 +52,11 @@ def train_and_evaluate(
         train, features=features, grid=grid, splits=splits, date=date, parallelism=parallelism
     )
     split = F.when(F.year(date) <= last_train_year, "train").otherwise("test")
-    predicted = search.model.transform(rows.withColumn("split", split))
-    on_test = search.model.transform(test)
+    # the features are computed and the model applied once, for all three measures
+    predicted = materialise(
+        search.model.transform(rows.withColumn("split", split)).select("split", "label", "prediction")
+    )
+    on_test = predicted.filter("split = 'test'")
     return Evaluation(
         search=search,
         families=best_per_group(mean_scores(search.results)),

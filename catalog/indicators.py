@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from bloomtide.fixed_values import POLLEN
@@ -270,6 +272,28 @@ def bulletin_of_one_date(spark, sf_dir):
     return rounded(bulletin_at(stored_days(spark, sf_dir), TARGET))
 
 
+# Stations that end at different dates, most of them in the year before the target.
+_CUT = " WHERE date <= DATE '2001-02-01' - CAST(station * 60 AS INTEGER)"
+_CUT_ALL = ALL.replace(PARTS, PARTS.replace("FROM days)", f"FROM days{_CUT})"))
+
+
+@query(f"""WITH {_CUT_ALL} SELECT station, date, {', '.join(SQL[g] for g in SQL)} FROM (
+SELECT *, row_number() OVER (PARTITION BY station
+  ORDER BY CASE WHEN date = DATE '2001-01-20' THEN 0 ELSE 1 END, date DESC) AS rk FROM k) q WHERE rk = 1""")
+def bulletin_of_date_without_row(spark, sf_dir):
+    table = stored_days(spark, sf_dir)
+    end = F.date_sub(F.lit(dt.date(2001, 2, 1)), (F.col("station") * 60).cast("int"))
+    return rounded(bulletin_at(table.filter(F.col("date") <= end), dt.date(2001, 1, 20)))
+
+
+@query(f"WITH {ALL.replace('JOIN parts p ON', 'JOIN parts p ON p.station > 0 AND')} "
+       f"SELECT station, date, {SQL['anomaly']} FROM k")
+def anomaly_without_history(spark, sf_dir):
+    """One station has no history."""
+    table = stored_days(spark, sf_dir)
+    return _result(indicators.with_seasonal_anomaly(with_baselines(table, table.filter("station > 0"))), "anomaly")
+
+
 @query(f"""WITH {LONG_DAYS} SELECT station, date, {rs(*POLLEN)}, pollen_a > 30 AS pollen_a_above,
 pollen_b > 30 AS pollen_b_above FROM (
 SELECT *, row_number() OVER (PARTITION BY station ORDER BY date DESC) AS k FROM days) q

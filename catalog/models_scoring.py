@@ -7,12 +7,13 @@ today); fitted models have no SQL counterpart and are checked by rows only.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from bloomtide.fixed_values import FEATURES as FEATURE_LIST, POLLEN
+from bloomtide.fixed_values import FEATURES as FEATURE_LIST, GRID, POLLEN
 from bloomtide.functions import risk
 from bloomtide.modeling import estimators, metrics, prepare, selection, store
 from bloomtide.operators import features, topk
@@ -23,7 +24,8 @@ from bloomtide.session import scratch_path
 from bloomtide.streaming import daily_stream
 from catalog.registry import query, r, rounded, rs
 from catalog.views import (
-    FEATURES, FEEDS, LAST_TRAIN_YEAR, TARGET, TARGETS, class3, days, pollen, seasonal_days, stored_days, weather,
+    FEATURES, FEEDS, LAST_TRAIN_YEAR, TARGET, TARGETS, class3, days, pollen, seasonal_days, stored_days, stored_table,
+    weather,
 )
 
 
@@ -75,7 +77,7 @@ _SCORES_SQL = """SELECT class, support,
     r(f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 "
       f"ELSE stddev_pop({c}) OVER () END", c) for c in FEATURE_LIST) + " FROM complete")
 def standardize(spark, sf_dir):
-    table = features.feature_table(days(spark, sf_dir)).dropna()
+    table = stored_table(spark, features.feature_table(days(spark, sf_dir)).dropna(), "features")
     fitted = prepare.fit_standardizer(table, FEATURE_LIST)
     return rounded(prepare.standardize(table, fitted).select("station", "date", *FEATURE_LIST))
 
@@ -87,7 +89,7 @@ SELECT t.station, t.date, t.label,
        {r("(SELECT sum(n) FROM c) / CAST((SELECT count(*) FROM c) * c.n AS DOUBLE)", "weight")}
 FROM t JOIN c ON t.label = c.label""")
 def class_weights(spark, sf_dir):
-    train = _persistence(spark, sf_dir).filter("split = 'train'")
+    train = stored_table(spark, _persistence(spark, sf_dir).filter("split = 'train'"), "labels")
     return rounded(prepare.with_class_weights(train.select("station", "date", "label"), "label"))
 
 
@@ -111,7 +113,7 @@ def fold_bounds(spark, sf_dir):
   CASE WHEN i < n - (6 - fold) * (n // 6) THEN 'train' ELSE 'test' END AS role
 FROM labelled l JOIN d ON l.date = d.date, f WHERE i < n - (5 - fold) * (n // 6)""")
 def time_series_folds(spark, sf_dir):
-    rows = _labelled(spark, sf_dir).select("station", "date")
+    rows = stored_table(spark, _labelled(spark, sf_dir).select("station", "date"), "dates")
     return prepare.time_series_folds(rows, prepare.fit_folds(rows))
 
 
@@ -207,7 +209,7 @@ def fit_tree(spark, sf_dir):
 @query()
 def fit_forest(spark, sf_dir):
     train, test = _split(spark, sf_dir, binary=False)
-    return _report(estimators.fit_forest(train, trees=20, max_depth=5), test)
+    return _report(estimators.fit_forest(train, trees=100, max_depth=5), test)
 
 
 @query()
@@ -222,17 +224,14 @@ def feature_importance(spark, sf_dir):
     return estimators.feature_importance(estimators.fit_tree(train))
 
 
-SMALL_GRID = {
-    "logistic": {"c": (0.1, 1.0)},
-    "tree": {"max_depth": (3, 5)},
-    "forest": {"max_depth": (3,), "min_leaf": (10,), "trees": (10,)},
-}
+#: The families of the default grid that fit in seconds, whole; the others take many minutes.
+QUICK_FAMILIES = {family: GRID[family] for family in ("logistic", "tree")}
 
 
 @query()
 def grid_search(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
-    found = selection.grid_search(train, grid=SMALL_GRID, splits=3)
+    found = selection.grid_search(train, grid=QUICK_FAMILIES)
     return topk.best_per_group(selection.mean_scores(found.results))
 
 
@@ -328,7 +327,7 @@ CASE WHEN pollen_b_lag1 > 30 THEN 'À risque' ELSE 'Faible' END AS label_b,
 CAST(NULL AS DOUBLE) AS proba_a, CAST(NULL AS DOUBLE) AS proba_b, 'cache' AS source
 FROM features WHERE date = DATE '2001-04-15'""")
 def score_precomputed(spark, sf_dir):
-    stored = features.feature_table(days(spark, sf_dir))
+    stored = stored_table(spark, features.feature_table(days(spark, sf_dir)), "features")
     return scoring.score_precomputed(stored, TARGET, *_rules())
 
 
@@ -361,11 +360,12 @@ def score_with_fallback(spark, sf_dir):
 @query()
 def training_run(spark, sf_dir):
     labelled = training.labelled_features(seasonal_days(spark, sf_dir))
-    grid = {"logistic": {"c": (1.0,)}, "tree": {"max_depth": (3, 5)}}
-    done = training.train_and_evaluate(
-        labelled, "pollen_b", last_train_year=LAST_TRAIN_YEAR, grid=grid, splits=2
-    )
-    return done.gap
+    done = training.train_and_evaluate(labelled, "pollen_b", last_train_year=LAST_TRAIN_YEAR, grid=QUICK_FAMILIES)
+    parts = ("families", "report", "confusion", "gap", "importance")
+    rows = [
+        getattr(done, part).select(F.lit(part).alias("part"), F.to_json(F.struct("*")).alias("row")) for part in parts
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query()

@@ -10,7 +10,7 @@ from bloomtide.fixed_values import POLLEN
 from bloomtide.functions.risk import risk_class3
 from bloomtide.operators import filters, gaps, profiling
 from bloomtide.operators.daily import join_hourly
-from bloomtide.schemas import DAILY, POLLEN_PAYLOAD
+from bloomtide.schemas import DAILY, POLLEN_PAYLOAD, WEATHER_PAYLOAD
 from bloomtide.session import scratch_path
 from bloomtide.sources import chain, files, fixtures, payload, scans
 from catalog.registry import query, r, rounded, rs
@@ -31,6 +31,26 @@ def hourly_payload_rows(spark, sf_dir):
     return scans.canonicalize(rows)
 
 
+@query(f"WITH {FEEDS} SELECT station, ts, {rs('temperature', 'precipitation', 'wind')} FROM weather_hourly")
+def hourly_weather_payload_rows(spark, sf_dir):
+    """Payloads as a service sends them, without a station: it is the folder they landed in."""
+    landed = scratch_path(spark, "weather-payloads")
+    names = {"temperature_2m": "temperature", "precipitation": "precipitation", "wind_speed_10m": "wind"}
+    payload.payloads_from_rows(weather(spark, sf_dir), names).write.partitionBy("station").json(landed)
+    rows = payload.hourly_payload_rows(payload.read_payloads(spark, landed, WEATHER_PAYLOAD))
+    return rounded(rows.withColumnsRenamed(names))
+
+
+@query(f"""WITH {LONG_DAILY} SELECT station, date,
+CASE WHEN day(date) % 7 > 0 THEN {r('pollen_a').removesuffix(' AS pollen_a')} END AS pollen_a,
+{rs('pollen_b', 'temperature', 'precipitation', 'wind')} FROM daily""")
+def read_csv_with_nan(spark, sf_dir):
+    path = scratch_path(spark, "nan-csv")
+    gap = F.when(F.dayofmonth("date") % 7 == 0, float("nan")).otherwise(F.col("pollen_a"))
+    files.write_table(fixtures.daily(spark, sf_dir).withColumn("pollen_a", gap), path, fmt="csv")
+    return rounded(files.read_csv_dated(spark, path, DAILY))
+
+
 _DAILY_ROWS = f"WITH {LONG_DAILY} SELECT station, date, {rs('pollen_a', 'pollen_b', 'temperature', 'precipitation', 'wind')} FROM daily"
 
 

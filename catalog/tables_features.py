@@ -16,7 +16,7 @@ from bloomtide.session import scratch_path
 from catalog.registry import query, r, rounded, rs
 from catalog.views import (
     CALENDAR, FEATURES, FEEDS, HOURLY_DAILY, HOURLY_DAYS, HOURLY_TARGET, LAST_TRAIN_YEAR, LONG_DAYS, PARTS,
-    TARGET, TARGETS, class3, days, hourly_days, pollen, weather,
+    TARGET, TARGETS, class3, days, hourly_days, pollen, stored_days, weather,
 )
 
 FIVE = "pollen_a, pollen_b, temperature, precipitation, wind"
@@ -364,7 +364,7 @@ def row_at_or_last(spark, sf_dir):
 
 @query(f"WITH {LONG_DAYS} SELECT station, date, {FIVE_R} FROM days WHERE date = DATE '2001-04-15'")
 def row_exact_or_fail(spark, sf_dir):
-    return rounded(topk.row_exact_or_fail(days(spark, sf_dir), TARGET))
+    return rounded(topk.row_exact_or_fail(stored_days(spark, sf_dir), TARGET))
 
 
 @query(f"""WITH {LONG_DAYS} SELECT station, date, {FIVE_R} FROM days

@@ -30,20 +30,21 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_calendar(fixtures.daily(spark, sf_dir))
 
 
-def _stored(spark: SparkSession, table: DataFrame) -> DataFrame:
-    path = scratch_path(spark, "days")
+def stored_table(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
+    """A table written once and read back, for queries that read it repeatedly."""
+    path = scratch_path(spark, name)
     write_table(table, path)
-    return spark.read.schema(DAILY).parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def stored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table written once and read back, for queries that read it repeatedly."""
-    return _stored(spark, days(spark, sf_dir))
+    return stored_table(spark, days(spark, sf_dir), "days")
 
 
 def seasonal_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored daily table with learnable seasons, for fitted models."""
-    return _stored(spark, daily_calendar(fixtures.daily_seasonal(spark, sf_dir)))
+    return stored_table(spark, daily_calendar(fixtures.daily_seasonal(spark, sf_dir)), "seasons")
 
 
 FEEDS = """
