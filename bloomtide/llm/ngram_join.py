@@ -8,14 +8,16 @@ equal counters are ordered by hash. Any order gives the same result, a good one
 fewer candidates.
 
 Equal sets are one node with members. Candidates share a prefix n-gram and pass
-the length filter and the positional filter; they are verified once, behind a
-suffix filter that compares how the two sets spread over fixed ranges of the
-hash. To answer with classes, not all pairs of a group are needed:
+the length filter, the positional filter and a suffix filter: the sets' members
+are dealt into fixed bins, and bins with an odd number of members in one set and
+an even number in the other each hold a member that the sets do not share. Each
+candidate is verified once. To answer with classes, not all pairs of a group are
+needed:
 
-1. every set is held against one leader of each of its prefix n-grams;
-2. components of those links are formed;
-3. sets that share a prefix n-gram but lie in different components are held
-   against each other, whatever the group's size.
+1. every set is held against one leader of each of its prefix n-grams, a few
+   times with other leaders, and components of the links are formed each time;
+2. sets that share a prefix n-gram but still lie in different components are
+   held against each other, whatever the group's size.
 
 A pair within one component cannot change the components, so the result is that
 of all pairs.
@@ -41,8 +43,12 @@ from bloomtide.llm.components import components
 BUCKETS = 1 << 18
 BUCKET_SHIFT = np.uint64(64 - 18)
 POINT = np.uint64(0xD6E8FEB86659FD93)
-#: Ranges of the hash in the suffix filter.
-PIVOTS = (np.arange(1, 32, dtype=np.uint64) << np.uint64(59))
+#: Bins of the suffix filter: one bit each, in 64-bit numbers.
+BINS = 512
+BIN_SHIFT = np.uint64(64 - 9)
+SIGNATURE = tuple(f"s{i}" for i in range(BINS // 64))
+#: Leaders that a set is held against before all that is left is compared.
+ROUNDS = 4
 
 
 def ngram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +80,31 @@ def set_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, names, 0).view(np.int64)
 
 
+def signatures(values: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """For each set and bin whether it has an odd number of members there."""
+    out, n = [], len(starts) - 1
+    for first in range(0, n, 1000):
+        last = min(first + 1000, n)
+        own = values[starts[first]:starts[last]]
+        owner = np.repeat(np.arange(last - first), np.diff(starts[first:last + 1]))
+        odd = np.bincount(owner * BINS + (own >> BIN_SHIFT).astype(np.int64), minlength=(last - first) * BINS) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).reshape(last - first, BINS // 8).view(np.int64))
+    table = np.concatenate(out) if out else np.empty((0, BINS // 64), np.int64)
+    return [np.ascontiguousarray(table[:, i]) for i in range(BINS // 64)]
+
+
 def members_of(documents: DataFrame, n: int) -> DataFrame:
-    """(doc_id, row, key, n_shingles) of rows (doc_id, row, text)."""
+    """(doc_id, row, key, n_shingles, signature) of rows (doc_id, row, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_in_slices(batches):
             values, starts = ngram_sets(batch.column("text"), n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(set_keys(values, starts)), pa.array(np.diff(starts).astype(np.int64))],
-                names=["doc_id", "row", "key", "n_shingles"])
+                [batch.column("doc_id"), batch.column("row"), pa.array(set_keys(values, starts)),
+                 pa.array(np.diff(starts).astype(np.int64)), *map(pa.array, signatures(values, starts))],
+                names=["doc_id", "row", "key", "n_shingles", *SIGNATURE])
 
-    return documents.mapInArrow(run, "doc_id long, row long, key long, n_shingles long")
+    return documents.mapInArrow(
+        run, "doc_id long, row long, key long, n_shingles long, " + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
 def frequency_table(documents: DataFrame, n: int) -> np.ndarray:
@@ -133,13 +154,15 @@ def possible(num: int, den: int, a: str = "", b: str = "") -> str:
     return f"{sizes} AND {overlap} * {num + den} >= {num}L * ({a}size + {b}size)"
 
 
+def not_too_far(num: int, den: int, a: str, b: str) -> str:
+    """Suffix filter: bins of different parity each hold a member of only one set."""
+    apart = " + ".join(f"bit_count({a}{s} ^ {b}{s})" for s in SIGNATURE)
+    return f"{den - num}L * ({a}size + {b}size) >= {den + num}L * ({apart})"
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    """Whether two ascending sets link; the suffix filter first."""
+    """Whether two ascending sets link."""
     both = len(a) + len(b)
-    apart = np.abs(np.diff(np.searchsorted(a, PIVOTS), prepend=0, append=len(a))
-                   - np.diff(np.searchsorted(b, PIVOTS), prepend=0, append=len(b))).sum()
-    if (both - apart) * (num + den) < 2 * num * both:
-        return False
     at = np.searchsorted(a, b)
     shared = int(np.count_nonzero(a[np.minimum(at, len(a) - 1)] == b))
     return den * shared >= num * (both - shared)
@@ -158,6 +181,14 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return pairs.join(first, "u").join(second, "v").mapInArrow(run, "u long, v long")
 
 
+def with_classes(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Add the class of each key: the key itself where it has no link yet."""
+    if found is None:
+        return rows.withColumn("class", F.col("key"))
+    named = found.select(F.col("u").alias("key"), F.col("v").alias("class"))
+    return rows.join(named, "key", "left").withColumn("class", F.coalesce("class", "key"))
+
+
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90,
             den: int = 100) -> DataFrame:
     """(doc_id, row, n_shingles, component_id) for each row; ``row`` hashes id and text.
@@ -174,26 +205,48 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", n: in
     by_token = W.partitionBy("token")
     shared = scratch.store(
         prefixes(rows, n, num, den, table).repartition("token").dropDuplicates(["token", "key"])
-        .withColumn("leader", F.min(F.struct("key", "size", "place")).over(by_token))
         .withColumn("others", F.count("*").over(by_token)).filter("others > 1").drop("others"))
     table.unpersist()
     named = members.filter("n_shingles > 0").groupBy("key").agg(F.min("row").alias("row"))
     texts = scratch.store(
         rows.select("row", "text").join(named.join(shared.select("key").distinct(), "key"), "row")
         .dropDuplicates(["key"]).select("key", "text"))
-    to_leader = scratch.store(
-        shared.filter("key <> leader.key").filter(possible(num, den, "", "leader."))
-        .select(F.greatest("key", "leader.key").alias("u"), F.least("key", "leader.key").alias("v")).distinct())
-    first_links = scratch.store(verified(to_leader, texts, n, num, den))
-    found = components(first_links, "ngram-components")
-    placed = shared.join(found.select(F.col("u").alias("key"), F.col("v").alias("class")), "key", "left").withColumn(
-        "class", F.coalesce("class", "key"))
-    mixed = placed.withColumn("several", F.min("class").over(by_token) < F.max("class").over(by_token)).filter("several").select(
-        "token", "key", "size", "place", "class", F.col("leader.key").alias("leader"))
+    signed = members.filter("n_shingles > 0").select("key", *SIGNATURE).dropDuplicates(["key"])
+    close = not_too_far(num, den, "a.", "b.")
+
+    def near(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """The pairs (u, v, size_u, size_v) that pass the suffix filter and were not compared before."""
+        first, second = (
+            signed.select(F.col("key").alias(side), F.struct(*SIGNATURE).alias(name)) for side, name in (("u", "a"), ("v", "b")))
+        sized = pairs.distinct().join(first, "u").join(second, "v").withColumns({
+            "a": F.col("a").withField("size", F.col("size_u")), "b": F.col("b").withField("size", F.col("size_v"))})
+        kept = sized.filter(close).select("u", "v")
+        return kept if known is None else kept.join(known, ["u", "v"], "left_anti")
+
+    def ordered(a: str, b: str) -> list:
+        higher = F.col(f"{a}.key") > F.col(f"{b}.key")
+        return [F.when(higher, F.col(f"{x}.{f}")).otherwise(F.col(f"{y}.{f}")).alias(name)
+                for x, y, f, name in ((a, b, "key", "u"), (b, a, "key", "v"), (a, b, "size", "size_u"), (b, a, "size", "size_v"))]
+
+    compared, found = None, None
+    for turn in range(ROUNDS):
+        placed = with_classes(shared, found).select("token", F.struct("key", "size", "place", "class").alias("x"))
+        lot = F.struct(F.xxhash64(F.lit(turn), "x.key"), F.col("x"))
+        led = placed.withColumn("l", F.min(lot).over(by_token)["x"]).filter("x.class <> l.class")
+        pairs = near(led.filter(possible(num, den, "x.", "l.")).select(*ordered("x", "l")), compared)
+        pairs = scratch.store(pairs)
+        if turn and pairs.isEmpty():
+            break
+        links = verified(pairs, texts, n, num, den)
+        found = components(links if found is None else links.unionByName(found), "ngram-components")
+        compared = pairs if compared is None else compared.unionByName(pairs)
+    mixed = with_classes(shared, found).withColumn(
+        "several", F.min("class").over(by_token) < F.max("class").over(by_token)).filter("several").select(
+        "token", "key", "size", "place", "class").join(signed, "key")
     across = mixed.alias("a").join(mixed.alias("b"), "token").filter(
-        "a.key > b.key AND a.class <> b.class AND b.key <> a.leader").filter(possible(num, den, "a.", "b."))
+        "a.key > b.key AND a.class <> b.class").filter(possible(num, den, "a.", "b.")).filter(close)
     rest = scratch.store(across.select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
-                         .join(to_leader, ["u", "v"], "left_anti"))
+                         .join(compared, ["u", "v"], "left_anti"))
     links = found.unionByName(verified(rest, texts, n, num, den))
     final = components(links, "ngram-components").select(F.col("u").alias("key"), F.col("v").alias("class"))
     by_key = members.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(
