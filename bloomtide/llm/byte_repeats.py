@@ -37,7 +37,7 @@ from bloomtide.llm import repeats
 from bloomtide.llm.common import batches_in_slices, mix, text_of
 
 LENGTH = 100
-GRAM = 28
+GRAM = 22
 #: Bytes of distinct segments whose suffixes a task sorts at once, unless one name has more.
 GROUP_BYTES = 1_000_000
 SLICE_BYTES = 1_000_000
