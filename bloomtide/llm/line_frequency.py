@@ -90,6 +90,9 @@ def cover(places: Column) -> Column:
         F.lit(0), lambda total, x: total + x)
 
 
+INTERNAL = ("_words", "_windows", "_lines", "_plain", "_ordered", "_places")
+
+
 def with_base_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_line_words, base_failed.
 
@@ -97,8 +100,7 @@ def with_base_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     removed words are held.
     """
     body = text_of(text)
-    own = {"_words", "_windows", "_lines", "_plain", "_ordered", "_places"}
-    keep = [c for c in documents.columns if c not in own]
+    keep = [c for c in documents.columns if c not in INTERNAL]
     staged = (
         documents.select(
             *keep, words_of(body).alias("_words"),
@@ -134,7 +136,8 @@ def quality_rules(documents: DataFrame, text: str = "text", host: str = "source"
 
     A document is rejected when its base rules fail or when the lines above the
     limits hold more than ``1 - min_left`` of the words of its distinct lines.
-    Added columns replace columns of the same name.
+    Added columns replace columns of the same name, and columns named as in
+    ``INTERNAL`` are left out.
     """
     rows = documents.select(*[c for c in documents.columns if c not in ADDED])
     gone = removals(documents, text, host, min_documents, max_share)

@@ -6,7 +6,8 @@ removed. The windows are the suffixes of the word sequences, cut at that depth.
 
 1. Suffixes that cannot repeat are dropped (``repeats``).
 2. A suffix is written as the hashes of its first ``STEPS`` words: its path from
-   the root. Suffixes are dealt out by their shortest prefix and sorted by path.
+   the root (short hashes for prefixes, 64 bits for all its words). Suffixes are
+   dealt out by their shortest prefix and sorted by path.
 3. Each task takes groups of suffixes with a common prefix, as many as fit its
    memory; a prefix with too many is lengthened by the next step, and so on, so
    a group never outgrows the memory. A group's subtree follows from the sorted
@@ -43,7 +44,7 @@ STEPS = (4, 12, 20)
 #: Suffixes of the groups that a task holds at once.
 GROUP = 200_000
 SLICE_BYTES = 2_000_000
-SUFFIX_SCHEMA = "s1 long, s2 long, s3 long, doc_id long, row long, start int, n int"
+SUFFIX_SCHEMA = "s1 int, s2 int, s3 long, doc_id long, row long, start int, n int"
 
 
 def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,13 +53,12 @@ def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def paths(values: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
-    """For suffixes at places the hashes of their words up to each step, from the step before."""
-    out, before = [], 0
+    """For suffixes at places the hashes of their words up to each step."""
+    out, before, whole = [], 0, np.zeros(len(at), np.uint64)
     for depth in steps_for(length):
-        whole = np.zeros(len(at), np.uint64)
         for j in range(before, depth):
             whole = mix(whole ^ values[at + j])
-        out.append(whole.view(np.int64))
+        out.append(whole.view(np.int64) if depth == length else (whole >> np.uint64(33)).astype(np.int32))
         before = depth
     return out
 
@@ -87,7 +87,7 @@ def suffixes_of(batch: pa.RecordBatch, length: int):
     order = np.lexsort((place, order_of[owner], s3, s2, s1))
     same = np.zeros(len(order), bool)
     same[1:] = (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1]) & (s3[order][1:] == s3[order][:-1])
-    kept, later = order[~same], order[same]
+    kept, later = np.sort(order[~same]), order[same]  # a row's suffixes together: they compress better
     return (s1, s2, s3, owner, place), kept, later
 
 
@@ -108,10 +108,9 @@ def suffix_rows(located: DataFrame, length: int) -> DataFrame:
         for batch in batches_in_slices(batches, limit=SLICE_BYTES):
             (s1, s2, s3, owner, place), kept, later = suffixes_of(batch, length)
             text, start, end = marks(owner[later], place[later], length)
-            none = np.zeros(len(text), np.int64)
             take = pa.array(np.concatenate([owner[kept], text]))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.concatenate([s[kept], none])) for s in (s1, s2, s3)),
+                [*(pa.array(np.concatenate([s[kept], np.zeros(len(text), s.dtype)])) for s in (s1, s2, s3)),
                  batch.column("doc_id").take(take), batch.column("row").take(take),
                  pa.array(np.concatenate([place[kept], start]).astype(np.int32)),
                  pa.array(np.concatenate([np.zeros(len(kept), np.int64), end - start]).astype(np.int32))],

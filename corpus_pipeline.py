@@ -15,20 +15,24 @@ from bloomtide.llm.queries import MODEL_FILE
 from bloomtide.session import scratch_path
 
 
-def with_text(docs: DataFrame, text: Column, changed: Column) -> DataFrame:
-    """The rows with a new text where it changed, and its length in ``n_chars`` if there is that column."""
-    columns = {"text": F.when(changed, text).otherwise(F.col("text"))}
+def with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """The rows with a new text where there is one, and its length in ``n_chars`` if there is that column."""
+    new = free_name(docs, "_new_text")
+    columns = {"text": F.coalesce(F.col(new), F.col("text"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return docs.withColumns(columns)
+        columns["n_chars"] = F.coalesce(F.length(new), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return docs.withColumn(new, text).withColumns(columns).drop(new)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; from the others go the lines that too many documents of their source share."""
-    names = {c: free_name(docs, f"_own_{c}") for c in docs.columns if c in line_frequency.ADDED}
-    judged = line_frequency.quality_rules(docs.withColumnsRenamed(names)).filter("kept")
-    text = line_frequency.without_lines(F.col("text"), F.col("removed_lines"))
-    cleaned = with_text(judged, text, F.col("removed_lines").isNotNull())
+    used = line_frequency.ADDED + line_frequency.INTERNAL
+    names = {c: free_name(docs, f"_own_{c}") for c in docs.columns if c in used}
+    judged = line_frequency.quality_rules(docs.withColumnsRenamed(names))
+    # with rand the condition stays above the counts; copied below them it would count everything again
+    kept = judged.filter(F.when(F.rand(0) < 2, F.col("kept")))
+    text = F.when(F.col("removed_lines").isNotNull(), line_frequency.without_lines(F.col("text"), F.col("removed_lines")))
+    cleaned = with_text(kept, text)
     return cleaned.drop(*line_frequency.ADDED).withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
 
 
@@ -48,7 +52,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Secrets are replaced by a mark."""
     name = free_name(docs, "_secrets")
     found = secrets_scan.with_secrets(docs, name=name)
-    return with_text(found, secrets_scan.redacted(F.col("text"), F.col(name)), F.size(name) > 0).drop(name)
+    return with_text(found, F.when(F.size(name) > 0, secrets_scan.redacted(F.col("text"), F.col(name)))).drop(name)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
