@@ -149,6 +149,10 @@ def spots_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     text = pc.list_parent_indices(lists).to_numpy()
     name, start, n, again = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
     order = np.lexsort((start, text))
+    # a repeated row brings its runs again
+    new = np.ones(len(order), bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (start[order][1:] != start[order][:-1])
+    order = order[new]
     return text[order], name[order], start[order].astype(np.int64), n[order].astype(np.int64), again[order]
 
 
