@@ -29,8 +29,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     used = line_frequency.ADDED + line_frequency.INTERNAL
     names = {c: free_name(docs, f"_own_{c}") for c in docs.columns if c in used}
     judged = line_frequency.quality_rules(docs.withColumnsRenamed(names))
-    # with rand the condition stays above the counts; copied below them it would count everything again
-    kept = judged.filter(F.when(F.rand(0) < 2, F.col("kept")))
+    # 1 + rand is at least 1, 0 + rand is less; with rand in it the condition stays above
+    # the counts, while a plain one would be copied below them and count everything again
+    kept = judged.filter(F.coalesce(F.col("kept"), F.lit(False)).cast("int") + F.rand(0) >= 1)
     text = F.when(F.col("removed_lines").isNotNull(), line_frequency.without_lines(F.col("text"), F.col("removed_lines")))
     cleaned = with_text(kept, text)
     return cleaned.drop(*line_frequency.ADDED).withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
