@@ -114,11 +114,11 @@ def known_repeats(names: np.ndarray) -> np.ndarray:
     return known
 
 
-def repeating_runs(rows: DataFrame, symbols, length: int, gram: int, slice_bytes: int) -> DataFrame:
+def repeating_runs(rows: DataFrame, symbols, length: int, gram: int, slice_bytes: int, named: bool = True) -> DataFrame:
     """(row, spots): for each row its runs (name, start, n, again) whose windows can repeat.
 
     ``rows`` has columns row and text; ``symbols(texts)`` gives 64-bit values and
-    where each text's begin.
+    where each text's begin. Without ``named`` the names are 0.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_in_slices(batches, limit=slice_bytes):
@@ -131,13 +131,15 @@ def repeating_runs(rows: DataFrame, symbols, length: int, gram: int, slice_bytes
     packed = rows.select("row", "text").mapInArrow(run, RUN_SCHEMA).select(
         "name", "row", (F.shiftleft(F.col("start").cast("long"), 32) + F.shiftleft(F.col("n").cast("long"), 3) + F.col("known")).alias("spot"))
     known = F.col("spot").bitwiseAND(3)
-    # what is known to repeat needs no comparison and is dealt out by its row
-    keyed = packed.withColumn("salt", F.when(known == 1, F.col("row")).otherwise(F.lit(0)))
-    counted = keyed.withColumn("runs", F.count("*").over(W.partitionBy("name", "salt")))
+    # what is known to repeat needs no comparison and is dealt out by its row as well
+    salted = F.when(known == 1, F.col("name").bitwiseXOR(F.col("row"))).otherwise(F.col("name"))
+    counted = packed.select("row", "spot", salted.alias("name")).withColumn(
+        "runs", F.count("*").over(W.partitionBy("name")))
+    name = salted if named else F.lit(0).cast("long")  # salting twice gives the name back
     n, again = F.shiftright("spot", 3).bitwiseAND((1 << 29) - 1), F.col("spot").bitwiseAND(4) > 0
     return (
         counted.filter((F.col("runs") > 1) | (known > 0) | again)
-        .select("row", "name", F.shiftright("spot", 32).cast("int").alias("start"), n.cast("int").alias("n"), again.alias("again"))
+        .select("row", name.alias("name"), F.shiftright("spot", 32).cast("int").alias("start"), n.cast("int").alias("n"), again.alias("again"))
         .groupBy("row").agg(F.collect_list(F.struct("name", "start", "n", "again")).alias("spots"))
     )
 

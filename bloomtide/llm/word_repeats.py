@@ -6,7 +6,7 @@ removed. The windows are the suffixes of the word sequences, cut at that depth.
 
 1. Suffixes that cannot repeat are dropped (``repeats``).
 2. A suffix is written as the hashes of its first ``STEPS`` words: its path from
-   the root (short hashes for prefixes, 64 bits for all its words). Suffixes are
+   the root (24 bits for the prefix, 64 bits for all its words). Suffixes are
    dealt out by their shortest prefix and sorted by path.
 3. Each task takes groups of suffixes with a common prefix, as many as fit its
    memory; a prefix with too many is lengthened by the next step, and so on, so
@@ -38,13 +38,14 @@ from bloomtide.llm import repeats
 from bloomtide.llm.common import batches_in_slices, hash_words, mix, split_words, text_of
 
 LENGTH = 20
-GRAM = 6
+GRAM = 5
 #: Depths of the tree, in words.
-STEPS = (4, 12, 20)
+STEPS = (4, 20)
 #: Suffixes of the groups that a task holds at once.
 GROUP = 200_000
 SLICE_BYTES = 2_000_000
-SUFFIX_SCHEMA = "s1 int, s2 int, s3 long, doc_id long, row long, start int, n int"
+PATH = ("s1", "s2")
+SUFFIX_SCHEMA = "s1 int, s2 long, doc_id long, row long, start int, n int"
 
 
 def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +59,13 @@ def paths(values: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
     for depth in steps_for(length):
         for j in range(before, depth):
             whole = mix(whole ^ values[at + j])
-        out.append(whole.view(np.int64) if depth == length else (whole >> np.uint64(33)).astype(np.int32))
+        out.append(whole.view(np.int64) if depth == length else (whole >> np.uint64(40)).astype(np.int32))
         before = depth
     return out
 
 
-def steps_for(length: int) -> tuple[int, int, int]:
-    return STEPS if length == LENGTH else (max(1, length // 5), max(2, 3 * length // 5), length)
+def steps_for(length: int) -> tuple[int, int]:
+    return STEPS if length == LENGTH else (max(1, length // 5), length)
 
 
 def suffixes_of(batch: pa.RecordBatch, length: int):
@@ -79,16 +80,16 @@ def suffixes_of(batch: pa.RecordBatch, length: int):
     text, start, n = text[use], start[use], n[use]
     owner = np.repeat(text, n)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-    s1, s2, s3 = paths(values, starts[owner] + place, length)
+    s1, s2 = paths(values, starts[owner] + place, length)
     absent = ids.is_null().to_numpy(zero_copy_only=False)
     number = pc.fill_null(ids, 0).to_numpy()
     order_of = np.empty(len(rows), np.int64)
     order_of[np.lexsort((rows, number, absent))] = np.arange(len(rows))
-    order = np.lexsort((place, order_of[owner], s3, s2, s1))
+    order = np.lexsort((place, order_of[owner], s2, s1))
     same = np.zeros(len(order), bool)
-    same[1:] = (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1]) & (s3[order][1:] == s3[order][:-1])
+    same[1:] = (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1])
     kept, later = np.sort(order[~same]), order[same]  # a row's suffixes together: they compress better
-    return (s1, s2, s3, owner, place), kept, later
+    return (s1, s2, owner, place), kept, later
 
 
 def marks(owner: np.ndarray, place: np.ndarray, length: int):
@@ -106,15 +107,15 @@ def suffix_rows(located: DataFrame, length: int) -> DataFrame:
     """Suffixes (n = 0) and, already known, passages (n = their words) of rows (doc_id, row, text, spots)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_in_slices(batches, limit=SLICE_BYTES):
-            (s1, s2, s3, owner, place), kept, later = suffixes_of(batch, length)
+            (s1, s2, owner, place), kept, later = suffixes_of(batch, length)
             text, start, end = marks(owner[later], place[later], length)
             take = pa.array(np.concatenate([owner[kept], text]))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.concatenate([s[kept], np.zeros(len(text), s.dtype)])) for s in (s1, s2, s3)),
+                [*(pa.array(np.concatenate([s[kept], np.zeros(len(text), s.dtype)])) for s in (s1, s2)),
                  batch.column("doc_id").take(take), batch.column("row").take(take),
                  pa.array(np.concatenate([place[kept], start]).astype(np.int32)),
                  pa.array(np.concatenate([np.zeros(len(kept), np.int64), end - start]).astype(np.int32))],
-                names=["s1", "s2", "s3", "doc_id", "row", "start", "n"])
+                names=[*PATH, "doc_id", "row", "start", "n"])
 
     return located.mapInArrow(run, SUFFIX_SCHEMA)
 
@@ -143,9 +144,9 @@ class Subtrees:
         table = pa.Table.from_batches([batch])
         self.rest = table if self.rest is None else pa.concat_tables([self.rest, table])
         if self.rest.num_rows >= GROUP:
-            shared = common_steps([self.rest.column(c).to_numpy() for c in ("s1", "s2", "s3")])
+            shared = common_steps([self.rest.column(c).to_numpy() for c in PATH])
             # the shortest prefix that splits what is held; the deepest node itself if none does
-            for steps in range(4):
+            for steps in range(len(PATH) + 1):
                 borders = np.flatnonzero(shared <= steps)
                 if borders[-1] > 0:
                     break
@@ -158,7 +159,7 @@ class Subtrees:
 
     def build(self, group: pa.Table) -> Iterator[pa.RecordBatch]:
         """Repeats under the deep nodes of a group of sorted suffixes."""
-        columns = [group.column(c).to_numpy() for c in ("s1", "s2", "s3")]
+        columns = [group.column(c).to_numpy() for c in PATH]
         row, start = group.column("row").to_numpy(), group.column("start").to_numpy().astype(np.int64)
         shared = common_steps(columns)
         head = shared < len(columns)
@@ -194,7 +195,7 @@ def passages(suffixes: DataFrame, length: int) -> DataFrame:
 
     prefix = F.when(F.col("n") > 0, F.xxhash64("row", "start")).otherwise(F.col("s1"))
     sorted_ = suffixes.repartition(prefix).sortWithinPartitions(
-        "s1", "s2", "s3", F.col("doc_id").asc_nulls_last(), "row", "start")
+        *PATH, F.col("doc_id").asc_nulls_last(), "row", "start")
     return sorted_.mapInArrow(run, "row long, start int, end int")
 
 
@@ -203,7 +204,7 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     rows = documents.select(
         F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), text_of(text)).alias("row"), text_of(text).alias("text"))
     gram = min(GRAM, length)
-    spots = repeats.repeating_runs(rows, word_symbols, length, gram, SLICE_BYTES)
+    spots = repeats.repeating_runs(rows, word_symbols, length, gram, SLICE_BYTES, named=False)
     found = passages(suffix_rows(rows.join(spots, "row"), length), length)
     spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return rows.join(spans, "row", "left")
