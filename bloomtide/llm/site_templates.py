@@ -1,18 +1,21 @@
 """Main text of web pages: site templates are found across pages and removed.
 
 Every element's subtree is hashed (tag, class, id, text, subtrees). Spark counts
-on how many pages of a host each subtree stands; those on many pages are the
+in how many distinct contents of a host each subtree stands; those in many are the
 site's template and are deleted from each of its pages. What is left of the page
 outside of menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments is its text.
 
-Inside the article only containers are deleted as template, never paragraphs and
-headings: a page whose article is copied over a site keeps its text.
+A page's content is that text before anything is deleted as template: an article
+or page counts once, however often it is copied over a site, and keeps its text.
+Only a small named box in the article goes when it stands on many pages that
+differ elsewhere, even if their article is the same. Inside the article
+paragraphs and headings are never deleted.
 
 Defined results: null or empty html gives an empty text; a null url or one
 without a host belongs to one host of its own; unclosed, stray and overlapping
-tags are read as browsers read them, near enough; repeated rows count as pages
-and get the same text.
+tags are read as browsers read them, near enough; repeated rows count once and
+get the same text.
 """
 
 from __future__ import annotations
@@ -161,24 +164,18 @@ def main_roots(root: Element) -> list[Element]:
     return [root]
 
 
-def main_text(html: str, template: set[int]) -> str:
-    """The blocks of the main text joined by one space."""
-    tree = parse(html)
-    hashes = subtree_hashes(tree) if template else {}
+def text_below(starts: list[Element], gone: set[int] = frozenset()) -> str:
+    """The blocks of the wanted text joined by one space, without the elements of the identities ``gone``."""
     pieces: list[str] = []
-    for start in main_roots(tree):
+    for start in starts:
+        article = start.tag in ("article", "main")
         todo: list = [start]
         while todo:
             node = todo.pop()
             if isinstance(node, str):
                 pieces.append(node)
                 continue
-            inside = node is not start
-            article = start.tag in ("article", "main")
-            if inside and unwanted(node, article):
-                continue
-            if inside and template and hashes[id(node)] in template and not (
-                    article and (node.tag in TEXT_TAGS or node.tag in INLINE)):
+            if node is not start and (id(node) in gone or unwanted(node, article)):
                 continue
             block = node.tag not in INLINE
             if block:
@@ -188,51 +185,110 @@ def main_text(html: str, template: set[int]) -> str:
     return " ".join("".join(pieces).split())
 
 
+def can_be_template(starts: list[Element]) -> list[tuple[Element, bool]]:
+    """The elements that go if they are template, parents first, and whether each stands in an article."""
+    out = []
+    for start in starts:
+        article = start.tag in ("article", "main")
+        todo: list = list(reversed(start.children))
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str) or unwanted(node, article):
+                continue
+            if node.children and node.tag not in ROOTS and not (article and (node.tag in TEXT_TAGS or node.tag in INLINE)):
+                out.append((node, article))
+            todo += reversed(node.children)
+    return out
+
+
+def small_boxes(found: list[tuple[Element, bool]], text: str) -> set[int]:
+    """Identities of named containers of bare text in an article, if they hold less than half of the text together."""
+    boxes = [n for n, article in found if article and n.names and all(
+        x is n or x.tag in INLINE or x.tag in VOID for x in in_order(n))]
+    return {id(n) for n in boxes} if 2 * sum(len(text_below([n])) for n in boxes) < len(text) else set()
+
+
+def main_text(html: str, template: set[int], boxes: set[int] = frozenset()) -> str:
+    """The main text without template subtrees, and without small boxes that are among ``boxes``."""
+    tree = parse(html)
+    starts = main_roots(tree)
+    text = text_below(starts)
+    if not template and not boxes:
+        return text
+    hashes, found = subtree_hashes(tree), can_be_template(starts)
+    small = small_boxes(found, text) if boxes else ()
+    return text_below(starts, {id(n) for n, _ in found if hashes[id(n)] in template or id(n) in small and hashes[id(n)] in boxes})
+
+
 def host_of(url: str = "url") -> Column:
     """The host in lower case, empty where there is none."""
     return F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+
+
+SUBTREES = pa.schema([("site", pa.int64()), ("row", pa.int64()), ("subtree", pa.int64()), ("box", pa.bool_()), ("content", pa.int64())])
+
+
 def subtrees(pages: DataFrame, html: str, url: str) -> DataFrame:
-    """(site, row, subtree): each distinct subtree of each page that holds text; a site is a hashed host."""
+    """(site, row, subtree, box, content): each distinct subtree of each page that can be template, and where it stands.
+
+    A site is a hashed host, the content the hashed main text, or for a small box
+    the hashed page. Each page also has itself as subtree 0, to count contents and
+    pages by.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found = [], []
-            for i, page in enumerate(batch.column("html")):
-                tree = parse(page.as_py())
-                hashes = subtree_hashes(tree)
-                own = {hashes[id(n)] for n in in_order(tree) if n.children and n.tag and n.tag not in ROOTS}
+            for i, page in enumerate(batch.column("html").to_pylist()):
+                tree = parse(page)
+                starts = main_roots(tree)
+                text = text_below(starts)
+                nodes = can_be_template(starts)
+                hashes = subtree_hashes(tree) if nodes else {}
+                small = small_boxes(nodes, text)
+                content, whole = text_hash(text), text_hash(page)
+                own = {(0, False, content), (0, True, whole)}
+                own |= {(hashes[id(n)], False, content) for n, _ in nodes}
+                own |= {(hashes[id(n)], True, whole) for n, _ in nodes if id(n) in small}
                 at += [i] * len(own)
                 found += own
             index = pa.array(at, pa.int64())
+            subtree, box, content = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("site").take(index), batch.column("row").take(index), pa.array(found, pa.int64())],
-                names=["site", "row", "subtree"])
+                [batch.column("site").take(index), batch.column("row").take(index), pa.array(subtree, pa.int64()),
+                 pa.array(box, pa.bool_()), pa.array(content, pa.int64())], schema=SUBTREES)
 
     rows = pages.select(F.xxhash64(host_of(url)).alias("site"), F.xxhash64(F.col(url), F.col(html)).alias("row"),
                         F.coalesce(F.col(html), F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "site long, row long, subtree long")
+    return rows.mapInArrow(run, "site long, row long, subtree long, box boolean, content long")
 
 
 def with_main_text(pages: DataFrame, html: str = "html", url: str = "url", name: str = "text", min_pages: int = 10,
                    min_share: float = 0.05) -> DataFrame:
     """Add (or replace) the main text of each page.
 
-    A subtree is template when it stands on ``min_pages`` pages of its host and
-    on ``min_share`` of them.
+    A subtree is template when it stands in ``min_pages`` distinct contents of its
+    host and in ``min_share`` of them; a small box, also by distinct pages.
     """
     found = subtrees(pages, html, url)
-    sizes = pages.groupBy(F.xxhash64(host_of(url)).alias("site")).agg(F.count("*").alias("n_pages"))
-    often = found.groupBy("site", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).join(
-        sizes, "site").filter(F.col("n") >= min_share * F.col("n_pages")).select("site", "subtree")
-    hits = found.join(often, ["site", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("_template"))
+    counts = found.select("site", "subtree", "box", "content").distinct().groupBy("site", "subtree", "box").agg(F.count("*").alias("n"))
+    sizes = counts.filter("subtree = 0").select("site", "box", F.col("n").alias("n_all"))
+    often = counts.filter((F.col("n") >= min_pages) & (F.col("subtree") != 0)).join(
+        sizes, ["site", "box"]).filter(F.col("n") >= min_share * F.col("n_all")).select("site", "subtree", "box")
+    hits = found.filter("subtree <> 0").join(often, ["site", "subtree", "box"]).groupBy("row").agg(
+        F.collect_set(F.when(~F.col("box"), F.col("subtree"))).alias("_template"),
+        F.collect_set(F.when(F.col("box"), F.col("subtree"))).alias("_boxes"))
     row = F.xxhash64(F.col(url), F.col(html))
 
     @F.arrow_udf("string")
-    def text_of_page(pages_: pa.Array, templates: pa.Array) -> pa.Array:
-        return pa.array([main_text(h.as_py() or "", set(t.as_py() or ())) for h, t in zip(pages_, templates, strict=True)],
-                        pa.string())
-
-    own, template = free_name(pages, "_row"), free_name(pages, "_template")
-    joined = pages.withColumn(own, row).join(hits.select(F.col("row").alias(own), F.col("_template").alias(template)), own, "left")
-    return joined.withColumn(name, text_of_page(F.col(html), F.col(template))).drop(own, template)
+    def text_of_page(pages_: pa.Array, templates: pa.Array, boxes: pa.Array) -> pa.Array:
+        return pa.array([main_text(h or "", set(t or ()), set(b or ())) for h, t, b in zip(
+            pages_.to_pylist(), templates.to_pylist(), boxes.to_pylist(), strict=True)], pa.string())
+
+    own, template, box = (free_name(pages, c) for c in ("_row", "_template", "_boxes"))
+    joined = pages.withColumn(own, row).join(
+        hits.select(F.col("row").alias(own), F.col("_template").alias(template), F.col("_boxes").alias(box)), own, "left")
+    return joined.withColumn(name, text_of_page(F.col(html), F.col(template), F.col(box))).drop(own, template, box)

@@ -97,6 +97,23 @@ def test_templates_go_and_articles_stay(spark):
     assert {got[100 + n] for n in range(30)} == {"T same <story>"}
 
 
+def test_copies_of_a_page_or_article_keep_their_text(spark):
+    bodies = ["<article><h1>T</h1><div class=content>all of the story</div></article>",
+              "<article><section><p>one</p></section><div>two</div><div>three</div></article>",
+              "<main><p>one</p><ul><li>a</li><li>b</li></ul><table><tr><td>c</td></tr></table><figure><figcaption>d</figcaption></figure></main>",
+              "<h1>T</h1><p>no article</p><div>here</div>"]
+    rows = [page(f"{k}.org", 100 * k + n, f"<body><nav>x{n}</nav>{b}</body>") for k, b in enumerate(bodies) for n in range(12)]
+    rows += [page("5.org", 500 + n, f"<body>{bodies[3]}<div class=small>s</div></body>") for n in range(12)]
+    rows += [page("6.org", 600 + n, f"<article><div><p>own {n}</p></div><div>Read also</div></article>") for n in range(12)]
+    rows += [page("6.org", 620 + n, "<article><div><p>copied</p></div><div>Read also</div></article>") for n in range(300)]
+    got = dict(st.with_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    texts = ["T all of the story", "one two three", "one a b c d", "T no article here"]
+    assert all(got[100 * k + n] == t for k, t in enumerate(texts) for n in range(12))
+    assert {got[500 + n] for n in range(12)} == {"T no article here s"}
+    assert [got[600 + n] for n in range(12)] == [f"own {n}" for n in range(12)]
+    assert {got[620 + n] for n in range(300)} == {"copied"}
+
+
 def test_segmentations_against_all_paths():
     words = sg.load_vocabulary(MODEL_FILE)
     for text in ("cat", "é\n", "a b", "x▁"):
