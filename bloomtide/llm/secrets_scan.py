@@ -8,8 +8,8 @@ its positions. Values whose cost reaches the threshold are spans of kind
 ``guess``; ``password=changeme2024`` is not, ``password=x9$Kq!72`` is.
 
 Defined results: a null or empty text has no spans; positions are code points;
-a value that overlaps a base span is not reported again; repeated rows get the
-same spans. The cost of a long value grows linearly with its length, and so does
+a value that a base span covers wholly is not reported again, one that goes on
+beyond it is scored as a whole; repeated rows get the same spans. The cost of a long value grows linearly with its length, and so does
 the work.
 """
 
@@ -156,14 +156,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def guess_spans(text: str, taken: list[tuple[str, int, int]], threshold: float) -> list[tuple[str, int, int, float]]:
-    """Values of credential contexts outside of ``taken`` whose cost reaches the threshold."""
+    """Values of credential contexts that no span of ``taken`` covers and whose cost reaches the threshold."""
     if ":" not in text and "=" not in text and "earer" not in text.lower():
         return []
     out, spans = [], [(s, e) for _, s, e in taken]
     for pattern in CONTEXTS:
         for m in pattern.finditer(text):
             start, end = m.span(m.lastindex)
-            if any(s < end and start < e for s, e in spans):
+            if any(s <= start and end <= e for s, e in spans):
                 continue
             cost = guess_cost(text[start:end])
             if cost >= threshold:
