@@ -13,7 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, functions as F
 
-from bloomtide.fixed_values import FEATURES as FEATURE_LIST, GRID, POLLEN
+from bloomtide.fixed_values import FEATURES as FEATURE_LIST, POLLEN
 from bloomtide.functions import risk
 from bloomtide.modeling import estimators, metrics, prepare, selection, store
 from bloomtide.operators import features, topk
@@ -214,24 +214,32 @@ def fit_forest(spark, sf_dir):
 
 @query()
 def fit_boosted(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    return _report(estimators.fit_boosted(train, rounds=10, max_depth=4), test)
+    """Reports of both targets: two classes, and three one against the rest."""
+    reports = []
+    for classes in (2, 3):
+        train, test = _split(spark, sf_dir, binary=classes == 2)
+        report = _report(estimators.fit_boosted(train, rounds=100), test)
+        reports.append(report.withColumn("classes", F.lit(classes)))
+    return reduce(DataFrame.unionByName, reports)
 
 
 @query()
 def feature_importance(spark, sf_dir):
+    """Importances of a tree, a forest and boosted trees, and coefficients."""
     train, _ = _split(spark, sf_dir)
-    return estimators.feature_importance(estimators.fit_tree(train))
-
-
-#: The families of the default grid that fit in seconds, whole; the others take many minutes.
-QUICK_FAMILIES = {family: GRID[family] for family in ("logistic", "tree")}
+    models = {
+        "tree": estimators.fit_tree(train), "forest": estimators.fit_forest(train, trees=100, max_depth=5),
+        "boosted": estimators.fit_boosted(train, rounds=100), "logistic": estimators.fit_logistic(train),
+    }
+    return reduce(DataFrame.unionByName, [
+        estimators.feature_importance(model).withColumn("model", F.lit(name)) for name, model in models.items()
+    ])
 
 
 @query()
 def grid_search(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
-    found = selection.grid_search(train, grid=QUICK_FAMILIES)
+    found = selection.grid_search(train)
     return topk.best_per_group(selection.mean_scores(found.results))
 
 
@@ -360,7 +368,7 @@ def score_with_fallback(spark, sf_dir):
 @query()
 def training_run(spark, sf_dir):
     labelled = training.labelled_features(seasonal_days(spark, sf_dir))
-    done = training.train_and_evaluate(labelled, "pollen_b", last_train_year=LAST_TRAIN_YEAR, grid=QUICK_FAMILIES)
+    done = training.train_and_evaluate(labelled, "pollen_b", last_train_year=LAST_TRAIN_YEAR)
     parts = ("families", "report", "confusion", "gap", "importance")
     rows = [
         getattr(done, part).select(F.lit(part).alias("part"), F.to_json(F.struct("*")).alias("row")) for part in parts

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from bloomtide.fixed_values import GRID
 from bloomtide.modeling import estimators, metrics, prepare, selection, store
 from bloomtide.session import scratch_path
+from catalog import models_scoring
+from tests.compare import DATA
 from tests.frames import D
 
 FEATURES = ["x", "y"]
@@ -191,3 +193,31 @@ def test_grid_search_and_saved_model(spark, table):
     assert sorted(loaded.transform(table).select(columns).collect()) == sorted(
         found.model.transform(table).select(columns).collect()
     )
+
+
+@pytest.mark.parametrize("name", ["grid_search", "training_run"])
+def test_queries_search_the_whole_grid(spark, monkeypatch, name):
+    seen = []
+
+    def searched(grid):
+        seen.append(grid)
+        raise InterruptedError
+
+    monkeypatch.setattr(selection, "candidates", searched)
+    with pytest.raises(InterruptedError):
+        models_scoring.__dict__[name](spark, f"{DATA}/sf0.01")
+    assert seen == [GRID]
+
+
+def test_boosted_query_has_both_targets_and_100_rounds(spark, monkeypatch):
+    real, seen = estimators.fit_boosted, []
+
+    def fitted(train, rounds, **options):
+        seen.append(rounds)
+        return real(train, rounds=1, max_depth=1)
+
+    monkeypatch.setattr(estimators, "fit_boosted", fitted)
+    report = models_scoring.fit_boosted(spark, f"{DATA}/sf0.01")
+    assert {r["classes"] for r in report.collect()} == {2, 3} and min(seen) >= 100
+    importance = models_scoring.feature_importance(spark, f"{DATA}/sf0.01")
+    assert {r["model"] for r in importance.collect()} == {"tree", "forest", "boosted", "logistic"}
