@@ -5,7 +5,8 @@ id, or earlier in the same row) is a repeat, and the bytes it covers are removed
 
 1. Runs of windows that cannot repeat are dropped (``repeats``). The others, cut
    out with the bytes their windows need, are dealt out by the run's name, which
-   equal windows share.
+   equal windows share. Names with more bytes than a task sorts at once are split:
+   their segments are cut anew and renamed by longer grams, whole windows at most.
 2. A task joins the distinct segments of as many names as fit its memory into one
    text and sorts its suffixes in two stages: only those smaller than their
    successors are sorted directly; all others follow by scanning the buckets of
@@ -38,8 +39,10 @@ from bloomtide.llm.common import batches_in_slices, mix, text_of
 
 LENGTH = 100
 GRAM = 22
-#: Bytes of distinct segments whose suffixes a task sorts at once, unless one name has more.
+#: Bytes of distinct segments whose suffixes a task sorts at once.
 GROUP_BYTES = 1_000_000
+#: How many times GROUP_BYTES a split name may have for grams of each share of a window; above, grams are whole windows.
+SPLITS = ((4, 0.8), (64, 0.95))
 SLICE_BYTES = 1_000_000
 SEGMENT_SCHEMA = "name long, doc_id long, row long, start int, n int, bytes binary"
 BYTE_VALUES = mix(np.arange(256, dtype=np.uint64))
@@ -228,6 +231,62 @@ def segment_rows(located: DataFrame, length: int) -> DataFrame:
     return located.mapInArrow(run, SEGMENT_SCHEMA)
 
 
+def split_gram(size: int, bound: int, length: int) -> int:
+    """The gram that renames the segments of a name with ``size`` bytes."""
+    return next((max(1, round(share * length)) for times, share in SPLITS if size <= times * bound), length)
+
+
+def pieces_of(part: bytes, name: int, length: int, gram: int) -> list[tuple[int, int, bytes]]:
+    """(name, offset, bytes) of a segment's runs of windows with the same least gram; equal windows keep equal names."""
+    symbols = BYTE_VALUES[np.frombuffer(part, np.uint8)]
+    least = repeats.sliding_least(mix(repeats.rolling(symbols, gram)), length - gram + 1)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    ends = np.append(first[1:], len(least)) + length - 1
+    names = mix(least[first] ^ np.array([name], np.int64).view(np.uint64)).view(np.int64)
+    return [(n, a, part[a:b]) for n, a, b in zip(names.tolist(), first.tolist(), ends.tolist(), strict=True)]
+
+
+def split_names(segments: DataFrame, length: int, bound: int) -> DataFrame:
+    """The segments, those of names with more than ``bound`` bytes cut into pieces with names of their own.
+
+    Bytes are summed by 24 bits of the name, which shuffles less; a small name that
+    shares them with a large one is split as well. The large ones are at most one
+    for each ``bound`` bytes of segments.
+    """
+    part_of_name = F.shiftrightunsigned("name", 40).cast("int").alias("some_bits")
+    large = segments.filter("n <= 0").groupBy(part_of_name).agg(F.sum(F.octet_length("bytes")).alias("size")).filter(F.col("size") > bound)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):
+            size = batch.column("size")
+            batch = batch.select(["name", "doc_id", "row", "start", "n", "bytes"])
+            cut = pc.and_(pc.is_valid(size), pc.less_equal(batch.column("n"), 0))
+            if not pc.any(cut).as_py():
+                yield batch
+                continue
+            yield batch.filter(pc.invert(cut))
+            sizes = size.filter(cut).to_pylist()
+            rows = sorted(zip(batch.filter(cut).to_pylist(), sizes, strict=True), key=lambda x: (
+                x[0]["doc_id"] is None, x[0]["doc_id"] or 0, x[0]["row"], x[0]["start"]))
+            seen: dict[tuple[int, bytes], tuple[int, int]] = {}
+            out = []
+            for r, total in rows:
+                for name, offset, part in pieces_of(r["bytes"], r["name"], length, split_gram(total, bound, length)):
+                    place = r["row"], r["start"] + offset
+                    earlier = seen.setdefault((name, part), place)
+                    known = earlier is not place
+                    if not known or earlier != place:  # else the same row again
+                        out.append(r | {"name": name, "start": place[1], "n": len(part) if known else r["n"], "bytes": None if known else part})
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+
+    return segments.withColumn("some_bits", part_of_name).join(F.broadcast(large), "some_bits", "left").select(
+        "name", "doc_id", "row", "start", "n", "bytes", "size").mapInArrow(run, SEGMENT_SCHEMA)
+
+
 def group_repeats(ids: list[int | None], rows: np.ndarray, starts: np.ndarray, parts: list[bytes], length: int):
     """(row, start, end) of repeats among segments, those of one name sorted by row and start."""
     key = [(x is None, x or 0, r) for x, r in zip(ids, rows.tolist(), strict=True)]
@@ -290,12 +349,16 @@ def strings(segments: DataFrame, length: int) -> DataFrame:
     return ordered.mapInArrow(run, "row long, start int, end int")
 
 
-def repeated_strings(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc_id, row, text, spans) of every row: spans are (start, end) in bytes, to be removed."""
+def repeated_strings(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
+                     bound: int = GROUP_BYTES) -> DataFrame:
+    """(doc_id, row, text, spans) of every row: spans are (start, end) in bytes, to be removed.
+
+    Names with more than ``bound`` bytes of segments are split.
+    """
     rows = documents.select(
         F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), text_of(text)).alias("row"), text_of(text).alias("text"))
     spots = repeats.repeating_runs(rows, byte_symbols, length, min(GRAM, length), SLICE_BYTES)
-    found = strings(segment_rows(rows.join(spots, "row"), length), length)
+    found = strings(split_names(segment_rows(rows.join(spots, "row"), length), length, bound), length)
     spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return rows.join(spans, "row", "left")
 

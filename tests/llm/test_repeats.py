@@ -100,6 +100,27 @@ def test_small_groups_give_the_same(spark, monkeypatch):
     assert both() == want
 
 
+@pytest.mark.parametrize("bound", [10_000, 700, 50])
+def test_names_with_many_bytes_are_split(spark, bound):
+    rng = random.Random(9)
+    def some(n):
+        return "".join(rng.choice("abcdefghij ") for _ in range(n))
+    phrase = some(40)
+    rows = [(i, some(150) + phrase + some(150)) for i in range(300)]
+    rows += [(400 + i, some(30) + rows[i][1][90 + i:260] + some(50)) for i in range(30)] + [rows[3], (None, rows[4][1])]
+    df = documents(spark, rows).repartition(4)
+    found = byte_repeats.repeated_strings(df, bound=bound)
+    got = {(r["doc_id"], r["kept"]) for r in byte_repeats.without_strings(found).select("doc_id", "kept").collect()}
+    masks = brute(rows_with_hash(spark, rows), lambda t: list(t.encode()), 100)
+    assert got == {(r[0], bytes(b for b, g in zip(*m, strict=True) if not g)) for r, m in masks.items()}
+    texts_ = df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    spots = repeats.repeating_runs(texts_, byte_repeats.byte_symbols, 100, 22, 10**6)
+    segments = byte_repeats.segment_rows(texts_.join(spots, "row"), 100)
+    def largest(some_segments):
+        return some_segments.filter("n <= 0").groupBy("name").agg(F.sum(F.octet_length("bytes")).alias("size")).agg(F.max("size")).first()[0]
+    assert largest(segments) > 20_000 and largest(byte_repeats.split_names(segments, 100, bound)) < 2_000
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_suffix_array(seed):
     rng = np.random.default_rng(seed)
