@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bloomtide.llm import (
-    byte_repeats, decontamination, interleaving, line_frequency, ngram_join, pairwise_quality, secrets_scan, segmentations,
-    site_templates, word_repeats,
+    byte_repeats, centroid_clusters, chat_format, decontamination, interleaving, line_frequency, ngram_join, pairwise_quality,
+    secrets_scan, segmentations, site_templates, whitening, word_repeats,
 )
 from bloomtide.llm.common import read
 
@@ -164,3 +164,71 @@ def op9_two_stage_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = byte_repeats.repeated_strings(read(spark, sf_dir, "documents"))
     return byte_repeats.without_strings(found).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+CHAT_SQL = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+t AS (
+    SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned,
+        replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<', '\l') AS head,
+        regexp_replace(text, '(\\*)(</?turn>)', '\\\1\2', 'g') AS body
+    FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(sum(length(learned)) AS BIGINT) AS loss_chars, sha256(string_agg(learned, '' ORDER BY turn)) AS loss_sha256,
+    CAST(sum(16 + length(head) + length(body)) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query(CHAT_SQL)
+def op11_columnar_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], conversations.schema)
+    return chat_format.digests(chat_format.formatted(conversations.unionByName(added)))
+
+
+@query()
+def op12_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.with_whitened(read(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def centroid_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Vectors and centroids as (id, dimension, value) rows; each round assigns and moves."""
+    near = """near{i} AS (
+    SELECT id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+        SELECT v.id, m.c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN m{i} m ON m.dim = v.dim GROUP BY v.id, m.c)
+    GROUP BY id)"""
+    move = """m{j} AS (
+    SELECT m.c, m.dim, coalesce(n.x, m.x) AS x FROM m{i} m LEFT JOIN (
+        SELECT c, dim, CAST(sum(x) AS HUGEINT) // count(*) - CASE WHEN sum(x) < 0 AND sum(x) % count(*) <> 0 THEN 1 ELSE 0 END AS x
+        FROM v JOIN near{i} USING (id) GROUP BY c, dim) n ON n.c = m.c AND n.dim = m.dim)"""
+    steps = [s for i in range(rounds) for s in (near.format(i=i), move.format(i=i, j=i + 1))]
+    return f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x
+    FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+v AS (SELECT id, unnest(range({dims})) AS dim, unnest(x) AS x FROM kept),
+m0 AS (
+    SELECT c, unnest(range({dims})) AS dim, unnest(x) AS x FROM (
+        SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM kept) WHERE c < {k}
+),
+{", ".join(steps)},
+{near.format(i=rounds)},
+named AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM m{rounds} GROUP BY c)
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+    CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near{rounds} a JOIN kept k ON k.id = a.id JOIN named n ON n.c = a.c
+"""
+
+
+@query(centroid_sql())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.with_clusters(read(spark, sf_dir, "embeddings"))
