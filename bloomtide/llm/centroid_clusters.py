@@ -45,15 +45,24 @@ def longs(values: list[int]) -> str:
 
 
 def nearest(centroids: list[list[int]], x: str = "x") -> Column:
-    """(distance, cluster) of the nearest centroid; equal distances: the smaller number."""
+    """(distance, cluster) of the nearest centroid; equal distances: the smaller number.
+
+    Each centroid c is compared by |c|^2 - 2 x c, which adds up from |c|^2 on and lacks
+    |x|^2 only, so that there is one product a component; |x|^2 is added to the least.
+    """
     table = F.expr("array(" + ", ".join(
-        f"named_struct('cluster', {i}, 'at', {longs(c)})" for i, c in enumerate(centroids)) + ")")
+        f"named_struct('cluster', {i}, 'square', {sum(v * v for v in c)}L, 'at', {longs([-2 * v for v in c])})"
+        for i, c in enumerate(centroids)) + ")")
+
+    def total(products: Column, start: Column) -> Column:
+        return F.aggregate(products, start, lambda s, v: s + v)
 
     def distance(c: Column) -> Column:
-        squares = F.zip_with(F.col(x), c["at"], lambda a, b: (a - b) * (a - b))
-        return F.aggregate(squares, F.lit(0).cast("long"), lambda s, v: s + v)
+        return total(F.zip_with(F.col(x), c["at"], lambda a, b: a * b), c["square"])
 
-    return F.array_min(F.transform(table, lambda c: F.struct(distance(c).alias("distance"), c["cluster"].alias("cluster"))))
+    best = F.array_min(F.transform(table, lambda c: F.struct(distance(c).alias("distance"), c["cluster"].alias("cluster"))))
+    square = total(F.transform(x, lambda a: a * a), F.lit(0).cast("long"))
+    return F.struct((best["distance"] + square).alias("distance"), best["cluster"].alias("cluster"))
 
 
 def assigned(vectors: DataFrame, centroids: list[list[int]]) -> DataFrame:
