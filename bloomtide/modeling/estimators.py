@@ -1,4 +1,8 @@
-"""The four classifier families on standardised features, as Spark ML pipelines."""
+"""The four classifier families: logistic regression by Spark ML, trees by ``growth``.
+
+A fitted model has ``transform``, which adds ``prediction`` and ``probability``. Logistic
+models are Spark ML pipelines, trees, forests and boosted trees are tables of nodes.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +10,27 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bloomtide.fixed_values import FEATURES, LOGISTIC_MAX_ITER, SEED
+from bloomtide.modeling import boosting
+from bloomtide.modeling.forests import Run, depth_of
+from bloomtide.modeling.growth import balanced, bin_edges, class_sizes, class_stats, grow_all, pack_rows
 from bloomtide.modeling.prepare import class_totals, with_class_weights
+from bloomtide.modeling.tree_model import TreeModel, importance
 from bloomtide.operators.topk import sorted_importance
-from bloomtide.session import ensure_checkpoint_dir, materialise
+from bloomtide.session import materialise
 
-UNLIMITED_DEPTH = 30  # the deepest tree Spark ML builds
+#: Rows of a node that meet in one task, where its subtree is grown; nodes above are split by sums.
+BOUND = 50_000
 VECTOR = "features"
+Model = PipelineModel | TreeModel
 
 
 def fit_preparation(
@@ -41,44 +51,17 @@ def fit_preparation(
     return PipelineModel([assembler, fitted, stretch])
 
 
-def estimator(
-    family: str, params: Mapping[str, float | int | None], *,
-    n_classes: int, total_weight: float, seed: int = SEED,
-) -> Estimator:
-    """A classifier of one family with the grid's parameter names."""
-    columns = {"featuresCol": VECTOR, "labelCol": "label"}
-
-    def depth() -> int:
-        given = params.get("max_depth")
-        return UNLIMITED_DEPTH if given is None else int(given)
-
-    if family == "logistic":
-        # 0.5 |w|^2 + C * sum(weight * loss), divided by C * sum(weight).
-        return LogisticRegression(
-            **columns, weightCol="weight", maxIter=LOGISTIC_MAX_ITER, elasticNetParam=0.0,
-            regParam=1.0 / (params["c"] * total_weight), standardization=False,
-        )
-    if family == "tree":
-        return DecisionTreeClassifier(**columns, weightCol="weight", maxDepth=depth(), seed=seed)
-    if family == "forest":
-        return RandomForestClassifier(
-            **columns, weightCol="weight", maxDepth=depth(), numTrees=int(params["trees"]),
-            minInstancesPerNode=int(params["min_leaf"]), seed=seed,
-        )
-    if family == "boosted":
-        boosted = GBTClassifier(
-            **columns, maxIter=int(params["rounds"]), maxDepth=depth(),
-            stepSize=float(params["rate"]), seed=seed,
-        )
-        if n_classes == 2:
-            return boosted
-        return OneVsRest(classifier=boosted, **columns)
-    raise ValueError(f"unknown model family {family!r}")
+def logistic(params: Mapping[str, float | int | None], total_weight: float) -> LogisticRegression:
+    """Minimises 0.5 |w|^2 + C * sum(weight * loss), divided by C * sum(weight)."""
+    return LogisticRegression(
+        featuresCol=VECTOR, labelCol="label", weightCol="weight", maxIter=LOGISTIC_MAX_ITER, elasticNetParam=0.0,
+        regParam=1.0 / (params["c"] * total_weight), standardization=False,
+    )
 
 
 @dataclass(frozen=True)
 class TrainingRows:
-    """Rows with balanced weights and standardised vectors, ready for any family."""
+    """Rows with balanced weights and standardised vectors."""
 
     rows: DataFrame
     preparation: PipelineModel
@@ -98,36 +81,67 @@ def training_rows(
     return TrainingRows(vectors, preparation, totals.largest + 1, float(totals.rows))
 
 
+def fit_trees(rows: DataFrame, family: str, params: Mapping[str, float | int | None], features: Sequence[str],
+              seed: int, bound: int) -> TreeModel:
+    """A tree, forest or boosted model of stored rows with an integer ``label``."""
+    edges = bin_edges(rows, features, [F.lit(True)])[0]
+    blocks = materialise(pack_rows(rows, features, ["label"], [edges], [(None, None)], None))
+    try:
+        counts = class_sizes(blocks).get(0, {})
+        if not counts:
+            raise ValueError("'label' has no values")
+        n_classes, sizes = max(2, max(counts) + 1), {0: sum(counts.values())}
+        weights = balanced(counts, n_classes)
+        if family == "boosted":
+            one = boosting.Booster(0, 0, n_classes, float(params["rate"]), depth_of(params["max_depth"]))
+            nodes = pa.concat_tables(boosting.boost(blocks, [one], sizes, int(params["rounds"]), bound, keep=True))
+            how = {"kind": "margins", "rate": one.rate, "penalty": one.penalty}
+        else:
+            forest = family == "forest"
+            run = Run(0, 0, weights, (int(params["trees"]) if forest else 1,), (depth_of(params["max_depth"]),),
+                      int(params["min_leaf"]) if forest else 1, sampled=forest and bool(params.get("sampled", True)))
+            nodes = grow_all(blocks, run.units(0, len(features), seed), sizes, class_stats, bound)
+            how = {"kind": "votes", "weights": weights}
+    finally:
+        blocks.unpersist()
+    feature, bin_ = nodes["feature"].to_numpy(), nodes["bin"].to_numpy()
+    threshold = np.array([edges[f][b] if f >= 0 else np.nan for f, b in zip(feature, bin_)], np.float64)
+    columns = [nodes["unit"], nodes["node"], nodes["feature"], pa.array(threshold), nodes["gain"], nodes["sums"]]
+    table = pa.table(columns, ["tree", "node", "feature", "threshold", "gain", "sums"]).combine_chunks()
+    return TreeModel(features=tuple(features), n_classes=n_classes, nodes=table, **how)
+
+
 def fit(
     train: DataFrame, family: str, params: Mapping[str, float | int | None], *,
     label: str = "label", features: Sequence[str] = FEATURES, seed: int = SEED,
-    stored: bool = False,
-) -> PipelineModel:
-    """Preparation and classifier fitted on ``train``, as one model.
+    stored: bool = False, bound: int = BOUND,
+) -> Model:
+    """A model of one family, with the grid's parameter names, fitted on ``train``.
 
     ``train`` is read several times and so materialised first, unless it is ``stored``.
+    Trees leave the features as they are; only logistic models scale them.
     """
-    ensure_checkpoint_dir(train.sparkSession)  # boosted trees cut their lineage there
     rows = train.select(F.col(label).cast("int").alias("label"), *features)
     if not stored:
         rows = materialise(rows)
-    prepared = training_rows(rows, "label", features)
-    classifier = estimator(
-        family, params, n_classes=prepared.n_classes, total_weight=prepared.total_weight,
-        seed=seed,
-    )
     try:
-        model = classifier.fit(prepared.rows)
+        if family in ("tree", "forest", "boosted"):
+            return fit_trees(rows, family, params, features, seed, bound)
+        if family != "logistic":
+            raise ValueError(f"unknown model family {family!r}")
+        prepared = training_rows(rows, "label", features)
+        model = logistic(params, prepared.total_weight).fit(prepared.rows)
+        return PipelineModel([*prepared.preparation.stages, model])
     finally:
-        rows.unpersist()
-    return PipelineModel([*prepared.preparation.stages, model])
+        if not stored:
+            rows.unpersist()
 
 
-def fit_logistic(train: DataFrame, *, c: float = 1.0, **options) -> PipelineModel:
+def fit_logistic(train: DataFrame, *, c: float = 1.0, **options) -> Model:
     return fit(train, "logistic", {"c": c}, **options)
 
 
-def fit_tree(train: DataFrame, *, max_depth: int | None = 5, **options) -> PipelineModel:
+def fit_tree(train: DataFrame, *, max_depth: int | None = 5, **options) -> Model:
     return fit(train, "tree", {"max_depth": max_depth}, **options)
 
 
@@ -144,28 +158,24 @@ def fit_boosted(
     return fit(train, "boosted", {"rounds": rounds, "max_depth": max_depth, "rate": rate}, **options)
 
 
-def features_of(model: PipelineModel) -> list[str]:
+def features_of(model: Model) -> list[str]:
     """The feature list a model was fitted on, in order."""
+    if isinstance(model, TreeModel):
+        return list(model.features)
     for stage in model.stages:
         if isinstance(stage, VectorAssembler):
             return stage.getInputCols()
     raise ValueError("the model has no assembler stage")
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
-    """Tree importances, or absolute coefficients, in ascending order.
+def feature_importance(model: Model) -> DataFrame:
+    """Importances of trees, or absolute coefficients, in ascending order.
 
-    One row per feature. With several classes the coefficients of the first are
-    taken. A one-versus-rest model has the mean importance of its parts.
+    One row per feature. With several classes the coefficients of the first are taken.
     """
-    classifier = model.stages[-1]
-    if hasattr(classifier, "featureImportances"):
-        values = classifier.featureImportances.toArray()
-    elif hasattr(classifier, "models"):
-        parts = [m.featureImportances.toArray() for m in classifier.models]
-        values = sum(parts) / len(parts)
-    else:
-        values = abs(classifier.coefficientMatrix.toArray()[0])
+    spark = SparkSession.active()
+    if isinstance(model, TreeModel):
+        return importance(model.table(spark), model.features, model.kind)
+    values = abs(model.stages[-1].coefficientMatrix.toArray()[0])
     rows = [(name, float(v)) for name, v in zip(features_of(model), values)]
-    df = SparkSession.active().createDataFrame(rows, "feature string, importance double")
-    return sorted_importance(df)
+    return sorted_importance(spark.createDataFrame(rows, "feature string, importance double"))

@@ -71,3 +71,27 @@ def materialise(df: DataFrame) -> DataFrame:
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint()
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Stored:
+    """A table that is written anew again and again; each writing cuts the lineage and drops the one before."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path = spark, name, None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        before, self.path = self.path, scratch_path(self.spark, self.name)
+        df.write.parquet(self.path)
+        if before is not None:
+            delete_path(self.spark, before)
+        return self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        if self.path is not None:
+            delete_path(self.spark, self.path)
+            self.path = None
