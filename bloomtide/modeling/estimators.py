@@ -146,9 +146,11 @@ def fit_tree(train: DataFrame, *, max_depth: int | None = 5, **options) -> Model
 
 
 def fit_forest(
-    train: DataFrame, *, trees: int = 200, max_depth: int | None = 3, min_leaf: int = 10, **options
-) -> PipelineModel:
-    params = {"trees": trees, "max_depth": max_depth, "min_leaf": min_leaf}
+    train: DataFrame, *, trees: int = 200, max_depth: int | None = 3, min_leaf: int = 10,
+    sampled: bool = True, **options
+) -> Model:
+    """``sampled``: each tree has its own rows (bootstrap) and each node its own features."""
+    params = {"trees": trees, "max_depth": max_depth, "min_leaf": min_leaf, "sampled": sampled}
     return fit(train, "forest", params, **options)
 
 

@@ -1,8 +1,7 @@
-"""Ordered source chain with a write-through Parquet cache."""
+"""Ordered source chain with a write-through Parquet cache of versions."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -10,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bloomtide.fixed_values import SOURCE_CACHE
+from bloomtide.sources.versions import Versions
 
 Reader = Callable[[SparkSession], DataFrame]
 
@@ -18,41 +18,6 @@ class NoSourceError(RuntimeError):
     """Every source of a chain failed; the message names each failure."""
 
 
-def _files(spark: SparkSession, target: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    return path, path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _replace(spark: SparkSession, staged: str, target: str) -> None:
-    """Put a completely written folder in the place of another.
-
-    The old one is moved aside first and comes back if the new one cannot be
-    put in its place; a crash in between leaves both, the old one as ``*.old``.
-    """
-    path, fs = _files(spark, target)
-    aside = f"{target.rstrip('/')}.old"
-    had = fs.exists(path(target))
-    if had:
-        fs.delete(path(aside), True)
-        fs.rename(path(target), path(aside))
-    if not fs.rename(path(staged), path(target)):
-        if had:
-            fs.rename(path(aside), path(target))
-        raise OSError(f"could not put {staged} in the place of {target}")
-    fs.delete(path(aside), True)
-
-
-def _cached(spark: SparkSession, cache_path: str) -> DataFrame | None:
-    """The cached copy; None if there is none. A copy that cannot be read is an error."""
-    path, fs = _files(spark, cache_path)
-    aside = f"{cache_path.rstrip('/')}.old"
-    if not fs.exists(path(cache_path)) and fs.exists(path(aside)):
-        fs.rename(path(aside), path(cache_path))  # a replacement was cut short
-    if not fs.exists(path(f"{cache_path}/_SUCCESS")):
-        return None  # nothing was ever written completely
-    return spark.read.parquet(cache_path)
-
-
 def read_first_available(
     spark: SparkSession,
     sources: Sequence[tuple[str, Reader]],
@@ -62,28 +27,27 @@ def read_first_available(
 ) -> DataFrame:
     """The cached copy if there is one, else the first source that can be read.
 
-    Spark reads lazily, so a source counts as readable once all its rows have
-    been written next to the cache: a file that breaks halfway makes the next
-    source take over, and an older copy stays until a new one is complete. A
-    cache folder counts once its writing was finished; one that was finished and
-    cannot be read raises, so that it is never silently overwritten. The
-    result is always read from the cache and carries its origin in ``source``:
-    ``cache`` for a copy that was already there.
+    Spark reads lazily, so a source counts as readable once all its rows have been
+    written as a new version of the cache: a file that breaks halfway makes the next
+    source take over. The version before stays until the new one is complete, and readers
+    of it can finish. One that was finished and cannot be read raises, so that it is never
+    silently replaced. The result is always read from the cache and carries its origin in
+    ``source``: ``cache`` for a copy that was already there.
     """
+    versions = Versions(spark, cache_path)
     if not force_reload:
-        cached = _cached(spark, cache_path)
-        if cached is not None:
-            return cached.withColumn("source", F.lit(SOURCE_CACHE))
+        current = versions.current()
+        if current is not None:
+            return spark.read.parquet(current).withColumn("source", F.lit(SOURCE_CACHE))
     failures = []
     for name, reader in sources:
-        staged = f"{cache_path.rstrip('/')}.{uuid.uuid4().hex}"
+        folder = versions.new()
         try:
-            reader(spark).write.parquet(staged)
+            reader(spark).write.parquet(folder)
         except (PySparkException, Py4JJavaError, OSError) as error:
             failures.append(f"{name}: {type(error).__name__}: {str(error).splitlines()[0]}")
-            path, fs = _files(spark, staged)
-            fs.delete(path(staged), True)
+            versions.drop(folder)
             continue
-        _replace(spark, staged, cache_path)
-        return spark.read.parquet(cache_path).withColumn("source", F.lit(name))
+        versions.commit(folder)
+        return spark.read.parquet(folder).withColumn("source", F.lit(name))
     raise NoSourceError("; ".join(failures) or "no sources given")

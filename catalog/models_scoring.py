@@ -1,7 +1,8 @@
 """Model preparation, evaluation, fitting, scoring and the stream.
 
-Where SQL has to recompute a result the models are fixed rules (tomorrow is like
-today); fitted models have no SQL counterpart and are checked by rows only.
+Where SQL has to recompute a score the models are fixed rules (tomorrow is like today).
+Of fitted models SQL recomputes what determines them: the gradient of a logistic fit,
+the best thresholds of trees, forests and boosting rounds, the scores of a small search.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, functions as F
 
-from bloomtide.fixed_values import FEATURES as FEATURE_LIST, POLLEN
+from bloomtide.fixed_values import FEATURES as FEATURE_LIST, GRID, POLLEN
 from bloomtide.functions import risk
-from bloomtide.modeling import estimators, metrics, prepare, selection, store
+from bloomtide.modeling import certificate, estimators, metrics, prepare, selection, splits, store
 from bloomtide.operators import features, topk
 from bloomtide.operators.daily import join_hourly
 from bloomtide.plans import scoring, training
@@ -175,7 +176,7 @@ def best_per_group(spark, sf_dir):
     return rounded(topk.best_per_group(results))
 
 
-# --- fitted models (rows only) -----------------------------------------------
+# --- fitted models -------------------------------------------------------------
 
 def _split(spark, sf_dir, taxon: str = "pollen_b", binary: bool = True):
     table = training.labelled_features(seasonal_days(spark, sf_dir))
@@ -184,71 +185,240 @@ def _split(spark, sf_dir, taxon: str = "pollen_b", binary: bool = True):
     return features.year_split(rows, LAST_TRAIN_YEAR)
 
 
-def _report(model, test):
-    return rounded(metrics.classification_report(model.transform(test)))
+def _train(spark, sf_dir, binary: bool = False):
+    """Stored training rows that SQL can compute as well, with ``label``."""
+    label = F.col("risk_pollen_b_next")
+    rows = _labelled(spark, sf_dir).withColumn("label", (label > 0).cast("int") if binary else label)
+    return stored_table(spark, rows.filter(F.col("year") <= LAST_TRAIN_YEAR), "train")
 
 
-@query()
+def _train_sql(binary: bool = False) -> str:
+    label = "CASE WHEN risk_pollen_b_next > 0 THEN 1 ELSE 0 END" if binary else "risk_pollen_b_next"
+    return f"""{TARGETS},
+t AS (SELECT *, {label} AS label FROM labelled WHERE year <= {LAST_TRAIN_YEAR}),
+w AS (SELECT label AS class, count(*) AS n,
+        (SELECT count(*) FROM t) / CAST((SELECT count(DISTINCT label) FROM t) * count(*) AS DOUBLE) AS weight FROM t GROUP BY 1)"""
+
+
+def _gradient_sql(binary: bool) -> str:
+    return f"""WITH {_train_sql(binary)}
+SELECT CAST(class AS INTEGER) AS class, feature, 0.0::DOUBLE AS gradient, n AS rows, {r('weight')}
+FROM w, (SELECT unnest({list(FEATURE_LIST)}) AS feature) f {"WHERE class = 1" if binary else ""}"""
+
+
+def _gradient(spark, sf_dir, binary: bool):
+    train = _train(spark, sf_dir, binary)
+    found = certificate.logistic_gradient(estimators.fit_logistic(train), train)
+    return rounded(found.withColumn("gradient", F.abs(F.round("gradient", 3))))
+
+
+@query(_gradient_sql(True))
 def fit_logistic(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    return _report(estimators.fit_logistic(train), test)
+    """The gradient at the fit is zero in every coefficient."""
+    return _gradient(spark, sf_dir, True)
 
 
-@query()
+@query(_gradient_sql(False))
 def fit_logistic_three_classes(spark, sf_dir):
-    train, test = _split(spark, sf_dir, binary=False)
-    return _report(estimators.fit_logistic(train), test)
+    return _gradient(spark, sf_dir, False)
 
 
-@query()
+# Features with few values have a bin for each, so SQL can try every threshold.
+FEW = ("season", "month", "year")
+
+
+def _score_sql(side: str) -> str:
+    """sum(w^2) / sum(w) of the class counts ``side``0..2 times the class weights w0..w2."""
+    parts = [f"{side}{c} * w{c}" for c in range(3)]
+    return f"CASE WHEN {side}0 + {side}1 + {side}2 > 0 THEN ({' + '.join(f'({p}) * ({p})' for p in parts)}) / ({' + '.join(parts)}) ELSE 0 END"
+
+
+def _counts_sql(names, source: str = "t", extra: str = "") -> str:
+    """Class counts left (l) and right (r) of each value, and of all rows (a)."""
+    keys = f"{extra}, " if extra else ""
+    long = " UNION ALL ".join(f"SELECT {keys}{i} AS pos, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, label FROM {source}" for i, f in enumerate(names))
+    cells = ", ".join(f"count(*) FILTER (WHERE label = {c}) AS n{c}" for c in range(3))
+    sums = ", ".join(f"CAST(sum(n{c}) OVER (PARTITION BY {keys}pos ORDER BY value) AS BIGINT) AS l{c}, "
+                     f"CAST(sum(n{c}) OVER (PARTITION BY {keys}pos) AS BIGINT) AS a{c}" for c in range(3))
+    return f"""values_ AS ({long}),
+cells AS (SELECT {keys}pos, feature, value, {cells} FROM values_ GROUP BY ALL),
+sides AS (SELECT *, a0 - l0 AS r0, a1 - l1 AS r1, a2 - l2 AS r2 FROM (SELECT *, {sums} FROM cells))"""
+
+
+_WEIGHTS = "ww AS (SELECT " + ", ".join(f"coalesce(max(weight) FILTER (WHERE class = {c}), 0) AS w{c}" for c in range(3)) + " FROM w)"
+_GINI = f"round({_score_sql('l')} + {_score_sql('r')} - {_score_sql('a')}, 9)"
+
+
+def _stump_sql(least: int) -> str:
+    return f"""WITH {_train_sql()}, {_WEIGHTS}, {_counts_sql(FEW)},
+best AS (SELECT *, {_GINI} AS gain FROM sides, ww WHERE l0 + l1 + l2 >= {least} AND r0 + r1 + r2 >= {least}
+  ORDER BY gain DESC, pos, value LIMIT 1),
+nodes AS (
+  SELECT CAST(1 AS BIGINT) AS node, feature, value AS threshold, gain, a0 AS n0, a1 AS n1, a2 AS n2 FROM best
+  UNION ALL SELECT 2, NULL, NULL, 0, l0, l1, l2 FROM best UNION ALL SELECT 3, NULL, NULL, 0, r0, r1, r2 FROM best)"""
+
+
+def _nodes(spark, model, names):
+    """The node table with a column for each sum."""
+    sums = [F.col("sums")[i].alias(n) for i, n in enumerate(names)]
+    return rounded(model.table(spark).select("tree", "node", "feature", "threshold", "gain", *sums))
+
+
+@query(_stump_sql(1) + f" SELECT CAST(0 AS INTEGER) AS tree, node, feature, threshold, {r('gain')}, n0, n1, n2 FROM nodes")
 def fit_tree(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    return _report(estimators.fit_tree(train), test)
+    model = estimators.fit_tree(_train(spark, sf_dir), max_depth=1, features=FEW)
+    return _nodes(spark, model, ("n0", "n1", "n2"))
 
 
-@query()
+@query(_stump_sql(10) + f" SELECT CAST(tree AS INTEGER) AS tree, node, feature, threshold, {r('gain')}, n0, n1, n2 "
+       "FROM nodes, (SELECT unnest(range(3)) AS tree) x")
 def fit_forest(spark, sf_dir):
-    train, test = _split(spark, sf_dir, binary=False)
-    return _report(estimators.fit_forest(train, trees=100, max_depth=5), test)
+    """Without sampling all trees of a forest are the same."""
+    model = estimators.fit_forest(_train(spark, sf_dir), trees=3, max_depth=1, min_leaf=10, sampled=False, features=FEW)
+    return _nodes(spark, model, ("n0", "n1", "n2"))
 
 
-@query()
+# First round of three classes: margins 0, hence probabilities 1/3; sums in units of 2**-20.
+def _gain_sql(side: str) -> str:
+    return f"(g{side} / 1048576.0) * (g{side} / 1048576.0) / (h{side} / 1048576.0 + 1)"
+
+
+_ROUND = f"""WITH {_train_sql()}, {_counts_sql(FEW)},
+k AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS tree),
+g AS (SELECT tree, pos, feature, value, l0 + l1 + l2 AS nl, r0 + r1 + r2 AS nr,
+    CASE tree WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END AS yl, CASE tree WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END AS yr
+  FROM sides, k),
+gh AS (SELECT *, CAST(round(1048576.0 / 3) * (nl - yl) + round(-2 * 1048576.0 / 3) * yl AS BIGINT) AS gl,
+    CAST(round(1048576.0 / 3) * (nr - yr) + round(-2 * 1048576.0 / 3) * yr AS BIGINT) AS gr,
+    CAST(round(4 * 1048576.0 / 9) * nl AS BIGINT) AS hl, CAST(round(4 * 1048576.0 / 9) * nr AS BIGINT) AS hr FROM g WHERE nr > 0),
+ga AS (SELECT *, gl + gr AS ga, hl + hr AS ha FROM gh),
+best AS (SELECT *, round({_gain_sql('l')} + {_gain_sql('r')} - {_gain_sql('a')}, 9) AS gain FROM ga
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY gain DESC, pos, value) = 1)"""
+
+
+@query(_ROUND + f""" SELECT tree, CAST(1 AS BIGINT) AS node, feature, value AS threshold, {r('gain')}, nl + nr AS n, ga AS g, ha AS h FROM best
+UNION ALL SELECT tree, 2, NULL, NULL, {r('0', 'gain')}, nl, gl, hl FROM best
+UNION ALL SELECT tree, 3, NULL, NULL, {r('0', 'gain')}, nr, gr, hr FROM best""")
 def fit_boosted(spark, sf_dir):
-    """Reports of both targets: two classes, and three one against the rest."""
-    reports = []
-    for classes in (2, 3):
-        train, test = _split(spark, sf_dir, binary=classes == 2)
-        report = _report(estimators.fit_boosted(train, rounds=100), test)
-        reports.append(report.withColumn("classes", F.lit(classes)))
-    return reduce(DataFrame.unionByName, reports)
+    """One softmax round of three classes: a tree for each."""
+    model = estimators.fit_boosted(_train(spark, sf_dir), rounds=1, max_depth=1, features=FEW)
+    return _nodes(spark, model, ("n", "g", "h"))
 
 
-@query()
+@query(_ROUND + f""", m AS (SELECT feature, avg(gain) AS v FROM best GROUP BY 1)
+SELECT f.feature, {r('coalesce(v, 0) / (SELECT sum(v) FROM m)', 'importance')}
+FROM (SELECT unnest({list(FEW)}) AS feature) f LEFT JOIN m ON m.feature = f.feature""")
 def feature_importance(spark, sf_dir):
-    """Importances of a tree, a forest and boosted trees, and coefficients."""
-    train, _ = _split(spark, sf_dir)
-    models = {
-        "tree": estimators.fit_tree(train), "forest": estimators.fit_forest(train, trees=100, max_depth=5),
-        "boosted": estimators.fit_boosted(train, rounds=100), "logistic": estimators.fit_logistic(train),
-    }
-    return reduce(DataFrame.unionByName, [
-        estimators.feature_importance(model).withColumn("model", F.lit(name)) for name, model in models.items()
-    ])
+    """Mean gain of a feature's splits in that round, summed over the node table."""
+    model = estimators.fit_boosted(_train(spark, sf_dir), rounds=1, max_depth=1, features=FEW)
+    return rounded(estimators.feature_importance(model))
+
+
+# Whole numbers and single readings: the same in SQL to the last bit.
+EXACT = ("season", "month", "year", "doy", *[f"{p}_lag{k}" for p in POLLEN for k in (1, 2, 3)])
+
+
+@query(f"""WITH {_train_sql()}, {_WEIGHTS}, {_counts_sql(EXACT)},
+gains AS (SELECT feature, value, {_GINI} AS gain, l0, l1, l2, a0, a1, a2 FROM sides, ww WHERE r0 + r1 + r2 > 0),
+best AS (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, value) = 1)
+SELECT feature, {r('value', 'threshold')}, {r('gain / sum(gain) OVER ()', 'importance')}, l0, l1, l2 FROM best""")
+def sorted_importance(spark, sf_dir):
+    """Gain of the best threshold of each feature, from the exact split search."""
+    train = _train(spark, sf_dir)
+    weights = {r["class"]: r["weight"] for r in prepare.class_weights(train, "label").collect()}
+    found = splits.best_thresholds(splits.split_gains(train, EXACT, "label", {c: weights.get(c, 0.0) for c in range(3)}))
+    whole = found.agg(F.sum("gain")).first()[0]
+    shares = found.withColumn("importance", F.col("gain") / F.lit(whole))
+    return rounded(topk.sorted_importance(shares.select(
+        "feature", F.col("value").alias("threshold"), "importance", "l0", "l1", "l2")))
+
+
+_BOUNDS = "test_start AS (SELECT fold, n - (6 - fold) * (n // 6) AS a, n - (5 - fold) * (n // 6) AS b FROM f, (SELECT DISTINCT n FROM d) x)"
+
+
+def _search_sql() -> str:
+    """Stumps of each fold on its training dates, and their macro F1 on its test dates."""
+    share = lambda side, c: f"round({side}{c} * w{c} / ({' + '.join(f'{side}{k} * w{k}' for k in range(3))}), 12)"
+    first = lambda side: (f"CASE WHEN {share(side, 0)} >= {share(side, 1)} AND {share(side, 0)} >= {share(side, 2)} THEN 0 "
+                          f"WHEN {share(side, 1)} >= {share(side, 2)} THEN 1 ELSE 2 END")
+    pick = "CASE feature " + " ".join(f"WHEN '{c}' THEN CAST({c} AS DOUBLE)" for c in FEW) + " END"
+    return _FOLDS + f""", {_BOUNDS},
+m AS (SELECT l.*, l.risk_pollen_b_next AS label, fold, i < a AS train
+  FROM labelled l JOIN d ON l.date = d.date, test_start s WHERE i < b),
+t AS (SELECT * FROM m WHERE train),
+cw AS (SELECT fold, label AS class, sum(count(*)) OVER (PARTITION BY fold) / CAST(count(*) OVER (PARTITION BY fold) * count(*) AS DOUBLE) AS weight
+  FROM t GROUP BY fold, label),
+ww AS (SELECT fold AS wf, {", ".join(f"coalesce(max(weight) FILTER (WHERE class = {c}), 0) AS w{c}" for c in range(3))} FROM cw GROUP BY 1),
+{_counts_sql(FEW, "t", "fold")},
+best AS (SELECT *, {_GINI} AS gain FROM sides JOIN ww ON wf = fold WHERE r0 + r1 + r2 > 0
+  QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gain DESC, pos, value) = 1),
+chosen AS (SELECT fold, feature, value, {first('l')} AS pl, {first('r')} AS pr FROM best),
+p AS (SELECT m.fold, label, CASE WHEN {pick} <= value THEN pl ELSE pr END AS predicted FROM m JOIN chosen c ON c.fold = m.fold WHERE NOT train),
+classes AS (SELECT fold, label AS class FROM p UNION SELECT fold, predicted FROM p),
+f1 AS (SELECT c.fold, class, 2 * count(*) FILTER (WHERE label = class AND predicted = class)
+    / CAST(count(*) FILTER (WHERE label = class) + count(*) FILTER (WHERE predicted = class) AS DOUBLE) AS v
+  FROM classes c JOIN p ON p.fold = c.fold GROUP BY 1, 2)
+SELECT 'risk_pollen_b_next' AS target, CAST(0 AS INTEGER) AS position, 'tree' AS model, fold, {r('avg(v)', 'score')} FROM f1 GROUP BY fold"""
+
+
+@query(_search_sql())
+def grid_search_stumps(spark, sf_dir):
+    """The search over folds with the smallest grid, which SQL can repeat."""
+    rows = _labelled(spark, sf_dir)
+    found = selection.search_scores(rows, ["risk_pollen_b_next"], features=FEW, grid={"tree": {"max_depth": (1,)}})
+    return rounded(found.drop("params"))
+
+
+SEARCHED = tuple(f"risk_{kind}{p}_next" for kind in ("", "bin_") for p in POLLEN)
+
+
+def _search(family: str):
+    def run(spark, sf_dir):
+        """Both taxa, three and two classes, the whole grid of the family on five folds."""
+        train, _ = features.year_split(training.labelled_features(seasonal_days(spark, sf_dir)), LAST_TRAIN_YEAR)
+        results = selection.search_scores(train, SEARCHED, grid={family: GRID[family]})
+        return selection.mean_scores(results).orderBy("target", "position")
+
+    run.__name__ = f"grid_search_{family}"
+    return query()(run)
+
+
+for _family in GRID:
+    _search(_family)
 
 
 @query()
 def grid_search(spark, sf_dir):
+    """The best combination of each family for one target, over the whole grid."""
     train, _ = _split(spark, sf_dir)
-    found = selection.grid_search(train)
-    return topk.best_per_group(selection.mean_scores(found.results))
+    return topk.best_per_group(selection.mean_scores(selection.grid_search(train).results))
 
 
-@query()
+@query(f"""WITH {_train_sql()},
+m AS (SELECT unnest(['logistic', 'forest', 'boosted']) AS name)
+SELECT name, '{",".join(FEW)}' AS features, CAST(3 AS INTEGER) AS classes, CAST(min(date) AS VARCHAR) AS first_date,
+  CAST(max(date) AS VARCHAR) AS last_date, count(*) AS rows, CAST(0 AS BIGINT) AS differing
+FROM m, t GROUP BY name""")
 def save_load_model(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    path = scratch_path(spark, "models")
-    store.save_models({"pollen_b": estimators.fit_logistic(train)}, path)
-    return _report(store.load_models(["pollen_b"], path)["pollen_b"], test)
+    """What the manifest says of three models, and how many predictions differ after loading."""
+    train, path = _train(spark, sf_dir), scratch_path(spark, "models")
+    models = {
+        "logistic": estimators.fit_logistic(train, features=FEW),
+        "forest": estimators.fit_forest(train, trees=5, max_depth=3, features=FEW),
+        "boosted": estimators.fit_boosted(train, rounds=3, max_depth=2, features=FEW),
+    }
+    store.save_models(models, path, dict.fromkeys(models, store.training_range(train)))
+    _, manifest = store.read_manifest(path)
+    loaded = store.load_models(list(models), path, features=FEW)
+    rows = []
+    for name, model in models.items():
+        before = model.transform(train).select("station", "date", F.col("prediction").alias("a"))
+        after = loaded[name].transform(train).select("station", "date", F.col("prediction").alias("b"))
+        differing = before.join(after, ["station", "date"]).filter("a <> b").count()
+        entry, on = manifest[name], manifest[name]["trained_on"]
+        rows.append((name, ",".join(entry["features"]), entry["classes"], on["first_date"], on["last_date"], on["rows"], differing))
+    return spark.createDataFrame(
+        rows, "name string, features string, classes int, first_date string, last_date string, rows long, differing long")
 
 
 # --- scoring -----------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from bloomtide.plans.bulletin import bulletin, bulletin_at
 from bloomtide.schemas import DAILY, POLLEN_PAYLOAD
 from bloomtide.session import scratch_path
 from bloomtide.sources import chain, files, payload
+from bloomtide.sources.versions import Versions
 from tests.frames import D, series
 
 TARGET = D(2001, 1, 15)
@@ -139,12 +141,42 @@ def test_chain_keeps_a_finished_copy_and_drops_failed_ones(spark):
     bad = lambda s: s.range(3).select(F.raise_error(F.lit("broken")).cast("int").alias("x"))
     with pytest.raises(chain.NoSourceError):
         chain.read_first_available(spark, [("bad", bad)], cache_path=f"{base}/cache")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    assert not fs.exists(path(base)) or len(fs.listStatus(path(base))) == 0
+    assert Versions(spark, f"{base}/cache").current() is None
     assert chain.read_first_available(spark, [("good", good)], cache_path=f"{base}/cache").first()["source"] == "good"
     with pytest.raises(chain.NoSourceError):
         chain.read_first_available(spark, [("bad", bad)], cache_path=f"{base}/cache", force_reload=True)
     assert chain.read_first_available(spark, [("bad", bad)], cache_path=f"{base}/cache").count() == 3
-    fs.rename(path(f"{base}/cache"), path(f"{base}/cache.old"))  # as a crash between the two moves leaves it
-    assert chain.read_first_available(spark, [("bad", bad)], cache_path=f"{base}/cache").count() == 3
+    before = Versions(spark, f"{base}/cache").current()
+    bad(spark).limit(0).write.parquet(Versions(spark, f"{base}/cache").new())  # a crash before the commit leaves this
+    assert Versions(spark, f"{base}/cache").current() == before
+
+
+def test_a_reader_always_finds_a_version_while_two_writers_replace_it(spark):
+    path = scratch_path(spark, "cache")
+    stop, seen, errors = threading.Event(), [], []
+
+    def write(first):
+        for k in range(4):
+            chain.read_first_available(spark, [("x", lambda s: s.range(first + k, first + k + 3))], cache_path=path, force_reload=True)
+
+    def read():
+        while not stop.is_set():
+            try:
+                rows = [r["id"] for r in chain.read_first_available(spark, [], cache_path=path).collect()]
+                seen.append(rows == list(range(rows[0], rows[0] + 3)))
+            except Exception as error:
+                errors.append(error)
+
+    write(0)
+    reader = threading.Thread(target=read)
+    writers = [threading.Thread(target=write, args=(100 * i,)) for i in (1, 2)]
+    reader.start(), [w.start() for w in writers], [w.join() for w in writers]
+    stop.set(), reader.join()
+    assert not errors and seen and all(seen)
+    folders = Versions(spark, path)
+    assert len(folders._commits()) == 9
+    last = folders.current()
+    folder = folders.new()
+    spark.range(1).write.parquet(folder)
+    folders.commit(folder, grace=0)
+    assert len(folders._commits()) == 2 and folders.current() == folder and spark.read.parquet(last).count() == 3

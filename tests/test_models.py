@@ -10,10 +10,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from bloomtide.fixed_values import GRID
-from bloomtide.modeling import estimators, metrics, prepare, selection, store
+from bloomtide.modeling import certificate, estimators, metrics, prepare, selection, store
+from bloomtide.modeling.tree_model import permutation_importance
 from bloomtide.session import scratch_path
+from bloomtide.sources.versions import Versions
 from catalog import models_scoring
-from tests.compare import DATA
 from tests.frames import D
 
 FEATURES = ["x", "y"]
@@ -195,29 +196,55 @@ def test_grid_search_and_saved_model(spark, table):
     )
 
 
-@pytest.mark.parametrize("name", ["grid_search", "training_run"])
-def test_queries_search_the_whole_grid(spark, monkeypatch, name):
-    seen = []
+def test_the_gradient_of_a_fit_is_zero_and_of_another_point_is_not(spark, table):
+    for label in (F.col("label"), (F.col("label") > 0).cast("int")):
+        rows = table.withColumn("label", label)
+        model = estimators.fit_logistic(rows, c=0.5, features=FEATURES)
+        found = certificate.logistic_gradient(model, rows, c=0.5).collect()
+        assert max(abs(r["gradient"]) for r in found) < 1e-4
+        other = estimators.fit_logistic(rows, c=0.01, features=FEATURES)
+        assert max(abs(r["gradient"]) for r in certificate.logistic_gradient(other, rows, c=0.5).collect()) > 1e-3
 
-    def searched(grid):
-        seen.append(grid)
-        raise InterruptedError
 
-    monkeypatch.setattr(selection, "candidates", searched)
-    with pytest.raises(InterruptedError):
-        models_scoring.__dict__[name](spark, f"{DATA}/sf0.01")
-    assert seen == [GRID]
+def test_permutation_importance(spark, table):
+    model = estimators.fit_forest(table, trees=20, max_depth=4, min_leaf=2, features=FEATURES)
+    got = {r["feature"]: r["importance"] for r in permutation_importance(model, table).collect()}
+    assert got["x"] > 0.3 and abs(got["y"]) < 0.1
+    stump = estimators.fit_tree(table, max_depth=1, features=FEATURES)
+    assert {r["feature"]: r["importance"] for r in permutation_importance(stump, table).collect()}["y"] == 0.0
 
 
-def test_boosted_query_has_both_targets_and_100_rounds(spark, monkeypatch):
-    real, seen = estimators.fit_boosted, []
-
-    def fitted(train, rounds, **options):
-        seen.append(rounds)
-        return real(train, rounds=1, max_depth=1)
-
-    monkeypatch.setattr(estimators, "fit_boosted", fitted)
-    report = models_scoring.fit_boosted(spark, f"{DATA}/sf0.01")
-    assert {r["classes"] for r in report.collect()} == {2, 3} and min(seen) >= 100
-    importance = models_scoring.feature_importance(spark, f"{DATA}/sf0.01")
-    assert {r["model"] for r in importance.collect()} == {"tree", "forest", "boosted", "logistic"}
+def test_model_folder(spark, table, monkeypatch):
+    path = scratch_path(spark, "models")
+    with pytest.raises(store.ManifestError, match="no models"):
+        store.load_models(["a"], path)
+    first = estimators.fit_tree(table, max_depth=2, features=FEATURES)
+    store.save_models({"a": first}, path, {"a": store.training_range(table)})
+    folder, manifest = store.read_manifest(path)
+    assert manifest["a"]["features"] == FEATURES and manifest["a"]["classes"] == 3
+    assert manifest["a"]["trained_on"] == {"first_date": "2024-01-01", "last_date": "2024-02-29", "rows": 300}
+    second = estimators.fit_logistic(table, features=FEATURES)
+    with monkeypatch.context() as crash:  # the models are written, the commit is not
+        def stopped(*args):
+            raise InterruptedError
+        crash.setattr(Versions, "commit", stopped)
+        with pytest.raises(InterruptedError):
+            store.save_models({"a": second}, path)
+    assert store.checksum(store.load_models(["a"], path)["a"]) == store.checksum(first)
+    store.save_models({"a": second}, path)
+    assert isinstance(store.load_models(["a"], path, features=FEATURES)["a"], PipelineModel)
+    for names, features, text in ((["b"], None, "no model"), (["a"], FEATURES[::-1], "other features")):
+        with pytest.raises(store.ManifestError, match=text):
+            store.load_models(names, path, features=features)
+    store.save_models({"a": first}, path)
+    folder, _ = store.read_manifest(path)
+    estimators.fit_tree(table, max_depth=1, features=FEATURES).table(spark).write.mode("overwrite").parquet(f"{folder}/a")
+    with pytest.raises(store.ManifestError, match="not the model"):
+        store.load_models(["a"], path)
+
+
+def test_queries_search_the_whole_grid():
+    """Each family query asks for all its combinations, both taxa and both kinds of target."""
+    names = {f"grid_search_{f}" for f in GRID}
+    assert names <= set(models_scoring.query.__globals__["QUERIES"])
+    assert len(models_scoring.SEARCHED) == 4 and sum(len(selection.candidates({f: GRID[f]})) for f in GRID) == 38
