@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bloomtide.fixed_values import SOURCE_NAMES, TS
+from bloomtide.sources.feed import DAY
 
 
 def canonicalize(df: DataFrame, names: dict[str, str] = SOURCE_NAMES) -> DataFrame:
@@ -22,7 +23,10 @@ def _between(df: DataFrame, column: str, first: dt.date, last: dt.date) -> DataF
         low, high = F.lit(first), F.lit(end)
     else:
         low, high = _midnight(first), _midnight(end)
-    return df.filter((F.col(column) >= low) & (F.col(column) < high))
+    rows = df.filter((F.col(column) >= low) & (F.col(column) < high))
+    if column != DAY and DAY in df.columns:  # a feed stored by day: only the folders of these days are listed
+        rows = rows.filter((F.col(DAY) >= F.lit(first)) & (F.col(DAY) <= F.lit(last)))
+    return rows
 
 
 def _midnight(day: dt.date) -> Column:

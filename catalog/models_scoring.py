@@ -572,3 +572,28 @@ def daily_aggregate_stream(spark, sf_dir):
     )
     daily_stream.run_available(stream, out, scratch_path(spark, "stream-state"))
     return rounded(spark.read.parquet(out))
+
+
+_LATE = f"""WITH {FEEDS},
+arrived AS (SELECT *, (station + hour(ts)) % 7 = 0 AS second FROM joined),
+last AS (SELECT max(ts) AS m FROM arrived WHERE NOT second),
+taken AS (SELECT * FROM arrived, last WHERE NOT second OR ts >= m - INTERVAL 2 DAY),
+missed AS (SELECT station, CAST(ts AS DATE) AS date, count(*) AS n FROM arrived, last WHERE second AND ts < m - INTERVAL 2 DAY GROUP BY 1, 2)"""
+
+
+@query(_LATE + f"""
+SELECT t.station, CAST(t.ts AS DATE) AS date, {r('max(pollen_a)', 'pollen_a')},
+{r('max(pollen_b)', 'pollen_b')}, {r('avg(temperature)', 'temperature')},
+{r('coalesce(sum(precipitation), 0)', 'precipitation')}, {r('avg(wind)', 'wind')}, coalesce(max(n), 0) AS late_rows
+FROM taken t LEFT JOIN missed x ON x.station = t.station AND x.date = CAST(t.ts AS DATE) GROUP BY 1, 2""")
+def daily_revisions_stream(spark, sf_dir):
+    """A seventh of the hours lands a batch later; those within two days revise their day."""
+    landed, days = scratch_path(spark, "landed"), daily_stream.RevisedDays(spark, scratch_path(spark, "revised"))
+    rows = join_hourly(pollen(spark, sf_dir), weather(spark, sf_dir))
+    second = (F.col("station") + F.hour("ts")) % 7 == 0
+    state = scratch_path(spark, "stream-state")
+    for late in (False, True):
+        rows.filter(second == late).write.mode("append").parquet(landed)
+        daily_stream.run_revisions(daily_stream.read_hourly_stream(spark, landed, JOINED_HOURLY), days, state)
+    late = days.late_rows().select("station", "date", F.col("rows").alias("late_rows"))
+    return rounded(days.days().join(late, ["station", "date"], "left").withColumn("late_rows", F.coalesce("late_rows", F.lit(0))))

@@ -10,9 +10,9 @@ from bloomtide.fixed_values import POLLEN
 from bloomtide.functions.risk import risk_class3
 from bloomtide.operators import filters, gaps, profiling
 from bloomtide.operators.daily import join_hourly
-from bloomtide.schemas import DAILY, POLLEN_PAYLOAD, WEATHER_PAYLOAD
+from bloomtide.schemas import DAILY, POLLEN_HOURLY, POLLEN_PAYLOAD, WEATHER_PAYLOAD
 from bloomtide.session import scratch_path
-from bloomtide.sources import chain, files, fixtures, payload, scans
+from bloomtide.sources import chain, feed, files, fixtures, payload, scans
 from catalog.registry import query, r, rounded, rs
 from catalog.views import (
     FEEDS, HOURLY_DAYS, HOURLY_TARGET, LONG_DAILY, LONG_DAYS, days, hourly_days, pollen, weather,
@@ -85,16 +85,25 @@ def canonicalize(spark, sf_dir):
     return scans.canonicalize(pollen(spark, sf_dir).withColumnsRenamed(SOURCE_POLLEN))
 
 
+def _stored_feed(spark, sf_dir):
+    """The pollen feed as landed in two deliveries, stored by day and compacted."""
+    path, rows = scratch_path(spark, "feed"), pollen(spark, sf_dir)
+    for half in (0, 1):
+        feed.append_feed(rows.filter(F.hour("ts") % 2 == half), path)
+    feed.compact(spark, path, POLLEN_HOURLY, dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+    return feed.read_feed(spark, path, POLLEN_HOURLY)
+
+
 @query(f"""WITH {FEEDS} SELECT station, ts, pollen_a, pollen_b FROM pollen_hourly
 WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-28'""")
 def trailing_window_scan(spark, sf_dir):
-    return scans.trailing_window_scan(pollen(spark, sf_dir), HOURLY_TARGET, 20)
+    return scans.trailing_window_scan(_stored_feed(spark, sf_dir), HOURLY_TARGET, 20).drop("day")
 
 
 @query(f"""WITH {FEEDS} SELECT station, ts, pollen_a, pollen_b FROM pollen_hourly
 WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-28' AND DATE '2024-01-30'""")
 def horizon_scan(spark, sf_dir):
-    return scans.horizon_scan(pollen(spark, sf_dir), dt.date(2024, 1, 27), 3)
+    return scans.horizon_scan(_stored_feed(spark, sf_dir), dt.date(2024, 1, 27), 3).drop("day")
 
 
 @query(f"""WITH {FEEDS},

@@ -174,7 +174,7 @@ def test_a_reader_always_finds_a_version_while_two_writers_replace_it(spark):
     stop.set(), reader.join()
     assert not errors and seen and all(seen)
     folders = Versions(spark, path)
-    assert len(folders._commits()) == 9
+    assert len(folders._commits()) == 12
     last = folders.current()
     folder = folders.new()
     spark.range(1).write.parquet(folder)

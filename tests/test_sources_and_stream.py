@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bloomtide.operators.daily import daily_aggregate
 from bloomtide.schemas import DAILY, JOINED_HOURLY, POLLEN_PAYLOAD
 from bloomtide.session import scratch_path
-from bloomtide.sources import chain, files, payload, scans
+from bloomtide.sources import chain, feed, files, payload, scans
 from bloomtide.streaming import daily_stream
 from tests.frames import D, T, joined, series
 
@@ -139,3 +139,42 @@ def test_stream_days_do_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     got = spark.read.schema(DAILY).parquet(out).collect()
     assert [(r["date"], r["pollen_a"]) for r in got] == [(D(2024, 1, 1), 23.0)]
+
+
+def test_feed_by_day_is_pruned_and_compacted(spark):
+    path = scratch_path(spark, "feed")
+    rows = [(1, T(2024, 1, 1) + dt.timedelta(hours=6 * i), float(i), 1.0, 1.0, 1.0, 1.0) for i in range(40)]
+    df = joined(spark, rows)
+    for part in range(3):
+        feed.append_feed(df.filter(F.col("pollen_a") % 3 == part), path)
+    stored = feed.read_feed(spark, path, JOINED_HOURLY)
+    assert feed.files_per_day(stored).agg(F.max("files")).first()[0] > 1
+    feed.compact(spark, path, JOINED_HOURLY, D(2024, 1, 2), D(2024, 1, 20))
+    files_now = {r["day"]: r["files"] for r in feed.files_per_day(feed.read_feed(spark, path, JOINED_HOURLY)).collect()}
+    assert files_now[D(2024, 1, 1)] > 1 and {n for d, n in files_now.items() if d > D(2024, 1, 1)} == {1}
+    stored = feed.read_feed(spark, path, JOINED_HOURLY)
+    assert sorted(stored.drop("day").collect()) == sorted(df.collect())
+    scan = scans.trailing_window_scan(stored, D(2024, 1, 5), 2)
+    text = scan._jdf.queryExecution().executedPlan().toString()
+    assert "day" in text.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(ts" in text
+    assert {r["ts"].date() for r in scan.collect()} == {D(2024, 1, 3), D(2024, 1, 4), D(2024, 1, 5)}
+
+
+def test_revised_days_count_a_batch_once_and_drop_what_is_too_late(spark):
+    days = daily_stream.RevisedDays(spark, scratch_path(spark, "revised"))
+    row = lambda day, hour, value: (1, T(2024, 1, day, hour), value, 1.0, value, 1.0, 2.0)
+    first = joined(spark, [row(1, 5, 1.0), row(5, 5, 2.0)])
+    second = joined(spark, [row(1, 6, 9.0), row(4, 6, 3.0), row(5, 6, 4.0), row(6, 1, 1.0)])
+    with pytest.raises(FileNotFoundError):
+        days.days()
+    days.add(first, 0)
+    for _ in range(2):  # a batch that is run again
+        days.add(second, 1)
+    want = {D(2024, 1, 1): (1.0, 1.0, 1.0), D(2024, 1, 4): (3.0, 3.0, 1.0), D(2024, 1, 5): (4.0, 3.0, 2.0), D(2024, 1, 6): (1.0, 1.0, 1.0)}
+    read = lambda: {r["date"]: (r["pollen_a"], r["temperature"], r["precipitation"]) for r in days.days().collect()}
+    assert read() == want
+    assert [tuple(r) for r in days.late_rows().collect()] == [(1, D(2024, 1, 1), 1)]
+    days.compact(1)
+    assert read() == want
+    days.add(joined(spark, [row(6, 2, 5.0), row(2, 2, 5.0)]), 2)
+    assert read() == want | {D(2024, 1, 6): (5.0, 3.0, 2.0)} and days.late_rows().agg(F.sum("rows")).first()[0] == 2
