@@ -43,23 +43,16 @@ def distinct_lines(documents: DataFrame, text: str, host: str) -> DataFrame:
     )
 
 
-def frequent_lines(lines: DataFrame, min_documents: int, max_share: float) -> DataFrame:
-    """(host_key, line): lines in more than ``min_documents`` texts and ``max_share`` of the host's texts."""
-    sizes = lines.groupBy("host_key", "text_hash").agg(F.lit(1).alias("one")).groupBy("host_key").agg(
-        F.count("*").alias("n_texts"))
+def frequent_lines(lines: DataFrame, min_documents: int) -> DataFrame:
+    """(host_key, line): lines in more than ``min_documents`` distinct texts of the host, however many it has."""
     counts = lines.groupBy("host_key", "line").agg(F.count("*").alias("n_with"))
-    return (
-        counts.filter(F.col("n_with") > min_documents).join(sizes, "host_key")
-        .filter(F.col("n_with") > max_share * F.col("n_texts"))
-        .select("host_key", "line")
-    )
+    return counts.filter(F.col("n_with") > min_documents).select("host_key", "line")
 
 
-def removals(documents: DataFrame, text: str = "text", host: str = "source", min_documents: int = 10,
-             max_share: float = 0.1) -> DataFrame:
+def removals(documents: DataFrame, text: str = "text", host: str = "source", min_documents: int = 10) -> DataFrame:
     """(host_key, text_hash, removed_lines, n_removed_words) of the texts that lose lines."""
     lines = distinct_lines(documents, text, host)
-    return lines.join(frequent_lines(lines, min_documents, max_share), ["host_key", "line"]).groupBy(
+    return lines.join(frequent_lines(lines, min_documents), ["host_key", "line"]).groupBy(
         "host_key", "text_hash").agg(
         F.collect_set("line").alias("removed_lines"), F.sum("words").alias("n_removed_words"))
 
@@ -131,16 +124,16 @@ def with_base_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality_rules(documents: DataFrame, text: str = "text", host: str = "source", min_documents: int = 10,
-                  max_share: float = 0.1, min_left: float = 0.5) -> DataFrame:
+                  min_left: float = 0.5) -> DataFrame:
     """Each row with its counts, ``removed_lines`` (hashes) and the verdict ``kept``.
 
     A document is rejected when its base rules fail or when the lines above the
-    limits hold more than ``1 - min_left`` of the words of its distinct lines.
+    limit hold more than ``1 - min_left`` of the words of its distinct lines.
     Added columns replace columns of the same name, and columns named as in
     ``INTERNAL`` are left out.
     """
     rows = documents.select(*[c for c in documents.columns if c not in ADDED])
-    gone = removals(documents, text, host, min_documents, max_share)
+    gone = removals(documents, text, host, min_documents)
     counted = with_base_counts(
         rows.withColumns({"host_key": host_key(host), "text_hash": F.xxhash64(text_of(text))}), text)
     left = F.col("n_line_words") - F.coalesce("n_removed_words", F.lit(0))

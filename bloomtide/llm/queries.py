@@ -61,13 +61,9 @@ w AS (
 ),
 texts AS (SELECT DISTINCT host, text, plain FROM w),
 lines AS (SELECT host, text, unnest(plain) AS line FROM texts),
-sizes AS (SELECT host, count(DISTINCT text) AS n FROM lines GROUP BY host),
-often AS (
-    SELECT l.host, line FROM lines l JOIN sizes s ON s.host = l.host
-    GROUP BY l.host, line, n HAVING count(*) > 10 AND count(*) > 0.1 * n
-),
+often AS (SELECT host, line FROM lines GROUP BY host, line HAVING count(*) > 10),
 gone AS (
-    SELECT l.host, l.text, sum(len(string_split(l.line, ' '))) AS n_gone
+    SELECT l.host, l.text, count(*) AS n_lines, sum(len(string_split(l.line, ' '))) AS n_gone
     FROM lines l JOIN often o ON o.host = l.host AND o.line = l.line GROUP BY l.host, l.text
 ),
 rows_ AS (SELECT row_number() OVER () AS rid, * FROM w),
@@ -90,7 +86,8 @@ counted AS (
 SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-        AND n_line_words - coalesce(n_gone, 0) >= 0.5 * n_line_words AS kept
+        AND n_line_words - coalesce(n_gone, 0) >= 0.5 * n_line_words AS kept,
+    coalesce(n_lines, 0) AS n_removed_lines, CAST(coalesce(n_gone, 0) AS BIGINT) AS n_removed_words
 FROM counted c LEFT JOIN gone g ON g.host = c.host AND g.text = c.text
 """
 
@@ -98,7 +95,9 @@ FROM counted c LEFT JOIN gone g ON g.host = c.host AND g.text = c.text
 @query(LINE_FREQUENCY_SQL)
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.quality_rules(read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed_lines"),
+        F.coalesce("n_removed_words", F.lit(0)).cast("long").alias("n_removed_words"))
 
 
 #: The vocabulary of the token query and of the pipeline; a parameter of the operator.
@@ -127,7 +126,8 @@ def span_list(spans: Column, kinds: tuple[str, ...]) -> Column:
 @query()
 def op7_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets_scan.with_secrets(documents).select("doc_id", "secrets")
+    ranks = secrets_scan.corpus_ranks(documents)
+    found = secrets_scan.with_secrets(documents, ranks=ranks).select("doc_id", "secrets")
     kinds = F.transform("secrets", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in secrets_scan.KINDS]
     base = secrets_scan.KINDS[:3]

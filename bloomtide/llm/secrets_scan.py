@@ -7,6 +7,10 @@ dates, repeats, keyboard walks and brute-force spans, by dynamic programming ove
 its positions. Values whose cost reaches the threshold are spans of kind
 ``guess``; ``password=changeme2024`` is not, ``password=x9$Kq!72`` is.
 
+The span of an ``assign`` is that of the value (group 2 of its pattern), which is the
+secret; the name before it stays. Words are ranked by a fixed list and, with
+``corpus_ranks``, by their frequency in the documents.
+
 Defined results: a null or empty text has no spans; positions are code points;
 a value that a base span covers wholly is not reported again, one that goes on
 beyond it is scored as a whole; repeated rows get the same spans. The cost of a long value grows linearly with its length, and so does
@@ -36,10 +40,13 @@ CONTEXTS = (
     re.compile(
         r"(?ai:pass(?:word|wd|code|phrase)?|pwd|secret|token|credentials?|auth(?:_?key)?|(?:api|access|private|client)[_-]?(?:key|secret))"
         r"[\"']?[ \t]*(?::|=>|:?=)[ \t]*(?:\"([^\"\r\n]{6,})\"|'([^'\r\n]{6,})'|([^\s\"'<>,;]{6,}))"),
-    re.compile(r"(?ai:[a-z][a-z0-9+.-]*://[^\s/:@]+):([^\s/@]{6,})@"),
+    re.compile(r"://[^\s/:@]+:([^\s/@]{6,})@"),
     re.compile(r"(?ai:\bbearer)[ \t]+([A-Za-z0-9._~+/=-]{6,})"),
 )
 
+#: What stands before ``://``; looked for backwards over so many characters.
+SCHEME, LONGEST_SCHEME = re.compile(r"(?ai:[a-z][a-z0-9+.-]*)\Z"), 32
+
 # Common words of passwords, most frequent first.
 COMMON_WORDS = (
     "password", "admin", "welcome", "letmein", "monkey", "dragon", "master", "login", "secret", "test", "changeme",
@@ -61,7 +68,26 @@ DATES = re.compile(
     r"|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
 
 RANKS = {word: rank for rank, word in enumerate(COMMON_WORDS, 1)}
-LONGEST_WORD = max(map(len, COMMON_WORDS))
+#: Words of the corpus that are ranked behind the fixed ones: a table of this size at most.
+RANKED_WORDS = 50_000
+SHORTEST_WORD, LONGEST_WORD = 3, 24
+
+
+def corpus_ranks(documents: DataFrame, text: str = "text", size: int = RANKED_WORDS) -> dict[str, int]:
+    """Ranks of the fixed words, and behind them of the ``size`` most frequent words of all documents.
+
+    Words are runs of 3 to 24 letters a-z in lower case, counted in Spark in at least
+    five documents' places; equal counts are ordered by the word. Only the table comes
+    to the driver.
+    """
+    letters = F.regexp_replace(F.lower(F.col(text)), "[^a-z]+", " ")
+    words = documents.select(F.explode(F.split(letters, " ")).alias("w")).filter(
+        F.length("w").between(SHORTEST_WORD, LONGEST_WORD))
+    often = words.groupBy("w").agg(F.count("*").alias("n")).filter("n >= 5").orderBy(F.desc("n"), "w").limit(size)
+    out = dict(RANKS)
+    for row in often.collect():
+        out.setdefault(row["w"], len(out) + 1)
+    return out
 
 
 PLACES = {c: (x, y) for y, row in enumerate(KEY_ROWS) for x, c in enumerate(row)}
@@ -75,12 +101,16 @@ def brute(char: str) -> float:
     return DIGIT if char.isdigit() else LETTER if char.isalpha() else OTHER
 
 
-def word_spans(value: str, lowered: str, plain: str):
-    """(start, end, cost) of common words, in any case and with common substitutions."""
+def word_spans(value: str, lowered: str, plain: str, ranks: dict[str, int]):
+    """(start, end, cost) of common words, in any case, backwards, and with common substitutions."""
     for i in range(len(value)):
         for j in range(i + 2, min(len(value), i + LONGEST_WORD) + 1):
-            exact = RANKS.get(lowered[i:j])
-            rank = exact or RANKS.get(plain[i:j])
+            own = lowered[i:j]
+            exact = ranks.get(own)
+            rank = exact or ranks.get(plain[i:j])
+            back = ranks.get(own[::-1])
+            if back and (not rank or 2 * back < rank):
+                rank, exact = 2 * back, True
             if rank:
                 upper = sum(c.isupper() for c in value[i:j])
                 variants = 1 if not upper else 2 if upper == j - i or upper == 1 and value[i].isupper() else 2**min(upper, j - i - upper + 1)
@@ -114,17 +144,17 @@ def walk_spans(lowered: str):
             last = step
 
 
-def repeat_spans(value: str, unit_limit: int = 64):
+def repeat_spans(value: str, ranks: dict[str, int], unit_limit: int = 64):
     """Leftmost repeats of a shortest unit (up to ``unit_limit`` characters) and their cost."""
     one = re.compile(rf"(.{{1,{unit_limit}}}?)\1+", re.S)
     for found in one.finditer(value):
         unit = found[1]
         if found.end() - found.start() >= 3:
-            inner = guess_cost(unit) if len(unit) > 1 and len(unit) < len(value) else brute(unit[0]) * len(unit)
+            inner = guess_cost(unit, ranks) if len(unit) > 1 and len(unit) < len(value) else brute(unit[0]) * len(unit)
             yield found.start(), found.end(), inner + math.log10(len(found[0]) / len(unit))
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANKS) -> float:
     """log10 of the guesses of the cheapest segmentation.
 
     Two states a position: the value up to it ends in a pattern, or in a
@@ -133,7 +163,8 @@ def guess_cost(value: str) -> float:
     n = len(value)
     lowered = value.lower() if len(value.lower()) == n else value
     spans: dict[int, list[tuple[int, float]]] = {}
-    for found in (word_spans(value, lowered, lowered.translate(LEET)), date_spans(value), walk_spans(lowered), repeat_spans(value)):
+    for found in (word_spans(value, lowered, lowered.translate(LEET), ranks), date_spans(value), walk_spans(lowered),
+                  repeat_spans(value, ranks)):
         for start, end, cost in found:
             spans.setdefault(end, []).append((start, cost))
     pattern, forced = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
@@ -155,7 +186,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def guess_spans(text: str, taken: list[tuple[str, int, int]], threshold: float) -> list[tuple[str, int, int, float]]:
+def guess_spans(text: str, taken: list[tuple[str, int, int]], threshold: float, ranks: dict[str, int]) -> list[tuple[str, int, int, float]]:
     """Values of credential contexts that no span of ``taken`` covers and whose cost reaches the threshold."""
     if ":" not in text and "=" not in text and "earer" not in text.lower():
         return []
@@ -163,35 +194,38 @@ def guess_spans(text: str, taken: list[tuple[str, int, int]], threshold: float)
     for pattern in CONTEXTS:
         for m in pattern.finditer(text):
             start, end = m.span(m.lastindex)
+            if m[0].startswith("://") and not SCHEME.search(text[max(0, m.start() - LONGEST_SCHEME):m.start()]):
+                continue
             if any(s <= start and end <= e for s, e in spans):
                 continue
-            cost = guess_cost(text[start:end])
+            cost = guess_cost(text[start:end], ranks)
             if cost >= threshold:
                 out.append(("guess", start, end, cost))
                 spans.append((start, end))
     return out
 
 
-def all_spans(text: str, threshold: float) -> list[dict]:
+def all_spans(text: str, threshold: float, ranks: dict[str, int] = RANKS) -> list[dict]:
     base = base_spans(text)
-    spans = [(k, s, e, guess_cost(text[s:e]) if k == "assign" else None) for k, s, e in base]
-    spans += guess_spans(text, base, threshold)
+    spans = [(k, s, e, guess_cost(text[s:e], ranks) if k == "assign" else None) for k, s, e in base]
+    spans += guess_spans(text, base, threshold, ranks)
     return [dict(zip(("kind", "start", "end", "cost"), x, strict=True))
             for x in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))]
 
 
-def secret_spans(text: Column, threshold: float = 10.0) -> Column:
+def secret_spans(text: Column, threshold: float = 10.0, ranks: dict[str, int] = RANKS) -> Column:
     """An array of (kind, start, end, cost) by start and kind; cost is null where none was needed."""
     @F.arrow_udf(SPANS)
     def found(texts: pa.Array) -> pa.Array:
-        return pa.array([all_spans(t.as_py() or "", threshold) for t in texts], SPAN_TYPE)
+        return pa.array([all_spans(t.as_py() or "", threshold, ranks) for t in texts], SPAN_TYPE)
 
     return found(text)
 
 
-def with_secrets(documents: DataFrame, text: str = "text", name: str = "secrets", threshold: float = 10.0) -> DataFrame:
-    """Add (or replace) the spans of every row's text."""
-    return documents.withColumn(name, secret_spans(F.col(text), threshold))
+def with_secrets(documents: DataFrame, text: str = "text", name: str = "secrets", threshold: float = 10.0,
+                 ranks: dict[str, int] = RANKS) -> DataFrame:
+    """Add (or replace) the spans of every row's text; ``ranks`` as of ``corpus_ranks``."""
+    return documents.withColumn(name, secret_spans(F.col(text), threshold, ranks))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -125,6 +126,106 @@ def test_copies_of_a_page_or_article_keep_their_text(spark):
     assert {got[620 + n] for n in range(300)} == {"copied"}
 
 
+PAGE = "page_id long, url string, html string"
+
+
+def test_names_of_content_keep_their_text():
+    html = ("<article><h1>T</h1><div class=share-price-table><p>Price 10</p></div><section id='search-results-2020'><p>Body</p></section>"
+            "<div class='share-buttons'>x</div><div id=comments>y</div><div class='notice box'>z</div></article>")
+    assert st.main_text(html, set()) == "T Price 10 Body"
+
+
+def test_open_quotes_and_odd_tags():
+    assert st.main_text('<article><p title="a>Hello <b>x</b></p><p>two</p></article>', set()) == "Hello x two"
+    assert st.main_text("<article><p class=a title='x > y' data-x=1/>5 < 6 &amp; 7<br/>z</p></x></article>", set()) == "5 < 6 & 7 z"
+    assert st.main_text("<body><div>a<p>b<div>c</div>d</div>e<ul><li>f<li>g</ul><script>x</scripty></script >h", set()) == "a b c d e f g h"
+
+
+@pytest.mark.parametrize("unit", ["<x ", "<x a=\"", "<p title='", "<", "<!--", "</p", "<div>", "<ul><li>", "<div class=a>", "<a =\"'", "<script></script "])
+def test_long_odd_pages_take_seconds(unit):
+    start = time.perf_counter()
+    st.main_text("<article>" + unit * (400_000 // len(unit)) + '"', {1}, {1})
+    assert time.perf_counter() - start < 10
+
+
+def test_templates_are_found_however_large_the_host(spark):
+    """The count decides: containers of pages without an article, boxes, and paragraphs only where asked for."""
+    line = "<p>Read our daily letter with all the news of the day</p>"
+    rows = [page("a.org", n, f"<article><p>own {n} text</p>{line if n % 30 == 0 else ''}</article>") for n in range(360)]
+    rows += [page("b.org", 1000 + n, f"<body>{'<div>promoted <i>story</i></div>' if n % 30 == 0 else ''}<p>own {n}</p></body>") for n in range(360)]
+    rows += [page("c.org", 2000 + n, f"<article><p>own {n}</p>{line}</article>") for n in range(9)]
+    df = spark.createDataFrame(rows, PAGE)
+    got = dict(st.with_main_text(df).select("page_id", "text").collect())
+    assert got[30] == "own 30 text Read our daily letter with all the news of the day" and got[31] == "own 31 text"
+    assert all(got[1000 + n] == f"own {n}" for n in range(360))
+    asked = dict(st.with_main_text(df, paragraphs=True).select("page_id", "text").collect())
+    assert all(asked[n] == f"own {n} text" for n in range(360))
+    assert asked[2003].endswith("news of the day")  # 9 pages are too few
+
+
+def test_depleted_documents_are_rejected_in_a_large_host(spark):
+    """Lines in 11 texts go, also where these are a small share of the host; what keeps under half of its words goes too."""
+    shared = [prose(50 + k, 30).replace("\n", " ") for k in range(3)]
+    rows = [(i, "\n".join([*shared, prose(5000 + i, 25).replace("\n", " "), prose(7000 + i, 26).replace("\n", " ")]), "h") for i in range(11)]
+    rows += [(100 + i, prose(9000 + i, 60).replace("\n", " "), "h") for i in range(400)]
+    rows += [(600 + i, "\n".join([shared[0], prose(3000 + i, 60).replace("\n", " ")]), "h") for i in range(11)]
+    judged = line_frequency.quality_rules(documents(spark, rows))
+    got = {r["doc_id"]: r for r in judged.collect()}
+    assert not any(got[i]["kept"] for i in range(11)) and not any(got[i]["base_failed"] for i in range(11))
+    assert all(got[i]["kept"] for i in (*range(100, 500), *range(600, 611)))
+    assert {len(got[i]["removed_lines"]) for i in range(11)} == {3} and {len(got[600 + i]["removed_lines"]) for i in range(11)} == {1}
+
+
+def all_segmentations(value, ranks):
+    """The cheapest way by trying every way to cut, with the same spans."""
+    lowered = value.lower()
+    spans = {}
+    for found in (ss.word_spans(value, lowered, lowered.translate(ss.LEET), ranks), ss.date_spans(value), ss.walk_spans(lowered),
+                  ss.repeat_spans(value, ranks)):
+        for a, b, cost in found:
+            spans[a, b] = min(cost, spans.get((a, b), math.inf))
+
+    def rest(at, forced):
+        if at == len(value):
+            return 0.0
+        join = 0.0 if forced or at == 0 else ss.SEGMENT
+        best = ss.brute(value[at]) + join + rest(at + 1, True)
+        for (a, b), cost in spans.items():
+            if a == at:
+                best = min(best, cost + (ss.SEGMENT if at else 0.0) + rest(b, False))
+        return best
+
+    return rest(0, False)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_guess_cost_is_that_of_the_best_segmentation(seed):
+    rng = random.Random(seed)
+    ranks = ss.RANKS | {"wonderful": 900, "mountain": 1200, "river": 700}
+    parts = ["pass", "w0rd", "river", "revir", "2019", "qwe", "aaa", "x9", "K!", "Love", "12", "z"]
+    value = "".join(rng.choice(parts) for _ in range(4))
+    assert ss.guess_cost(value, ranks) == pytest.approx(all_segmentations(value, ranks))
+
+
+def test_words_of_the_corpus_are_cheap(spark):
+    text = "wonderful mountain river " * 10
+    docs = documents(spark, [(1, text + 'password="wonderfulmountainriver"'), (2, 'password="Kq9$vwxzpt"'), (3, None)])
+    ranks = ss.corpus_ranks(docs)
+    assert len(ranks) == len(ss.RANKS) + 3 and ss.guess_cost("wonderfulmountainriver") > 20 > 10 > ss.guess_cost("wonderfulmountainriver", ranks)
+    assert ss.guess_cost("revirniatnuom", ranks) < 10
+    plain = {r["doc_id"]: len(r["secrets"]) for r in ss.with_secrets(docs).collect()}
+    known = {r["doc_id"]: len(r["secrets"]) for r in ss.with_secrets(docs, ranks=ranks).collect()}
+    assert (plain, known) == ({1: 1, 2: 1, 3: 0}, {1: 1, 2: 1, 3: 0}) or known[1] <= plain[1]
+    assert ss.corpus_ranks(docs.limit(0)) == ss.RANKS
+
+
+@pytest.mark.parametrize("unit", ["a", "://", "a://b:", "password=", "x9", "bearer ", "AKIA", "0123456789abcdef"])
+def test_long_odd_texts_take_seconds(unit):
+    start = time.perf_counter()
+    ss.all_spans("password=" + unit * (300_000 // len(unit)) + ":", 10)
+    assert time.perf_counter() - start < 20
+
+
 def test_segmentations_against_all_paths():
     words = sg.load_vocabulary(MODEL_FILE)
     for text in ("cat", "é\n", "a b", "x▁"):
