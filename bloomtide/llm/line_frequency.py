@@ -138,7 +138,8 @@ def quality_rules(documents: DataFrame, text: str = "text", host: str = "source"
         rows.withColumns({"host_key": host_key(host), "text_hash": F.xxhash64(text_of(text))}), text)
     left = F.col("n_line_words") - F.coalesce("n_removed_words", F.lit(0))
     return counted.join(gone, ["host_key", "text_hash"], "left").withColumn(
-        "kept", ~F.col("base_failed") & (left >= min_left * F.col("n_line_words")))
+        # the lesser of both, not their conjunction: a filter on it then stays above the join, and counts are made once
+        "kept", F.least((~F.col("base_failed")).cast("int"), (left >= min_left * F.col("n_line_words")).cast("int")) == 1)
 
 
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_line_words", "base_failed",

@@ -30,14 +30,16 @@ id); repeated rows are members like others; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from bloomtide.llm.common import Scratch, batches_in_slices, free_name, hash_words, mix, split_words, text_of
+from bloomtide.llm.common import Scratch, batches_in_slices, delete_path, free_name, hash_words, mix, split_words, text_of
 from bloomtide.llm.components import components
+from bloomtide.session import scratch_path
 
 #: Counters of the frequency table; its size is fixed, so it may go to every task.
 BUCKETS = 1 << 18
@@ -49,6 +51,8 @@ BIN_SHIFT = np.uint64(64 - 9)
 SIGNATURE = tuple(f"s{i}" for i in range(BINS // 64))
 #: Leaders that a set is held against before all that is left is compared.
 ROUNDS = 4
+#: Sets that one copy of another set's text is held against.
+SHARE = 1000
 
 
 def ngram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,17 +112,19 @@ def members_of(documents: DataFrame, n: int) -> DataFrame:
 
 
 def frequency_table(documents: DataFrame, n: int) -> np.ndarray:
-    """How often n-grams fall on each counter: one vector a task, summed over a tree of tasks."""
+    """How often n-grams fall on each counter, summed in Spark; ``BUCKETS`` numbers come to the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches_in_slices(batches):
             values, _ = ngram_sets(batch.column("text"), n)
             total += np.bincount((values >> BUCKET_SHIFT).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["bucket", "n"])
 
-    vectors = documents.select("text").mapInArrow(run, "counts binary").rdd
-    return vectors.map(lambda r: np.frombuffer(r[0], np.int64)).treeAggregate(
-        np.zeros(BUCKETS, np.int64), lambda a, b: a + b, lambda a, b: a + b)
+    sums = documents.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    return out
 
 
 def prefixes(documents: DataFrame, n: int, num: int, den: int, frequency) -> DataFrame:
@@ -168,17 +174,42 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (both - shared)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) whose sets, made again from one text each, link."""
+def verified(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) whose sets, made again from one text each, link.
+
+    ``pairs`` has (x, l): the text of x goes to that of l. A set that many are held
+    against is copied for each ``SHARE`` of them, so neither its text nor its partners
+    are one task's.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_in_slices(batches, "text_u"):
-            (x, xs), (y, ys) = (ngram_sets(batch.column(c), n) for c in ("text_u", "text_v"))
+        for batch in batches_in_slices(batches, "text_x"):
+            (x, xs), (y, ys) = (ngram_sets(batch.column(c), n) for c in ("text_x", "text_l"))
             keep = [linked(x[xs[i]:xs[i + 1]], y[ys[i]:ys[i + 1]], num, den) for i in range(batch.num_rows)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    first = texts.select(F.col("key").alias("u"), F.col("text").alias("text_u"))
-    second = texts.select(F.col("key").alias("v"), F.col("text").alias("text_v"))
-    return pairs.join(first, "u").join(second, "v").mapInArrow(run, "u long, v long")
+    texts = sets.select("key", "text")
+    degree = pairs.groupBy("l").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    dealt = pairs.join(degree, "l").select("x", "l", F.pmod(F.xxhash64("x"), "shares").cast("int").alias("share"))
+    first = dealt.join(texts.select(F.col("key").alias("x"), F.col("text").alias("text_x")), "x")
+    second = degree.join(texts.select(F.col("key").alias("l"), F.col("text").alias("text_l")), "l").select(
+        "l", "text_l", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    ends = [F.greatest("x", "l").alias("u"), F.least("x", "l").alias("v")]
+    return first.join(second, ["l", "share"]).select(*ends, "text_x", "text_l").mapInArrow(run, "u long, v long")
+
+
+class StoredSets:
+    """One row a set (key, signature, text), kept in the order of its key so that joins move the pairs, not the texts."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path, self.name = scratch_path(self.spark, "ngram-sets"), f"ngram_sets_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key").option("path", self.path).saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(self.spark, self.path)
 
 
 def with_classes(rows: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -202,61 +233,81 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", n: in
     scratch = Scratch(spark, "ngram-join")
     members = scratch.store(members_of(rows, n))
     table = spark.sparkContext.broadcast(frequency_table(rows, n))
-    by_token = W.partitionBy("token")
-    shared = scratch.store(
-        prefixes(rows, n, num, den, table).repartition("token").dropDuplicates(["token", "key"])
-        .withColumn("others", F.count("*").over(by_token)).filter("others > 1").drop("others"))
-    table.unpersist()
-    named = members.filter("n_shingles > 0").groupBy("key").agg(F.min("row").alias("row"))
-    texts = scratch.store(
+    prefix = prefixes(rows, n, num, den, table).dropDuplicates(["token", "key"])
+    often = prefix.groupBy("token").agg(F.count("*").alias("others")).filter("others > 1").select("token")
+    tokens = Scratch(spark, "ngram-tokens")
+    shared = tokens.store(prefix.join(often, "token"))
+    named = members.filter("n_shingles > 0").groupBy("key").agg(
+        F.min("row").alias("row"), *[F.first(s).alias(s) for s in SIGNATURE])
+    stored = StoredSets(
         rows.select("row", "text").join(named.join(shared.select("key").distinct(), "key"), "row")
-        .dropDuplicates(["key"]).select("key", "text"))
-    signed = members.filter("n_shingles > 0").select("key", *SIGNATURE).dropDuplicates(["key"])
+        .dropDuplicates(["key"]).select("key", *SIGNATURE, "text"))
+    table.unpersist()
+    try:
+        links = all_links(scratch, tokens, shared, stored.table, n, num, den)
+        final = components(links, "ngram-components").select(F.col("u").alias("key"), F.col("v").alias("class"))
+    finally:
+        stored.drop()
+        tokens.drop_but_last(0)
+    by_key = members.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(
+        final, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    named_classes = by_key.groupBy("class").agg(F.min("least").alias("component_id"))
+    of_key = by_key.join(named_classes, "class").select("key", "component_id")
+    out = members.join(of_key, "key", "left").select(
+        "doc_id", "row", "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out
+
+
+def all_links(scratch: Scratch, tokens: Scratch, shared: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) that connect the sets as all links do; ``shared`` has the prefix n-grams that several sets have.
+
+    A prefix n-gram whose sets have come into one class is done and leaves ``shared``.
+    """
+    signed = sets.select("key", *SIGNATURE)
     close = not_too_far(num, den, "a.", "b.")
 
     def near(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """The pairs (u, v, size_u, size_v) that pass the suffix filter and were not compared before."""
+        """The pairs (x, l) that pass the suffix filter and were not compared before, each once."""
         first, second = (
-            signed.select(F.col("key").alias(side), F.struct(*SIGNATURE).alias(name)) for side, name in (("u", "a"), ("v", "b")))
-        sized = pairs.distinct().join(first, "u").join(second, "v").withColumns({
-            "a": F.col("a").withField("size", F.col("size_u")), "b": F.col("b").withField("size", F.col("size_v"))})
-        kept = sized.filter(close).select("u", "v")
+            signed.select(F.col("key").alias(side), F.struct(*SIGNATURE).alias(name)) for side, name in (("x", "a"), ("l", "b")))
+        once = pairs.groupBy("u", "v").agg(F.min(F.struct("x", "l", "size_x", "size_l")).alias("p")).select("u", "v", "p.*")
+        sized = once.join(first, "x").join(second, "l").withColumns({
+            "a": F.col("a").withField("size", F.col("size_x")), "b": F.col("b").withField("size", F.col("size_l"))})
+        kept = sized.filter(close).select("u", "v", "x", "l")
         return kept if known is None else kept.join(known, ["u", "v"], "left_anti")
 
-    def ordered(a: str, b: str) -> list:
-        higher = F.col(f"{a}.key") > F.col(f"{b}.key")
-        return [F.when(higher, F.col(f"{x}.{f}")).otherwise(F.col(f"{y}.{f}")).alias(name)
-                for x, y, f, name in ((a, b, "key", "u"), (b, a, "key", "v"), (a, b, "size", "size_u"), (b, a, "size", "size_v"))]
+    def directed(x: str, other: str) -> list:
+        keys = F.col(f"{x}.key"), F.col(f"{other}.key")
+        return [F.greatest(*keys).alias("u"), F.least(*keys).alias("v"), keys[0].alias("x"), keys[1].alias("l"),
+                F.col(f"{x}.size").alias("size_x"), F.col(f"{other}.size").alias("size_l")]
 
     compared, found = None, None
+    mixed = F.col("least") < F.col("most")
     for turn in range(ROUNDS):
         placed = with_classes(shared, found).select("token", F.struct("key", "size", "place", "class").alias("x"))
-        lot = F.struct(F.xxhash64(F.lit(turn), "x.key"), F.col("x"))
-        led = placed.withColumn("l", F.min(lot).over(by_token)["x"]).filter("x.class <> l.class")
-        pairs = near(led.filter(possible(num, den, "x.", "l.")).select(*ordered("x", "l")), compared)
-        pairs = scratch.store(pairs)
+        leaders = placed.groupBy("token").agg(
+            F.min_by("x", F.struct(F.xxhash64(F.lit(turn), "x.key"), F.col("x.key"))).alias("l"),
+            F.min("x.class").alias("least"), F.max("x.class").alias("most")).filter(mixed).select("token", "l")
+        led = tokens.store(placed.join(leaders, "token"))
+        tokens.drop_but_last()
+        shared = led.select("token", "x.key", "x.size", "x.place")
+        held = led.filter("x.class <> l.class").filter(possible(num, den, "x.", "l.")).select(*directed("x", "l"))
+        pairs = scratch.store(near(held, compared))
         if turn and pairs.isEmpty():
             break
-        links = verified(pairs, texts, n, num, den)
+        links = verified(pairs, sets, n, num, den)
         found = components(links if found is None else links.unionByName(found), "ngram-components")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-    mixed = with_classes(shared, found).withColumn(
-        "several", F.min("class").over(by_token) < F.max("class").over(by_token)).filter("several").select(
-        "token", "key", "size", "place", "class").join(signed, "key")
-    across = mixed.alias("a").join(mixed.alias("b"), "token").filter(
+        done = pairs.select("u", "v")
+        compared = done if compared is None else compared.unionByName(done)
+    placed = with_classes(shared, found)
+    several = placed.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter(mixed).select("token")
+    left = placed.join(several, "token").select("token", "key", "size", "place", "class").join(signed, "key")
+    across = left.alias("a").join(left.alias("b"), "token").filter(
         "a.key > b.key AND a.class <> b.class").filter(possible(num, den, "a.", "b.")).filter(close)
     rest = scratch.store(across.select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
-                         .join(compared, ["u", "v"], "left_anti"))
-    links = found.unionByName(verified(rest, texts, n, num, den))
-    final = components(links, "ngram-components").select(F.col("u").alias("key"), F.col("v").alias("class"))
-    by_key = members.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(
-        final, "key", "left").withColumn("class", F.coalesce("class", "key"))
-    named_classes = by_key.groupBy("class").agg(F.min("least").alias("component_id"))
-    of_key = by_key.join(named_classes, "class").select("key", "component_id")
-    out = members.join(of_key, "key", "left").select(
-        "doc_id", "row", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out
+                         .join(compared, ["u", "v"], "left_anti").select("u", "v", F.col("u").alias("x"), F.col("v").alias("l")))
+    return found.unionByName(verified(rest, sets, n, num, den))
 
 
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80,
