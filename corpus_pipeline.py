@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bloomtide.llm import decontamination, line_frequency, ngram_join, secrets_scan, segmentations
-from bloomtide.llm.common import free_name, read
+from bloomtide.llm.common import Scratch, free_name, read
 from bloomtide.llm.queries import MODEL_FILE
-from bloomtide.session import scratch_path
 
 
 def with_text(docs: DataFrame, text: Column) -> DataFrame:
@@ -29,9 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     used = line_frequency.ADDED + line_frequency.INTERNAL
     names = {c: free_name(docs, f"_own_{c}") for c in docs.columns if c in used}
     judged = line_frequency.quality_rules(docs.withColumnsRenamed(names))
-    # 1 + rand is at least 1, 0 + rand is less; with rand in it the condition stays above
-    # the counts, while a plain one would be copied below them and count everything again
-    kept = judged.filter(F.coalesce(F.col("kept"), F.lit(False)).cast("int") + F.rand(0) >= 1)
+    kept = judged.filter("kept")
     text = F.when(F.col("removed_lines").isNotNull(), line_frequency.without_lines(F.col("text"), F.col("removed_lines")))
     cleaned = with_text(kept, text)
     return cleaned.drop(*line_frequency.ADDED).withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
@@ -52,7 +49,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
     name = free_name(docs, "_secrets")
-    found = secrets_scan.with_secrets(docs, name=name)
+    found = secrets_scan.with_secrets(docs, name=name, ranks=secrets_scan.corpus_ranks(docs))
     return with_text(found, F.when(F.size(name) > 0, secrets_scan.redacted(F.col("text"), F.col(name)))).drop(name)
 
 
@@ -74,10 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage on all that its predecessor kept."""
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """Each stage on all that its predecessor kept; what it wrote goes when its successor has written."""
+    docs, stored = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for _, stage in STAGES:
+        docs = stored.store(stage(spark, docs, sf_dir))
+        stored.drop_but_last()
     return docs
