@@ -97,31 +97,42 @@ def signatures(values: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(table[:, i]) for i in range(BINS // 64)]
 
 
-def members_of(documents: DataFrame, n: int) -> DataFrame:
-    """(doc_id, row, key, n_shingles, signature) of rows (doc_id, row, text)."""
+def members_and_counts(documents: DataFrame, n: int) -> DataFrame:
+    """(doc_id, row, key, n_shingles, signature, counts) of rows (doc_id, row, text).
+
+    ``counts`` is null but in one more row of each task, which has nothing else: how often
+    the task's n-grams fall on each counter.
+    """
+    names = ["doc_id", "row", "key", "n_shingles", *SIGNATURE, "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches_in_slices(batches):
             values, starts = ngram_sets(batch.column("text"), n)
+            total += np.bincount((values >> BUCKET_SHIFT).astype(np.int64), minlength=BUCKETS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), pa.array(set_keys(values, starts)),
-                 pa.array(np.diff(starts).astype(np.int64)), *map(pa.array, signatures(values, starts))],
-                names=["doc_id", "row", "key", "n_shingles", *SIGNATURE])
+                 pa.array(np.diff(starts).astype(np.int64)), *map(pa.array, signatures(values, starts)),
+                 pa.nulls(batch.num_rows, pa.binary())], names=names)
+        nothing = [pa.nulls(1, pa.int64())] * (len(names) - 1)
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([total.tobytes()], pa.binary())], names=names)
 
     return documents.mapInArrow(
-        run, "doc_id long, row long, key long, n_shingles long, " + ", ".join(f"{s} long" for s in SIGNATURE))
+        run, "doc_id long, row long, key long, n_shingles long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", counts binary")
 
 
-def frequency_table(documents: DataFrame, n: int) -> np.ndarray:
-    """How often n-grams fall on each counter, summed in Spark; ``BUCKETS`` numbers come to the driver."""
+def frequency_table(counted: DataFrame) -> np.ndarray:
+    """The counters of all tasks, summed in Spark; ``BUCKETS`` numbers come to the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches_in_slices(batches):
-            values, _ = ngram_sets(batch.column("text"), n)
-            total += np.bincount((values >> BUCKET_SHIFT).astype(np.int64), minlength=BUCKETS)
+        for batch in batches:
+            for counts in batch.column("counts"):
+                total += np.frombuffer(counts.as_buffer(), np.int64)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["bucket", "n"])
 
-    sums = documents.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    vectors = counted.filter("counts IS NOT NULL").select("counts")
+    sums = vectors.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     return out
@@ -231,12 +242,14 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", n: in
     rows = documents.select(
         F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), text_of(text)).alias("row"), text_of(text).alias("text"))
     scratch = Scratch(spark, "ngram-join")
-    members = scratch.store(members_of(rows, n))
-    table = spark.sparkContext.broadcast(frequency_table(rows, n))
-    prefix = prefixes(rows, n, num, den, table).dropDuplicates(["token", "key"])
-    often = prefix.groupBy("token").agg(F.count("*").alias("others")).filter("others > 1").select("token")
+    counted = scratch.store(members_and_counts(rows, n))
+    members = counted.filter("counts IS NULL").drop("counts")
+    table = spark.sparkContext.broadcast(frequency_table(counted))
     tokens = Scratch(spark, "ngram-tokens")
+    prefix = tokens.store(prefixes(rows, n, num, den, table).dropDuplicates(["token", "key"]))  # two readers, one reading of the texts
+    often = prefix.groupBy("token").agg(F.count("*").alias("others")).filter("others > 1").select("token")
     shared = tokens.store(prefix.join(often, "token"))
+    tokens.drop_but_last()
     named = members.filter("n_shingles > 0").groupBy("key").agg(
         F.min("row").alias("row"), *[F.first(s).alias(s) for s in SIGNATURE])
     stored = StoredSets(
