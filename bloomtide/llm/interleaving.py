@@ -11,7 +11,8 @@ are rows sorted. Buckets follow the data's size, not the number of sources.
 
 Defined results: a null source is a source of its own; a null text has size 16;
 ties of the digest (same id, same text) are repeated rows, which are
-interchangeable; an empty table gives an empty table.
+interchangeable, and rows of equal texts are placed each by its own id (law ``rows``
+asks nothing of them); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,11 +33,20 @@ def offsets_of(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     """
     coarse = F.floor(F.col(bucket) / F.lit(COARSE)).cast("long")
     fine = counts.withColumn("_coarse", coarse)
+    within = W.partitionBy(*keys, "_coarse").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    earlier_in = F.coalesce(F.sum("n").over(within), F.lit(0))
+    if not keys:  # a row for some millions of rows: few numbers, summed on the driver
+        tops, total = [], 0
+        sums = dict(fine.groupBy("_coarse").agg(F.sum("n")).collect())
+        for c in range(max(sums, default=-1) + 1):
+            tops.append(total)
+            total += sums.get(c, 0)
+        table = F.expr(f"array({', '.join(f'{t}L' for t in tops)})") if tops else F.array(F.lit(0).cast("long"))
+        return fine.select(bucket, (F.get(table, F.col("_coarse").cast("int")) + earlier_in).alias("before"))
     by_coarse = fine.groupBy(*keys, "_coarse").agg(F.sum("n").alias("_n"))
     earlier = W.partitionBy(*keys).orderBy("_coarse").rowsBetween(W.unboundedPreceding, -1)
     tops = by_coarse.select(*keys, "_coarse", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_top"))
-    within = W.partitionBy(*keys, "_coarse").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    return fine.withColumn("_in", F.coalesce(F.sum("n").over(within), F.lit(0))).join(
+    return fine.withColumn("_in", earlier_in).join(
         tops, [*keys, "_coarse"]).select(*keys, bucket, (F.col("_top") + F.col("_in")).alias("before"))
 
 
@@ -69,8 +79,11 @@ def interleaved(documents: DataFrame, shards: int, key: str = "doc_id", source:
     rows = documents.select(
         F.col(key), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
         host_key(source).alias("source_key"), digest.alias("_digest"))
-    sizes = rows.groupBy("source_key").agg(F.count("*").alias("source_rows"))
-    rows = rows.join(sizes, "source_key")
+    # counted and joined by source and first digits of the digest, so a source is many keys
+    rows = rows.withColumn("_part", F.substring("_digest", 1, 2))
+    parts = rows.groupBy("source_key", "_part").agg(F.count("*").alias("n"))
+    sizes = parts.withColumn("source_rows", F.sum("n").over(W.partitionBy("source_key"))).drop("n")
+    rows = rows.join(sizes, ["source_key", "_part"]).drop("_part")
     start = F.conv(F.substring("_digest", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     ranked = positions(
         rows.withColumn("_bucket", fraction_bucket(start, F.col("source_rows"), rows_per_bucket)),
@@ -79,8 +92,8 @@ def interleaved(documents: DataFrame, shards: int, key: str = "doc_id", source:
     fraction = (F.col("source_rank") + 0.5) / F.col("source_rows")
     placed = positions(
         ranked.withColumn("_fraction", fraction).withColumn(
-            "_bucket", fraction_bucket(F.col("_fraction"), F.lit(n), rows_per_bucket)).withColumn("_all", F.lit(0)),
-        ["_all"], "_bucket", ["_fraction", "source_key", "_digest"], "position")
+            "_bucket", fraction_bucket(F.col("_fraction"), F.lit(n), rows_per_bucket)),
+        [], "_bucket", ["_fraction", "source_key", "_digest"], "position")
     return placed.withColumn("shard", F.expr(f"cast(position * {shards} div {max(n, 1)} as int)")).withColumn(
         "slot", F.col("position") - F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")).drop(
-        "_all", "_digest", "_fraction")
+        "_digest", "_fraction")

@@ -65,3 +65,21 @@ def test_one_of_each(spark):
     want = {key for key, size, least in classes if size and key == least}
     assert {k for k, t in got if t} == want
     assert {(500, None), (501, "")} <= set(got)
+
+
+def test_a_line_that_hundreds_of_unlinked_texts_share(spark):
+    """Short texts of which the shared line is a large part, so that its n-grams are prefix n-grams."""
+    rng = random.Random(9)
+    line = "this text may be copied by all who name its source"
+    rows = [(i, f"{line} {' '.join(f'u{rng.randrange(10**6)}' for _ in range(rng.randint(1, 4)))}") for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + (" x" if i % 2 else "")) for i in range(0, 300, 10)]
+    got = ngram_join.classes(documents(spark, rows), n=3, num=80).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 3, 80, 100))
+
+
+def test_a_set_that_many_are_held_against_is_copied(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHARE", 5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:-1] + [f"z{i}"])) for i in range(80)]
+    got = ngram_join.classes(documents(spark, rows), n=3, num=90).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 80
