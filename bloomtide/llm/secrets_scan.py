@@ -25,6 +25,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bloomtide.llm.common import Scratch
+
 SPANS = "array<struct<kind:string,start:int,end:int,cost:double>>"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64())]))
 
@@ -76,17 +78,28 @@ SHORTEST_WORD, LONGEST_WORD = 3, 24
 def corpus_ranks(documents: DataFrame, text: str = "text", size: int = RANKED_WORDS) -> dict[str, int]:
     """Ranks of the fixed words, and behind them of the ``size`` most frequent words of all documents.
 
-    Words are runs of 3 to 24 letters a-z in lower case, counted in Spark in at least
-    five documents' places; equal counts are ordered by the word. Only the table comes
-    to the driver.
+    Words are runs of 3 to 24 letters a-z in lower case that occur five times or more,
+    counted in Spark. Counts are taken in sixteenths of a power of two: so many whole
+    steps from the top as hold ``size`` words at most. Only steps and chosen words come to
+    the driver; equal counts are ordered by the word.
     """
     letters = F.regexp_replace(F.lower(F.col(text)), "[^a-z]+", " ")
     words = documents.select(F.explode(F.split(letters, " ")).alias("w")).filter(
         F.length("w").between(SHORTEST_WORD, LONGEST_WORD))
-    often = words.groupBy("w").agg(F.count("*").alias("n")).filter("n >= 5").orderBy(F.desc("n"), "w").limit(size)
+    scratch = Scratch(documents.sparkSession, "word-counts")
+    counts = scratch.store(words.groupBy("w").agg(F.count("*").alias("n")).filter("n >= 5").withColumn(
+        "step", F.floor(F.log2("n") * 16).cast("int")))
+    least, held = None, 0
+    for step, n in sorted(counts.groupBy("step").count().collect(), reverse=True):  # some hundreds of steps
+        held += n
+        if held > size:
+            break
+        least = step
+    chosen = [] if least is None else counts.filter(F.col("step") >= least).select("w", "n").collect()
+    scratch.drop_but_last(0)
     out = dict(RANKS)
-    for row in often.collect():
-        out.setdefault(row["w"], len(out) + 1)
+    for word, _ in sorted(chosen, key=lambda r: (-r["n"], r["w"])):
+        out.setdefault(word, len(out) + 1)
     return out
 
 
