@@ -100,6 +100,47 @@ def test_small_groups_give_the_same(spark, monkeypatch):
     assert both() == want
 
 
+@pytest.mark.parametrize("length", [20, 7, 2])
+def test_nodes_of_every_depth(length):
+    rng = np.random.default_rng(length)
+    words = rng.integers(0, 3, 600).astype(np.uint64)
+    at = np.arange(len(words) - length + 1)
+    path, rest = word_repeats.paths(words, at, length)
+    order = np.lexsort((rest, path))
+    shared = word_repeats.common_steps(path[order], rest[order])
+    for step, depth in enumerate(word_repeats.depths(length), 1):
+        first, node = word_repeats.internal_nodes(shared, step)
+        of_prefix, of_node = {}, {}
+        for place, number in zip(order.tolist(), node.tolist(), strict=True):
+            prefix = tuple(words[place:place + depth].tolist())
+            of_prefix.setdefault(prefix, set()).add(number)
+            of_node.setdefault(number, set()).add(prefix)
+        assert all(len(x) == 1 for x in of_prefix.values()) and len(first) == len(of_node)
+        if step in (1, word_repeats.STEPS):  # the steps between have few bits: prefixes may share a node there
+            assert all(len(x) == 1 for x in of_node.values())
+
+
+def test_a_frequent_start_is_split(spark, monkeypatch):
+    """A third of the suffixes begin alike; the prefix they are dealt out by is lengthened until they part."""
+    rng = random.Random(3)
+    start = [f"s{i}" for i in range(6)]
+    passages = [" ".join(start + [f"p{i}x{j}" for j in range(14)]) for i in range(150)]
+    rows = documents(spark, [(i, p) for i, p in enumerate(passages + passages)] + [
+        (1000 + i, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 999)) for _ in range(40))) for i in range(20)])
+    texts_ = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    spots = repeats.repeating_runs(texts_, word_repeats.word_symbols, 20, 5, 100, named=False)
+    located = texts_.join(spots, "row")
+    def sizes(group):
+        monkeypatch.setattr(word_repeats, "GROUP", group)
+        prefix = word_repeats.prefix_of(F.col("path"), word_repeats.prefix_counts(located, 20))
+        found = word_repeats.suffix_rows(located, 20).filter("n = 0").groupBy(prefix.alias("prefix")).count()
+        return sorted(r["count"] for r in found.collect())
+    whole, split = sizes(10_000), sizes(20)
+    assert sum(whole) == sum(split) and whole[-1] >= 150 and split[-1] <= 20
+    got = word_repeats.without_passages(word_repeats.repeated_passages(rows)).filter("n_removed > 0").collect()
+    assert {(r["doc_id"], r["n_removed"]) for r in got} == {(150 + i, 20) for i in range(150)}
+
+
 @pytest.mark.parametrize("bound", [10_000, 700, 50])
 def test_names_with_many_bytes_are_split(spark, bound):
     rng = random.Random(9)
