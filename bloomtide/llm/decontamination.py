@@ -11,7 +11,10 @@ verified on ever longer stretches and most end at the first.
 
 Items and texts are compared in lower case with runs of white space as one space.
 The items are the query set: they are taken in blocks of ``block_chars``
-characters, so what goes to each task is bounded whatever the number of items.
+characters (a longer item is one of its own). The driver reads one block at a time.
+One block is a function of the documents' own stage; several are one job each, which
+stores the hits of the texts that have any, and the documents are joined with these
+by 128 bits of hashes of the text. So a task holds one block, whatever their number.
 
 Defined results: a null or empty text contains nothing; null or empty items and
 items with a null id match nothing; an item listed twice is reported once;
@@ -20,12 +23,16 @@ repeated rows get the same result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bloomtide.llm.common import Scratch, free_name
+
 HITS = "array<struct<item_id:bigint,start:int,end:int,distance:int>>"
 HIT_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]))
 
@@ -157,21 +164,22 @@ class Finder:
         return [{"item_id": i, "start": s, "end": e, "distance": d} for i, (d, s, e) in sorted(best.items())]
 
 
-def item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> list[list[tuple[int, str]]]:
-    """The distinct items, normalised, in blocks; a longer item is a block of its own."""
-    blocks, size = [[]], 0
+def item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items, normalised, block by block; a longer item is a block of its own."""
+    block, size = [], 0
     rows = items.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("k"), F.col(text).alias("t")).distinct().orderBy("k", "t")
     for row in rows.toLocalIterator():
         item = normalised(row["t"])
         if not item:
             continue
-        if blocks[-1] and size + len(item) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["k"], item))
+        if block and size + len(item) > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((row["k"], item))
         size += len(item)
-    return [b for b in blocks if b]
+    if block:
+        yield block
 
 
 def item_hits(text: Column, block: list[tuple[int, str]], rate: float) -> Column:
@@ -190,5 +198,20 @@ def with_benchmark_hits(documents: DataFrame, items: DataFrame, item_key: str =
                         block_chars: int = 1_000_000) -> DataFrame:
     """Add (or replace) ``name``: (item_id, start, end, distance) in the normalised text."""
     blocks = item_blocks(items, item_key, item_text, block_chars)
-    hits = [item_hits(F.col(text), block, rate) for block in blocks]
-    return documents.withColumn(name, F.concat(*hits) if hits else F.array().cast(HITS))
+    few = list(itertools.islice(blocks, 2))
+    if len(few) < 2:
+        return documents.withColumn(name, item_hits(F.col(text), few[0], rate) if few else F.array().cast(HITS))
+    scratch, names = Scratch(documents.sparkSession, "benchmark-hits"), [c for c in documents.columns if c != name]
+    by_text = [F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))]
+    bodies = documents.filter(F.length(text) > 0).select(*[h.alias(f"h{i}") for i, h in enumerate(by_text)], F.col(text).alias("body"))
+    stored = [
+        scratch.store(bodies.select("h0", "h1", item_hits(F.col("body"), block, rate).alias("hits")).filter(F.size("hits") > 0))
+        for block in itertools.chain(few, blocks)]
+    # texts that stand in several rows bring the same hits again
+    each = reduce(DataFrame.unionByName, stored).select("h0", "h1", F.explode("hits").alias("hit")).distinct()
+    first = each.groupBy("h0", "h1", "hit.item_id").agg(F.min(F.struct("hit.distance", "hit.start", "hit.end")).alias("best"))
+    hit = F.struct("item_id", "best.start", "best.end", "best.distance")
+    h0, h1 = free_name(documents, "_h0"), free_name(documents, "_h1")
+    found = first.groupBy(F.col("h0").alias(h0), F.col("h1").alias(h1)).agg(F.array_sort(F.collect_list(hit)).alias(name))
+    joined = documents.select(*names, by_text[0].alias(h0), by_text[1].alias(h1)).join(found, [h0, h1], "left")
+    return joined.select(*names, F.coalesce(F.col(name), F.array().cast(HITS)).alias(name))

@@ -23,7 +23,7 @@ gets the same samples in any partition and after any restart.
 
 Defined results: a null or empty text has one segmentation, empty, with
 probability 1; a text with fewer than k segmentations has all of them; every
-segmentation decodes to the text exactly; rows with the same key and text get the
+segmentation decodes to the text exactly (``with_decoded``); rows with the same key and text get the
 same samples; a null key is a key like others.
 """
 
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from bloomtide.llm.common import batches_in_slices, free_name, mix, text_of
@@ -47,6 +48,8 @@ SAMPLE_TYPE = pa.list_(pa.struct([("rank", pa.int32()), ("ids", pa.list_(pa.int3
 POINT = np.uint64(0xD1342543DE82EF95)
 #: Bytes of text in a slice: its lattice takes some hundred times as much.
 SLICE = 800_000
+#: Rows that are spelled at once.
+ROWS = 256
 #: Steps of a logarithm in sums.
 FIXED = 2.0**32
 #: Characters of a chunk whose weights cannot underflow.
@@ -488,3 +491,36 @@ def with_segmentations(documents: DataFrame, model_file: str, k: int = 2, key: s
 def decode(ids: list[int], words: Vocabulary) -> str:
     """The text of a segmentation."""
     return b"".join([words.pieces[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+
+
+def decode_lists(lists: pa.Array, pieces: pa.Array) -> pa.Array:
+    """Texts of lists of ids; ``pieces`` ends with what stands for ids that there are not."""
+    known = len(pieces) - 1
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+    ids = np.where((ids < 0) | (ids >= known), known, ids)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(ends, pieces.take(pa.array(ids))), pa.scalar(b"", pa.large_binary()))
+    texts = [t.decode("utf-8", "replace").removeprefix(" ") for t in joined.to_pylist()]
+    return pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+
+
+def with_decoded(table: DataFrame, model_file: str, ids: str = "ids", name: str = "text") -> DataFrame:
+    """Add (or replace) ``name``: the text that the ids of ``array<int>`` spell.
+
+    The space that encoding puts in front is taken off. Null ids give null, no ids the
+    empty text; a null entry, an id the vocabulary does not have, and bytes that are no
+    UTF-8 become U+FFFD; control pieces are nothing.
+    """
+    pieces = [*load_vocabulary(model_file).pieces, "\ufffd".encode()]
+    tables = table.sparkSession.sparkContext.broadcast(pieces)  # of fixed size
+
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = pa.array(tables.value, pa.large_binary())
+        for lists in batches:
+            # a few rows at a time, so what is spelled at once stays small
+            parts = [decode_lists(lists.slice(i, ROWS), known) for i in range(0, len(lists), ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return table.withColumn(name, text(F.col(ids)))

@@ -96,6 +96,20 @@ def test_items_are_found_up_to_the_budget_and_not_beyond(spark):
     assert 20 < some < 110
 
 
+def test_blocks_of_items_one_after_another(spark):
+    """Many blocks give what one gives, for repeated rows, null and empty texts and clashing names too."""
+    items = [(i, prose(100 + i, 25)) for i in range(9)] + [(3, prose(103, 25)), (None, "x"), (20, None)]
+    rows = [(n, prose(n, 30) + " " + " ".join(prose(100 + n % 9 + j, 25) for j in range(n % 3))) for n in range(30)]
+    rows += [rows[4], rows[4], (90, rows[4][1]), (91, None), (92, ""), (None, rows[5][1])]
+    docs = documents(spark, rows).withColumns({"_h0": F.lit(1), "benchmark_hits": F.lit("old")})
+    table = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (dc.with_benchmark_hits(docs, table, block_chars=size) for size in (10**6, 300))
+    columns = sorted(one.columns)
+    assert sorted(many.columns) == columns and "ArrowEvalPython" not in many._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(str, one.select(*columns).collect()))
+    assert sorted(map(str, many.select(*columns).collect())) == want and sum("distance=0" in r for r in want) > 15
+
+
 def page(host: str, n: int, body: str) -> tuple:
     return n, f"http://{host}/{n}", body
 
@@ -226,6 +240,21 @@ def test_long_odd_texts_take_seconds(unit):
     assert time.perf_counter() - start < 20
 
 
+def test_ids_back_to_texts(spark):
+    rows = documents(spark, [(1, "The cat  sat.\n\u00e9\u2581 \U0001f600 "), (2, ""), (3, None), (4, " a" * 5000), (4, " a" * 5000)])
+    sampled = sg.with_segmentations(rows, MODEL_FILE).select("doc_id", "text", F.explode("segmentations.ids").alias("ids"))
+    got = sg.with_decoded(sampled.withColumnRenamed("text", "before"), MODEL_FILE).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3, 4} and all(r["text"] == (r["before"] or "") for r in got)
+    words = sg.load_vocabulary(MODEL_FILE)
+    cat = sg.sample(["cat"], np.zeros(1, np.uint64), 1, words)[0][0].tolist()
+    odd = [(None, None), ([], ""), ([len(words.pieces), -1, None], "\ufffd" * 3), (cat + [10**9], "cat\ufffd"),
+           (cat + [int(words.byte_ids[0xC3])], "cat\ufffd"), (cat + [int(b) for b in words.byte_ids[[0xC3, 0xA9]]], "cat\u00e9")]
+    table = spark.createDataFrame([(i, ids, "old") for i, (ids, _) in enumerate(odd)], "n int, ids array<int>, text string")
+    got = {r["n"]: r["text"] for r in sg.with_decoded(table, MODEL_FILE).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(odd)}
+    assert sg.with_decoded(table.limit(0), MODEL_FILE).count() == 0
+
+
 def test_segmentations_against_all_paths():
     words = sg.load_vocabulary(MODEL_FILE)
     for text in ("cat", "é\n", "a b", "x▁"):
