@@ -118,9 +118,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_list(spans: Column, kinds: tuple[str, ...]) -> Column:
-    """kind:start:end of the spans of these kinds, joined by commas."""
+    """kind:start:end of the whole matches of these kinds, by start and kind, joined by commas."""
     wanted = F.filter(spans, lambda s: s["kind"].isin(*kinds))
-    return F.array_join(F.transform(wanted, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    place = F.array(*[F.lit(k) for k in kinds])
+    ordered = F.array_sort(F.transform(wanted, lambda s: F.struct(
+        s["match"].alias("match"), F.array_position(place, s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["match"].cast("string"), s["end"].cast("string"))), ",")
 
 
 @query()

@@ -8,7 +8,8 @@ its positions. Values whose cost reaches the threshold are spans of kind
 ``guess``; ``password=changeme2024`` is not, ``password=x9$Kq!72`` is.
 
 The span of an ``assign`` is that of the value (group 2 of its pattern), which is the
-secret; the name before it stays. Words are ranked by a fixed list and, with
+secret; the name before it stays. ``match`` is where the match of a kind's pattern begins:
+for an ``assign`` the name, else the start of the span. Words are ranked by a fixed list and, with
 ``corpus_ranks``, by their frequency in the documents.
 
 Defined results: a null or empty text has no spans; positions are code points;
@@ -27,8 +28,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bloomtide.llm.common import Scratch
 
-SPANS = "array<struct<kind:string,start:int,end:int,cost:double>>"
-SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64())]))
+SPANS = "array<struct<kind:string,start:int,end:int,cost:double,match:int>>"
+SPAN_TYPE = pa.list_(pa.struct([
+    ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64()), ("match", pa.int32())]))
 
 # The patterns of the base kinds.
 KINDS = ("assign", "access", "hex", "guess")
@@ -189,21 +191,21 @@ def guess_cost(value: str, ranks: dict[str, int] = RANKS) -> float:
     return min(pattern[n], forced[n])
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """Leftmost non-overlapping matches of each kind, too short ones dropped."""
+def base_spans(text: str) -> list[tuple[str, int, int, int]]:
+    """(kind, start, end, match) of leftmost non-overlapping matches of each kind, too short ones dropped."""
     found = []
     if "=" in text or ":" in text:
-        found += [("assign", *m.span(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
+        found += [("assign", *m.span(2), m.start()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     if "AKIA" in text:
-        found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
-    return found + [("hex", *m.span()) for m in HEX.finditer(text)]
+        found += [("access", *m.span(), m.start()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
+    return found + [("hex", *m.span(), m.start()) for m in HEX.finditer(text)]
 
 
-def guess_spans(text: str, taken: list[tuple[str, int, int]], threshold: float, ranks: dict[str, int]) -> list[tuple[str, int, int, float]]:
+def guess_spans(text: str, taken: list[tuple[str, int, int, int]], threshold: float, ranks: dict[str, int]) -> list[tuple[str, int, int, float, int]]:
     """Values of credential contexts that no span of ``taken`` covers and whose cost reaches the threshold."""
     if ":" not in text and "=" not in text and "earer" not in text.lower():
         return []
-    out, spans = [], [(s, e) for _, s, e in taken]
+    out, spans = [], [(s, e) for _, s, e, _ in taken]
     for pattern in CONTEXTS:
         for m in pattern.finditer(text):
             start, end = m.span(m.lastindex)
@@ -213,21 +215,21 @@ def guess_spans(text: str, taken: list[tuple[str, int, int]], threshold: float,
                 continue
             cost = guess_cost(text[start:end], ranks)
             if cost >= threshold:
-                out.append(("guess", start, end, cost))
+                out.append(("guess", start, end, cost, start))
                 spans.append((start, end))
     return out
 
 
 def all_spans(text: str, threshold: float, ranks: dict[str, int] = RANKS) -> list[dict]:
     base = base_spans(text)
-    spans = [(k, s, e, guess_cost(text[s:e], ranks) if k == "assign" else None) for k, s, e in base]
+    spans = [(k, s, e, guess_cost(text[s:e], ranks) if k == "assign" else None, m) for k, s, e, m in base]
     spans += guess_spans(text, base, threshold, ranks)
-    return [dict(zip(("kind", "start", "end", "cost"), x, strict=True))
+    return [dict(zip(("kind", "start", "end", "cost", "match"), x, strict=True))
             for x in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))]
 
 
 def secret_spans(text: Column, threshold: float = 10.0, ranks: dict[str, int] = RANKS) -> Column:
-    """An array of (kind, start, end, cost) by start and kind; cost is null where none was needed."""
+    """An array of (kind, start, end, cost, match) by start and kind; cost is null where none was needed."""
     @F.arrow_udf(SPANS)
     def found(texts: pa.Array) -> pa.Array:
         return pa.array([all_spans(t.as_py() or "", threshold, ranks) for t in texts], SPAN_TYPE)
