@@ -203,3 +203,12 @@ def test_rows_without_class_value_or_spread(spark):
     assert {r["prediction"] for r in one.transform(df).collect()} == {1.0}
     with pytest.raises(ValueError, match="no values"):
         estimators.fit_tree(df.filter("label > 5"), features=FEATURES)
+
+
+def test_shares_of_splits_that_gain_nothing(spark):
+    rows = spark.createDataFrame([(x, 0) for x in range(6)], "a int, label int")
+    best = splits.best_thresholds(splits.split_gains(rows, ["a"], "label", {0: 1.0, 1: 0.0, 2: 0.0}))
+    (row,) = splits.with_shares(best).collect()
+    assert (row["feature"], row["value"], row["gain"], row["l0"]) == ("a", 0.0, 0.0, 1) and math.isnan(row["importance"])
+    two = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "feature string, gain double")
+    assert {r["feature"]: r["importance"] for r in splits.with_shares(two).collect()} == {"a": 0.25, "b": 0.75}
