@@ -212,3 +212,11 @@ def test_shares_of_splits_that_gain_nothing(spark):
     assert (row["feature"], row["value"], row["gain"], row["l0"]) == ("a", 0.0, 0.0, 1) and math.isnan(row["importance"])
     two = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "feature string, gain double")
     assert {r["feature"]: r["importance"] for r in splits.with_shares(two).collect()} == {"a": 0.25, "b": 0.75}
+
+
+def test_packing_keeps_few_constraints(spark):
+    """A hash in front of n renamed features would be 2**n of them once the blocks are checkpointed."""
+    names = [f"f{i}" for i in range(10)]
+    rows = spark.range(5).selectExpr(*[f"double(id) AS {f}" for f in names], "int(id % 2) AS label").cache()
+    packed = g.pack_rows(rows, names, ["label"], [[np.array([1.0])] * len(names)], [(None, None)], None)
+    assert packed._jdf.queryExecution().optimizedPlan().children().head().validConstraints().size() < 5 * len(names)
