@@ -220,3 +220,33 @@ def test_packing_keeps_few_constraints(spark):
     rows = spark.range(5).selectExpr(*[f"double(id) AS {f}" for f in names], "int(id % 2) AS label").cache()
     packed = g.pack_rows(rows, names, ["label"], [[np.array([1.0])] * len(names)], [(None, None)], None)
     assert packed._jdf.queryExecution().optimizedPlan().children().head().validConstraints().size() < 5 * len(names)
+
+
+def test_a_booster_in_one_task_is_the_one_in_lock_step(spark, table):  # noqa: F811
+    rows = table.select("date", "label", *FEATURES).cache()
+    folds = fit_folds(rows)[-1:]
+    first, last = folds[0].test_first, folds[0].test_last
+    edges = g.bin_edges(rows, FEATURES, [F.col("date") < F.lit(first)])
+    blocks = g.pack_rows(rows, FEATURES, ["label"], edges, [(first, last)], "date", block=64).cache()
+    sizes = {p: sum(c.values()) for p, c in g.class_sizes(blocks).items()}
+    total = blocks.agg(F.sum("n")).first()[0]
+    assert sizes[0] < total
+    boosters = [boosting.Booster(0, 0, 3, 0.3, 3), boosting.Booster(1, 0, 3, 0.1, 2)]
+
+    def run(bound):
+        seen = {}
+
+        def note(r):
+            def take(df):
+                for block in df.collect():
+                    own = g.unpacked(block.asDict())
+                    seen.update({(r, block["part"], p): (m, t, y) for p, m, t, y in zip(
+                        own.places.tolist(), map(tuple, own.margins.tolist()), own.train.tolist(), own.y.tolist())})
+            return take
+
+        tables = boosting.boost(blocks, boosters, sizes, 4, bound, every=2, after={2: note(2), 4: note(4)}, keep=True)
+        nodes = sorted(tuple(map(str, r.values())) for t in tables for r in t.to_pylist())
+        return seen, nodes
+
+    one, lock, deep = run(total), run(total - 1), run(sizes[0] // 3)
+    assert len(one[0]) == 2 * 2 * total and one == lock == deep
