@@ -330,7 +330,7 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", n
     Of rows with that id, one text (the smallest hash) stays, once. Empty texts
     link with nothing and all stay; so do classes in which every id is null.
     """
-    found = classes(documents, key, text, n, num, den)
+    found = Scratch(documents.sparkSession, "ngram-classes").store(classes(documents, key, text, n, num, den))  # four readers
     of_class = found.filter("n_shingles > 0 AND component_id IS NOT NULL")
     winners = of_class.filter("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("row"))
     losers = of_class.join(winners, ["component_id", "row"], "left_anti").select("row").distinct()
