@@ -250,3 +250,38 @@ def test_a_booster_in_one_task_is_the_one_in_lock_step(spark, table):  # noqa: F
 
     one, lock, deep = run(total), run(total - 1), run(sizes[0] // 3)
     assert len(one[0]) == 2 * 2 * total and one == lock == deep
+
+
+def test_bin_edges_keep_a_small_plan(spark, monkeypatch):
+    """An aggregate for each group and feature would be 410 columns of a sketch for each, in every copy of the plan."""
+    widths = []
+
+    def seen(run):
+        def noting(df, *args):
+            todo = [df._jdf.queryExecution().optimizedPlan()]
+            while todo:
+                node = todo.pop()
+                children = node.children()
+                todo += [children.apply(i) for i in range(children.size())]
+                widths.append(node.expressions().size())
+            return run(df, *args)
+        return noting
+
+    names = [f"f{j}" for j in range(10)]
+    rows = spark.range(90).selectExpr(*[f"double(id % {j + 2} * (id % 31)) AS {f}" for j, f in enumerate(names)], "id").cache()
+    rows = rows.withColumn("f9", F.when(F.col("id") % 9 == 1, float("nan")).when(F.col("id") % 9 != 2, F.col("f9")))
+    for name in ("collect", "first"):
+        monkeypatch.setattr(type(rows), name, seen(getattr(type(rows), name)))
+    groups = [F.col("id") < 20, F.lit(True), F.lit(False)]
+    edges = g.bin_edges(rows, names, groups)
+    assert widths and max(widths) <= 2 * len(names)
+    monkeypatch.undo()
+    table_ = rows.toArrow().to_pydict()
+    for group, own in zip((20, 90, 0), edges):
+        for f, found in zip(names, own):
+            values = sorted(v for v, i in zip(table_[f], table_["id"]) if i < group and v is not None and not math.isnan(v))
+            if len(set(values)) <= 25:
+                want = sorted(set(values))
+            else:
+                want = sorted({values[math.ceil(k / 32 * len(values)) - 1] for k in range(1, 32)})
+            assert found.tolist() == want, (group, f)
