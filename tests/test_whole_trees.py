@@ -1,4 +1,4 @@
-"""The query of a forest grows its trees to the end, as its SQL does."""
+"""The queries of a tree and of a forest grow them to the end, as their SQL does."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ def sf_dir(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name, trees", [("fit_forest", max(GRID["forest"]["trees"]))])
+@pytest.mark.parametrize("name, trees", [("fit_tree", 1), ("fit_forest", max(GRID["forest"]["trees"]))])
 def test_the_whole_tree_is_that_of_the_sql(spark, sf_dir, name, trees):
     found = QUERIES[name](spark, sf_dir).cache()
     assert differences(found, connect(sf_dir), ORACLES[name]) == []
